@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, near_dedup, packing, token_files
+from . import decontaminate, lm, near_dedup, packing, quality, token_files
 from .common import table
 
 
@@ -32,11 +32,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_lm_scores": op4_lm_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
