@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, near_dedup, packing, pii, quality, token_files, toxicity
+from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, token_files, toxicity
 from .common import table
 
 
@@ -32,10 +32,18 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -53,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_lm_scores": op4_lm_scores,
+    "op5_language": op5_language,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_licence_scan": op7_licence_scan,
     "op8_token_files": op8_token_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
