@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, and of each repeated row: the smallest id."""
     found = near_dedup.near_duplicates(docs)
-    away = found.filter("NOT kept").select("doc_id").distinct()
+    away = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
     return docs.join(away, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 
