@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import partitions, small_batches, text_of, written
 
 #: Tokens after which a file is closed, at the next document's end.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 END_ID = 0
 
 SHARDS = "part int, seq int, start long, n_tokens long, n_docs long, file binary"
@@ -101,7 +101,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     for row in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         before[row["part"]], total = total, total + row["n"]
     offsets = spark.createDataFrame(list(before.items()), "part int, before long")
-    files = shards.select("part", "start", "file").repartition(max(1, partitions(spark)))
+    files = shards.select("part", "start", "file")
     return (
         files.mapInArrow(digests, DIGESTS)
         .join(F.broadcast(offsets), "part")
