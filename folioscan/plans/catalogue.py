@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from folioscan.operators import chunking, context, indexer, prompts, search, sto
 from folioscan.plans import corpus as C
 from folioscan.plans.oracles import ORACLE_SQL
 from folioscan.sources import files
+from folioscan.streaming.incremental import upsert_stream
 
 QUESTION = "What is the of and the"
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -247,4 +250,31 @@ def q40_embed_text(spark: SparkSession, d: str) -> DataFrame:
     return indexer.embedded(C.corpus(spark, d).select("document_id", "text"), indexer.hashing_encoder).select("document_id", "embedding")
 
 
+def _working_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one for a local session."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        base = f"file://{tempfile.mkdtemp(prefix='folioscan-')}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def q41_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as a stream into a new store; what the store has then."""
+    folder = _working_folder(spark)
+    st = store.Store(spark, f"{folder}/store")
+    schema = C.table(spark, d, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
+    rows = C.as_corpus(stream).withColumn("mtime", F.lit(0.0))
+
+    def chunks_of(batch: DataFrame) -> DataFrame:
+        cut = chunking.chunked(batch, "path", C.CHUNK_CHARS, C.OVERLAP)
+        return indexer.embedded(cut.withColumn("metadata", F.to_json(F.struct("page"))), indexer.hashing_encoder)
+
+    upsert_stream(st, rows, chunks_of, f"{folder}/checkpoint").awaitTermination()
+    counts = st.chunks().groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+    return st.documents().join(counts, F.col("id") == F.col("document_id"), "left").select("path", "title", "sha256", "size", F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__name__", "").startswith("q") and f.__name__[1:3].isdigit()}

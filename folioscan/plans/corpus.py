@@ -14,14 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_corpus(documents: DataFrame) -> DataFrame:
     """document_id, path, title, sha256, size, text."""
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("document_id"), path.alias("path"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("title"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), "text"
     )
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_corpus(table(spark, sf_dir, "documents"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, chunk_index, path, text, embedding: the documents that have a vector."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")

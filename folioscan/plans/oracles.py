@@ -108,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "q37_l2_normalise": "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (label+1)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT vec_id, (generate_subscripts(v, 1)-1)::INTEGER AS place, round(unnest(v)/n, 6) AS x FROM n",
     "q38_metadata_json": f"WITH p AS (SELECT event_id, {_PROPS} AS p FROM events), m AS (SELECT event_id, CASE WHEN p IS NULL OR p = '' THEN '{{}}' ELSE p END AS m FROM p) SELECT event_id, m AS metadata, coalesce((m->>'$.page')::INTEGER, 0) AS page, (m->>'$.k')::BIGINT AS k FROM m",
     "q39_path_normalise": "WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p}')" for k, p in enumerate(_PATHS)) + ") AS t(k, p)) SELECT k::INTEGER AS k, replace(p, '\\', '/') AS path, regexp_replace(replace(p, '\\', '/'), '([^:])/+$', '\\1') AS folder FROM p",
+    "q41_incremental_stream": f"WITH RECURSIVE {_CORPUS}, {_CHUNKED}, n AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) SELECT path, title, sha256, size, coalesce(n.n, 0) AS chunk_count FROM corpus c LEFT JOIN n USING (document_id)",
 }

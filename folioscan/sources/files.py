@@ -13,7 +13,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.functions.scalars import clean_markdown, extension, markdown_sections
+from folioscan.functions.scalars import clean_markdown, extension, markdown_sections, strip
 from folioscan.operators.chunking import sentence_chunks, text_pages
 
 EXTENSIONS = (".pdf", ".txt", ".md", ".docx")
@@ -174,7 +174,7 @@ def markdown_text(text: Column) -> Column:
 
 def table_markdown(rows: DataFrame, order: str, cells: list[str]) -> DataFrame:
     """One Markdown table of the rows in order, the first being the header."""
-    clean = F.array(*(F.replace(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("\n"), F.lit(" ")) for c in cells))
+    clean = F.array(*(F.replace(strip(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("\n"), F.lit(" ")) for c in cells))
     lines = rows.select(F.struct(F.col(order).alias("k"), F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |")).alias("line")).alias("r")).groupBy().agg(F.sort_array(F.collect_list("r")).alias("rs"))
     rule = "| " + " | ".join(["---"] * len(cells)) + " |"
     return lines.filter(F.size("rs") > 0).select(F.array_join(F.concat(F.array(F.col("rs")[0]["line"], F.lit(rule)), F.transform(F.slice("rs", F.lit(2), F.size("rs")), lambda r: r["line"])), "\n").alias("markdown"))
@@ -188,7 +188,7 @@ def page_layout(blocks: DataFrame, tables: DataFrame, by: list[str]) -> DataFram
     high = F.least("b.y1", "t.y1") - F.greatest("b.y0", "t.y0")
     area = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
     inside = same & (wide > 0) & (high > 0) & (area > 0) & (wide * high > area * 0.5)
-    kept = b.filter("b.type = 0").join(t, inside, "left_anti").select(*by, F.col("y0"), F.lit(0).alias("kind"), F.trim(F.col("text")).alias("text")).filter("text != ''")
+    kept = b.filter("b.type = 0").join(t, inside, "left_anti").select(*by, F.col("y0"), F.lit(0).alias("kind"), strip(F.col("text")).alias("text")).filter("text != ''")
     both = kept.unionByName(tables.filter("markdown != ''").select(*by, "y0", F.lit(1).alias("kind"), F.col("markdown").alias("text")))
     return both.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "kind", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 

@@ -23,3 +23,12 @@ def index_stream(store: Store, folder: str, checkpoint: str, config: IndexConfig
     """
     writer = file_stream(store.spark, folder).writeStream.foreachBatch(lambda rows, _: index(store, rows, config).count()).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+
+
+def upsert_stream(store: Store, rows: DataFrame, chunks_of, checkpoint: str) -> StreamingQuery:  # noqa: ANN001
+    """A stream of documents (path, title, sha256, mtime, size, text) into the store; chunks_of(batch) makes their chunks."""
+
+    def upsert(batch: DataFrame, _: int) -> None:
+        store.upsert(batch.select("path", "title", "sha256", "mtime", "size"), chunks_of(batch))
+
+    return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

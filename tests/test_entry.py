@@ -20,7 +20,7 @@ def test_entry(spark):
 
 def test_without_subpackage():
     found = names("sys.modules['folioscan.llm'] = None; sys.modules['corpus_pipeline'] = None; ")
-    assert len(found) == 40 and not any(n.startswith("op") for n in found)
+    assert len(found) == 41 and not any(n.startswith("op") for n in found)
     assert set(found) <= set(names(""))
 
 

@@ -151,3 +151,34 @@ def test_index_and_stream(spark, tmp_path):
     for _ in range(2):
         index_stream(stream, str(folder), f"{tmp_path}/check", config).awaitTermination()
     assert stream.documents().count() == 2
+
+
+def test_ask(spark):
+    from folioscan.operators.answers import NOTHING, ask
+
+    rows = vector_rows(spark).withColumn("text", F.concat(F.lit("About "), "path"))
+    got = ask(rows, "Why?", [1.0, 0.0], lambda m: m[1]["content"][-60:], k=2).collect()
+    assert len(got) == 1 and got[0].answer.endswith(prompts.CLOSING) and [s.path for s in got[0].sources] == ["/tmp/a_b/x.txt", "\\tmp\\a_b\\z.txt"]
+    assert got[0].context.startswith("--- Document: /tmp/a_b/x.txt ---\n\nAbout")
+    none = ask(rows.limit(0), "Why?", [1.0, 0.0], lambda m: "x").collect()
+    assert [(r.answer, r.sources) for r in none] == [(NOTHING, [])]
+
+
+def test_cli(spark, tmp_path, capsys):
+    from folioscan.cli import PathError, allowed_folders, main
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.txt").write_text("Alpha beta gamma.")
+    (folder / "b.txt").write_text("Delta epsilon zeta.")
+    (folder / ".hidden.txt").write_text("Hidden words.")
+    run = lambda *a: (main(["--root", f"file://{tmp_path}/index", *a], spark), capsys.readouterr().out)[1]
+    assert run("index", str(folder)).startswith("inserted=2 updated=0")
+    assert "a.txt" in run("search", "alpha beta", "--top-k", "100").split("\n")[0]
+    (folder / "b.txt").unlink()
+    assert "Removed 1 " in run("prune") and "'document_count': 1" in run("stats")
+    assert files.list_documents(spark, [str(folder)], hidden=True).count() == 2
+    assert allowed_folders([f" {folder}\n", " "], str(tmp_path)) == [str(folder.resolve())]
+    for bad in ("a\0b", "/", str(folder / "a.txt")):
+        with pytest.raises(PathError):
+            allowed_folders([bad], str(tmp_path))
