@@ -66,6 +66,20 @@ def grams_of(line: Column) -> Column:
     return F.array_distinct(F.concat(pairs, triples))
 
 
+def gram_rows(lines: DataFrame) -> DataFrame:
+    """doc_id, paragraph, n, gram: each pair and triple of each line where it stands; n is their number.
+
+    Words are cut once a line, and all that follows stays in generated code up to the join.
+    """
+    words = lines.select("doc_id", "paragraph", F.array_remove(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), "").alias("words"))
+    last = F.size("words") - 2
+    placed = words.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    one, two, three = (F.get("words", F.col("at") + k) for k in range(3))
+    pair = F.concat(one, F.lit(" "), two)
+    grams = F.stack(F.lit(2), pair, F.concat(pair, F.lit(" "), three))
+    return placed.select("doc_id", "paragraph", (2 * F.size("words") - 3).alias("n"), grams.alias("gram")).filter("gram IS NOT NULL")
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (from 0), line."""
     return docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("paragraph", "line"))
@@ -161,8 +175,9 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     spark = docs.sparkSession
     model = model or train(docs.select("doc_id", "text"))
     n = len(model.families)
-    lines = paragraphs(docs.select("doc_id", "text")).withColumn("grams", grams_of(F.col("line")))
-    found = lines.select("doc_id", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(model.table(spark)), "gram")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # rows that share an id are told apart
+    lines = paragraphs(numbered.select(F.struct("row", "doc_id").alias("doc_id"), "text"))
+    found = gram_rows(lines).join(F.broadcast(model.table(spark)), "gram").dropDuplicates(["doc_id", "paragraph", "gram"])
     summed = found.groupBy("doc_id", "paragraph", "n").agg(
         F.array(*(F.sum(F.col("w")[c]) for c in range(n))).alias("s"), F.array(*(F.count_if(F.array_contains("templates", k)) for k in range(len(model.sizes)))).alias("t")
     )
@@ -173,4 +188,4 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     sizes, families = F.array(*map(F.lit, model.sizes)), F.array(*(F.lit(f) for f, _ in TEMPLATES))
     overlaps = F.transform("t", lambda t, k: F.when(F.get(families, k) == F.col("family"), 100.0 * t / F.least(F.col("n"), F.get(sizes, k))).otherwise(-1.0))
     judged = judged.withColumn("o", overlaps).withColumn("overlap", F.array_max("o")).filter(F.col("overlap") >= CONFIRM_PERCENT)
-    return judged.select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), (F.array_position("o", F.col("overlap")) - 1).cast("int").alias("template"), F.round("overlap", 3).alias("overlap"))
+    return judged.select("doc_id.doc_id", F.col("paragraph").cast("int").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), (F.array_position("o", F.col("overlap")) - 1).cast("int").alias("template"), F.round("overlap", 3).alias("overlap"))
