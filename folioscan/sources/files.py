@@ -24,11 +24,25 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 Page = tuple[int, str]
 
 
+def _read_files(batches: Iterator) -> Iterator:
+    import datetime
+
+    import pyarrow as pa
+
+    kinds = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary())])
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            data = Path(name).read_bytes()
+            changed = datetime.datetime.fromtimestamp(os.path.getmtime(name), datetime.UTC)
+            yield pa.RecordBatch.from_pylist([{"path": f"file:{name}", "modificationTime": changed, "length": len(data), "content": data}], schema=kinds)
+
+
 def list_documents(spark: SparkSession, inputs: Iterable[str], extensions: tuple[str, ...] = EXTENSIONS, exclude: DataFrame | None = None, hidden: bool = False) -> DataFrame:
     """path, modificationTime, length, content of all documents below the inputs, in order of path within each input.
 
     Missing inputs are left out. Spark's listing skips names that start with . or _; hidden=True
-    lists local folders on the driver instead. exclude(path): those that aren't wanted.
+    takes them too, for folders that the driver and all executors see under one path: the driver
+    lists, executors read. exclude(path): those that aren't wanted.
     """
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -38,8 +52,8 @@ def list_documents(spark: SparkSession, inputs: Iterable[str], extensions: tuple
 
     found = [p for p in inputs if there(p)]
     if hidden:
-        files = [str(f) for p in found for f in ([Path(p)] if os.path.isfile(p) else sorted(Path(p).rglob("*"))) if f.is_file() and f.suffix.lower() in extensions]
-        parts = [spark.read.format("binaryFile").load(files)] if files else []
+        names = [str(f) for p in found for f in ([Path(p)] if os.path.isfile(p) else sorted(Path(p).rglob("*"))) if f.is_file() and f.suffix.lower() in extensions]
+        parts = [spark.createDataFrame([(n,) for n in names], "path string").mapInArrow(_read_files, f"{LISTED}, content binary")]
     else:
         parts = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p) for p in found]
     rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{LISTED}, content binary")
