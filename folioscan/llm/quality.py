@@ -101,15 +101,16 @@ def with_statistics(counted: DataFrame) -> DataFrame:
     return counted.select("doc_id", *(F.expr(sql).cast("double").alias(name) for name, sql in STATISTICS.items()))
 
 
-def learn(counted: DataFrame, labels: DataFrame) -> list[Rule]:
-    """The decision list. counted: doc_id and COUNTS."""
+def sampled(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: one row an id, an expected FIT_ROWS at most."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    total = known.count()
-    if not total:
-        return []
-    share = min(1.0, FIT_ROWS / total)
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = with_statistics(counted).join(chosen, "doc_id").withColumn("prune", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0)
+    share = min(1.0, FIT_ROWS / max(1, known.count()))
+    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def learn(counted: DataFrame, chosen: DataFrame) -> list[Rule]:
+    """The decision list. counted: doc_id and COUNTS; chosen: sampled() labels, few enough to broadcast."""
+    rows = with_statistics(counted).join(F.broadcast(chosen), "doc_id").withColumn("prune", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0)
     names = list(STATISTICS)
     rows = written(rows.select("quality", "prune", *names), "labelled")
     steps = [k / QUANTILES for k in range(1, QUANTILES)]
@@ -203,5 +204,5 @@ def judged(counted: DataFrame, rules: list[Rule]) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule."""
     counted = written(with_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "counts")
-    out = judged(counted, learn(counted, labels))
+    out = judged(counted, learn(counted, sampled(labels)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

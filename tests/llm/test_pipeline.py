@@ -92,6 +92,6 @@ def test_stages_one_by_one(spark, made):
         assert stage(spark, frame, folder).columns == corpus_pipeline.COLUMNS
         assert stage(spark, frame.limit(0), folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, frame.limit(0), folder).count() == 0
-    rules = quality.learn(quality.with_counts(frame), spark.read.parquet(f"{folder}/labels.parquet"))
+    rules = quality.learn(quality.with_counts(frame), quality.sampled(spark.read.parquet(f"{folder}/labels.parquet")))
     assert rules and all(t.statistic in quality.STATISTICS for r in rules for t in r)
     assert frame.filter(F.col("doc_id") == 6).count() == 3 and len(docs) == frame.count()
