@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import decontaminate, near_dedup, packing, pii, quality
-from folioscan.llm.common import dropped, table, written
+from folioscan.llm.common import dropped, met, table, written
 from folioscan.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,23 +21,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned list rejects. The rules are learnt on the labelled ones."""
-    labels = table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = quality.learn(quality.with_counts(labelled).drop("text"), labels)
+    chosen = quality.sampled(table(spark, sf_dir, "labels"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    rules = quality.learn(quality.with_counts(labelled).drop("text"), chosen)
     return quality.judged(quality.with_counts(docs), rules).filter("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, and of each repeated row: the smallest id."""
-    found = near_dedup.near_duplicates(docs)
-    away = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
-    return docs.join(away, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    found = near_dedup.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    odd = written(found.filter("NOT kept OR n > 1"), "odd")
+    single = met(docs, odd.select("doc_id"), "doc_id", "left_anti")
+    repeated = met(docs, odd.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.select(COLUMNS).unionByName(repeated.select(COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     leaked = decontaminate.leaked_documents(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaked.select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    return met(docs, leaked.filter("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
