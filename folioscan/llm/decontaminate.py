@@ -25,7 +25,7 @@ from .common import text_of, written
 
 #: Masks: where a word counts. Any two of them differ in most distances between 1s.
 MASKS = ("11011001", "110100101", "1010011011")
-COMPARE, EQUAL_PERCENT, LEAST_WORDS = 20, 75, 8
+COMPARE, EQUAL_PERCENT, LEAST_WORDS = 13, 75, 8
 BROADCAST_SEEDS = 1_000_000
 
 
