@@ -6,7 +6,8 @@ their test are dropped) are the protected entities. Beside them, an information-
 1. Around each entity, the words within WINDOW words are candidate terms. A (term, entity) pair is
    counted by its distinct neighbourhoods, the words next to the term: copies of one passage are one
    piece of evidence, whatever their number. Pairs of LEAST_CONTEXTS neighbourhoods go on.
-2. For these terms only, the corpus gives n(term), the distinct neighbourhoods in all texts. The
+2. For these terms only, the corpus gives n(term), the distinct neighbourhoods in all texts; a term
+   is dropped as soon as it has too many for any disclosure. The
    disclosure of entity by term is P(entity | term) = n(term, entity) / n(term), and the information
    gained is log2(P(entity | term) / P(entity)) bits, P(entity) being its share of documents.
 3. Terms that gain at least LEAST_BITS and reveal an entity with P >= REMOVE_AT are removed wherever
@@ -29,6 +30,8 @@ from .common import dropped, small_batches, text_of, written
 
 WINDOW, LEAST_CONTEXTS, LEAST_BITS, REMOVE_AT, GENERALISE_AT = 6, 3, 6.0, 0.8, 0.5
 BROADCAST_TERMS = 200_000
+#: Neighbourhoods that a task holds before it sends them.
+HELD_CONTEXTS = 500_000
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,7 +129,8 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     found = written(docs.select("text").mapInArrow(pairs, "term string, entity string, context long"), "pairs")
     entities = found.filter("term IS NULL").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     both = written(found.filter("term IS NOT NULL").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= LEAST_CONTEXTS), "both")
-    terms = both.select("term").distinct()
+    # With more neighbourhoods than this, no entity's share of them reaches GENERALISE_AT.
+    terms = both.groupBy("term").agg(F.floor(F.max("n_both") / GENERALISE_AT).alias("most"))
     corpus = _contexts_of(docs, terms)
     n_docs = max(1, docs.count())
     strength = both.join(corpus, "term").join(entities, "entity").withColumn("share", F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))).withColumn("bits", F.log2(F.col("share") * n_docs / F.col("n_entity")))
@@ -138,32 +142,53 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
 
 
 def _contexts_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_term: distinct neighbourhoods of the given terms in all texts."""
+    """term, n_term: distinct neighbourhoods in all texts of the terms (term, most).
+
+    A term with more than most neighbourhoods is common and reveals nothing; a task that has seen
+    more of them says so in one row instead of sending them, and the term goes.
+    """
     n = terms.count()
-    chosen = None
-    if n <= BROADCAST_TERMS:
-        chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
+    chosen = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in terms.collect()}) if n <= BROADCAST_TERMS else None
 
     def contexts(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
+        wanted = chosen.value if chosen is not None else None
+        held: dict[str, set[int]] = {}
+        common: set[str] = set()
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            rows = [(t, c) for t, found in held.items() for c in found]
+            return pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in rows], pa.string()), "context": pa.array([c for _, c in rows], pa.int64())})
+
         for batch in batches:
-            rows = set()
             for text in batch.column(0).to_pylist() if n else ():
-                if chosen is not None and chosen.value.isdisjoint(WORD.findall(text.lower())):
+                if wanted is not None and wanted.keys().isdisjoint(WORD.findall(text.lower())):
                     continue
                 words = list(WORD.finditer(text))
                 for k, m in enumerate(words):
-                    if chosen is None or m[0].lower() in chosen.value:
+                    term = m[0].lower()
+                    if (wanted is None or term in wanted) and term not in common:
                         a, b = _beside(words, k)
-                        rows.add((m[0].lower(), xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1))
-            yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in rows], pa.string()), "context": pa.array([c for _, c in rows], pa.int64())})
+                        found = held.setdefault(term, set())
+                        size -= len(found)
+                        found.add(xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1)
+                        size += len(found)
+                        if wanted is not None and len(found) > wanted[term]:
+                            size -= len(held.pop(term))
+                            common.add(term)
+            if size > HELD_CONTEXTS:
+                yield sent()
+                held, size = {}, 0
+        yield sent()
+        yield pa.RecordBatch.from_pydict({"term": pa.array(sorted(common), pa.string()), "context": pa.array([None] * len(common), pa.int64())})
 
     rows = docs.select("text").mapInArrow(contexts, "term string, context long")
     if chosen is None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+        rows = rows.join(terms.select("term"), "term", "left_semi")
+    return rows.distinct().groupBy("term").agg(F.count("context").alias("n_term"), F.count_if(F.col("context").isNull()).alias("common")).filter("common = 0").drop("common")
 
 
 def with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, object]:
