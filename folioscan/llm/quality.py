@@ -90,7 +90,10 @@ def with_counts(docs: DataFrame) -> DataFrame:
         "n_marks": F.length("_joined") - _without(F.col("_joined"), r"[!?;:=~^_{}\[\]/\\]"),
     }
     kept = [c for c in docs.columns if c not in counts]
-    return out.select(*kept, *(c.cast("long").alias(name) for name, c in counts.items()))
+    # Always 0. As it isn't deterministic, filters over counts stay above, where they can't put the
+    # making of an array into a function that runs for each of its elements.
+    zero = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
+    return out.select(*kept, *((c.cast("long") + zero).alias(name) for name, c in counts.items()))
 
 
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
