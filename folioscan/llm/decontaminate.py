@@ -7,7 +7,7 @@ have been substituted. All windows of all documents meet all windows of all benc
 around it are compared: the document leaks the item if some stretch of COMPARE words (or the whole
 item, if shorter) has equal words in at least EQUAL_PERCENT % of its places.
 
-Items of fewer words than a mask's span get a mask of their own length without 0s. Items of fewer
+Items of fewer words than the widest mask also get masks without 0s. Items of fewer
 than LEAST_WORDS words can't be told from ordinary prose: they match nothing. The item side is
 broadcast while it has at most BROADCAST_SEEDS seeds, which is counted; a larger one is joined by
 shuffle, the windows of a document being sent on only as hashes.
@@ -56,9 +56,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     """key, item_id, n_equal, n_compared: the best stretch of each leaked item in each document."""
     items = items_of(benchmark)
     widest = max(map(len, MASKS))
-    short = sorted(r["n"] for r in items.select(F.size("th").alias("n")).filter(F.col("n") < widest).distinct().collect())
-    masks = [*MASKS, *("1" * n for n in short if "1" * n not in MASKS)]
-    # An item has seeds of the regular masks and, if it is short, of its own length.
+    some_short = not items.filter(F.size("th") < widest).isEmpty()
+    masks = [*MASKS, *("1" * n for n in range(LEAST_WORDS, widest) if some_short)]
+    # An item has seeds of the regular masks and, if it is short, of the plain ones.
     item_seeds = seeds(items.withColumn("item_th", F.col("th")), ["item_id", "item_th", "th"], masks)
     item_seeds = item_seeds.filter((F.col("mask") < len(MASKS)) | (F.size("item_th") < widest)).select("item_id", "item_th", F.col("at").alias("item_at"), "mask", "seed")
     texts = docs.select(F.col(key), word_hashes(text_of()).alias("th"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, token_files, toxicity
-from .common import table
+from .common import LOWER, UPPER, table
 
 
 def tokenizer_path() -> str:
@@ -69,4 +69,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACES = r"[\x20\x09-\x0D]+"
+
+_NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_SPACES}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i]||' '||w[i+1])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, t.b FROM r JOIN both_ways t ON t.a = r.y)
+SELECT doc_id, n AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept FROM n JOIN r ON r.x = n.doc_id GROUP BY doc_id, n
+"""
+
+
+def _seed(mask: str) -> str:
+    """The words at the 1s of a mask, null where the window reaches beyond the text."""
+    return f"CASE WHEN w{len(mask) - 1} IS NOT NULL THEN concat_ws(' ', " + ", ".join(f"w{k}" for k, bit in enumerate(mask) if bit == "1") + ") END"
+
+
+def _leaks() -> str:
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    widest = max(map(len, decontaminate.MASKS))
+    masks = [*decontaminate.MASKS, *("1" * n for n in range(decontaminate.LEAST_WORDS, widest))]
+    ahead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, widest))
+    seeds = " UNION ALL ".join(f"SELECT id, i, n, {k} AS mask, {_seed(m)} AS seed FROM {{t}}_ahead" for k, m in enumerate(masks))
+    part = (
+        "{t} AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT {key} AS id, " + words + " AS w FROM {table}) z WHERE len(w) >= {least}), "
+        "{t}_ahead AS (SELECT id, i, n, w AS w0, " + ahead + " FROM {t} WINDOW o AS (PARTITION BY id ORDER BY i)), {t}_seeds AS (" + seeds + ")"
+    )
+    fill = lambda **x: part.replace("{t}", x["t"]).replace("{key}", x["key"]).replace("{table}", x["table"]).replace("{least}", str(x["least"]))
+    long_ones = len(decontaminate.MASKS)
+    return (
+        "WITH "
+        + fill(t="d", key="doc_id", table="documents", least=1)
+        + ", "
+        + fill(t="b", key="item_id", table="benchmark", least=decontaminate.LEAST_WORDS)
+        + f", hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.i - b.i AS shift, b.n FROM d_seeds d JOIN b_seeds b ON d.mask = b.mask AND d.seed = b.seed WHERE b.mask < {long_ones} OR b.n < {widest}), "
+        "lined AS (SELECT h.doc_id, h.item_id, h.shift, b.i AS j, h.n, CASE WHEN d.w = b.w THEN 1 ELSE 0 END AS same FROM hits h JOIN b ON b.id = h.item_id LEFT JOIN d ON d.id = h.doc_id AND d.i = h.shift + b.i), "
+        f"sums AS (SELECT doc_id, item_id, j, least({decontaminate.COMPARE}, n) AS length, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN {decontaminate.COMPARE - 1} PRECEDING AND CURRENT ROW) AS k FROM lined), "
+        f"found AS (SELECT doc_id, item_id, max(k) AS k FROM sums WHERE j >= length AND k * 100 >= length * {decontaminate.EQUAL_PERCENT} GROUP BY 1, 2) "
+        "SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(k)::BIGINT AS n_equal FROM found GROUP BY 1"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": _NEAR_DUPLICATES, "op9_benchmark_decontamination": _leaks()}
