@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,22 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Up to so many rows of ids, 30 MB, meet texts by broadcast, so that texts aren't moved to be met; more by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def met(docs: DataFrame, ids: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """docs joined with a narrow table, whose size decides how."""
+    ids = written(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are gone; else they wait for the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS rows unless the session asks for another number than Spark's own 10,000."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

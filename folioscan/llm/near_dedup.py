@@ -7,16 +7,17 @@ sets form a class. For the classes:
 1. The set gets a MinHash signature of K coordinates. Classes are posted under each
    (coordinate, value), and the length of each posting list is counted.
 2. Two sets of Jaccard similarity >= 0.8 agree on at least T of the K coordinates (K = 48, T = 25:
-   missed with a probability near 1e-6 at exactly 0.8, less above). Prefix filter: with each class's
+   missed with a probability of 3e-6 at exactly 0.8, less above). Prefix filter: with each class's
    postings ordered from the shortest list on, such a pair meets among the first K - T + 1. Lists
    of one class are skipped, and so is all that lies behind the prefix: long lists of common values.
 3. A list doesn't emit its pairs. It names a pivot, the class whose postings are the most common.
-   Each class counts its collisions with each pivot and goes to the one it collides with most often;
-   that link is confirmed on the full sets. Confirmed links make first components.
+   Each class goes to the pivot that it collides with most often; if their signatures have T
+   collisions, the link is confirmed on the full sets. Confirmed links make first components.
 4. What shares a list with a pivot of another component is compared with all of that component and
-   all others like it, on the full sets, by counting collisions of shingles in blocks of bounded
-   size. After this every pair that shares a list is in one component or was compared, so no link
-   that the prefix found is lost, and a group of n near copies costs n links, not n * n.
+   all others like it, in blocks of bounded size: first collisions of signatures are counted, then
+   what has a pair with T of them is compared on the full sets. After this every pair that shares a
+   list is in one component or was compared, so no link that the prefix found is lost, and a group
+   of n near copies costs n links, not n * n.
 
 Null or blank text: an empty set, linked with nothing. Null doc_id: linked with nothing, kept. Rows
 that share a doc_id are judged by their own text each. No rows: no rows. Only doc_id and text are
@@ -30,11 +31,11 @@ from collections.abc import Iterator
 from itertools import count
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, small_batches, text_of, written
+from .common import dropped, met, partitions, released, small_batches, text_of, written
 from .components import components
 
 if TYPE_CHECKING:
@@ -42,8 +43,8 @@ if TYPE_CHECKING:
 
 WIDTH, SIMILAR = 5, 80
 K, T = 48, 25
-#: Shingles on one side of a block of comparisons.
-BLOCK_SHINGLES = 400_000
+#: Shingles, and signatures, on one side of a block of comparisons.
+BLOCK_SHINGLES, BLOCK_SIGNATURES = 400_000, 4_000
 #: Smaller sets reach a similarity of SIMILAR % with equal sets only.
 LEAST = -(-SIMILAR // (100 - SIMILAR))
 
@@ -71,7 +72,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         h = hashes[words] if len(words) else np.zeros(0, np.uint64)
         n = len(h) - width + 1
         if len(h) and n <= 0:
-            x = np.uint64(len(h))
+            x = np.full(1, len(h), np.uint64)
             for w in h.reshape(-1, 1):
                 x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + w)
             out.append(x)
@@ -132,125 +133,161 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(rows, f"{SET}, sig array<int>"), "signed")
 
 
-def _sets_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """rep, n, set: the full sets of the chosen (rep, k1, k2)."""
-
-    def rows(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        from .tokens import portions
-
-        for batch in batches:
-            names, keys, at = batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), 0
-            for texts in portions(batch.column(1).to_pylist()):
-                sets = shingle_sets(texts, width)
-                own = [(names[at + j], s) for j, s in enumerate(sets) if _digest(s) == keys[at + j]]  # a doc_id may have other texts too
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["rep", "n", "set"])
-                at += len(sets)
-
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
-    return text.join(chosen, "rep").select("rep", "text", "k1", "k2").mapInArrow(rows, "rep long, n long, set binary")
-
-
 def _linked(inter: int | np.ndarray, a: int, b: int | np.ndarray, similar: int) -> bool | np.ndarray:
     return 100 * inter >= similar * (a + b - inter)
 
 
-def links(docs: DataFrame, rows: DataFrame, width: int, similar: int) -> DataFrame:
-    """a, b: links between representatives of classes, enough to connect all that are linked."""
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
-    reps = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    posted = (
-        rows.join(reps, ["k1", "k2", "doc_id"])
-        .select("k1", "k2", F.col("doc_id").alias("rep"), F.posexplode("sig").alias("k", "v"))
-        .dropDuplicates(["rep", "k1", "k2", "k", "v"])
-    )
-    lists = posted.groupBy("k", "v").agg(F.count("*").alias("freq")).filter("freq > 1")
-    own = Window.partitionBy("rep", "k1", "k2")
-    prefix = written(
-        posted.join(lists, ["k", "v"])
-        .withColumn("rn", F.row_number().over(own.orderBy("freq", "k", "v")))
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """rep, n, kv, central: the postings in each class's prefix. rep: the class's smallest id; n: its set's size."""
+    reps = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    posted = reps.select("rep", "n", F.posexplode("sig").alias("k", "v")).select("rep", "n", (F.col("k").cast("long") * (1 << 32) + F.col("v")).alias("kv"))
+    lists = posted.groupBy("kv").agg(F.count("*").alias("freq")).filter("freq > 1")
+    own = Window.partitionBy("rep")
+    return written(
+        posted.join(lists, "kv")
+        .withColumn("rn", F.row_number().over(own.orderBy("freq", "kv")))
         .withColumn("m", F.count("*").over(own))
         .withColumn("central", F.sum("freq").over(own))
         .filter(f"rn <= m - {T} + 1")
-        .select("rep", "k1", "k2", "k", "v", "central"),
+        .select("rep", "n", "kv", "central"),
         "prefix",
     )
-    pivots = prefix.groupBy("k", "v").agg(F.count("*").alias("n"), F.max(F.struct("central", -F.col("rep"))).alias("top")).filter("n > 1")
-    collisions = written(
-        prefix.join(pivots, ["k", "v"]).select("rep", (-F.col("top.col2")).alias("pivot")).groupBy("rep", "pivot").agg(F.count("*").alias("hits")),
-        "collisions",
-    )
-    chosen = prefix.select("rep", "k1", "k2").distinct().join(collisions.select("rep").distinct(), "rep")
-    sets = written(_sets_of(docs, chosen, width), "sets")
-    star = collisions.filter("rep != pivot").groupBy("rep").agg(F.max(F.struct("hits", -F.col("pivot"))).alias("best")).select("rep", (-F.col("best.col2")).alias("pivot"))
 
-    # Each pivot's set is sent once for each block of the classes that go to it.
-    sized = star.join(sets, "rep")
-    blocks = sized.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = sized.join(blocks, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "rep", "set")
-    heads = blocks.join(sets.withColumnRenamed("rep", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("pivot").alias("rep"), "set")
+
+def _collisions(prefix: DataFrame) -> DataFrame:
+    """rep, n, pivot, hits: how many lists name the pivot to the class."""
+    pivots = prefix.groupBy("kv").agg(F.count("*").alias("len"), F.max(F.struct("central", -F.col("rep"))).alias("top")).filter("len > 1")
+    return written(prefix.join(pivots, "kv").select("rep", "n", (-F.col("top.col2")).alias("pivot")).groupBy("rep", "n", "pivot").agg(F.count("*").alias("hits")), "collisions")
+
+
+def _signatures(rows: DataFrame, name: str) -> DataFrame:
+    """A row for each id, under these names."""
+    return rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(name), F.col("sig").alias(f"{name}_sig"))
+
+
+def _star_links(docs: DataFrame, rows: DataFrame, collisions: DataFrame, width: int, similar: int) -> DataFrame:
+    """a, b: each class with the pivot that it collides with most, confirmed on the full sets."""
+    best = collisions.filter("rep != pivot").groupBy("rep", "n").agg(F.max(F.struct("hits", -F.col("pivot"))).alias("best")).select("rep", "n", (-F.col("best.col2")).alias("pivot"))
+    matches = F.size(F.filter(F.zip_with("rep_sig", "pivot_sig", lambda x, y: x == y), lambda x: x))
+    best = written(best.join(_signatures(rows, "rep"), "rep").join(_signatures(rows, "pivot"), "pivot").filter(matches >= T).select("rep", "n", "pivot"), "best")
+    # Each pivot's text is sent once for each block of the classes that go to it.
+    blocks = best.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = best.join(blocks, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"))
+    heads = blocks.select(F.col("pivot").alias("rep"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
+    dealt = met(docs, members.unionByName(heads), "rep").repartition(partitions(docs.sparkSession), "pivot", "block")
 
     def confirmed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        from .tokens import portions
+
         head, of = np.zeros(0, np.uint64), None
         for batch in batches:
-            found = []
-            for pivot, side, rep, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(data, np.uint64)
-                if side == 0:
-                    head, of = own, pivot
-                elif of == pivot and len(head):
-                    at = np.minimum(np.searchsorted(head, own), len(head) - 1)
-                    if _linked(int((head[at] == own).sum()), len(own), len(head), similar):
-                        found.append((rep, pivot))
+            columns, at, found = [c.to_pylist() for c in batch.columns], 0, []
+            for texts in portions(columns[0]):
+                for own in shingle_sets(texts, width):
+                    pivot, side, rep = (c[at] for c in columns[1:])
+                    at += 1
+                    if side == 0:
+                        head, of = own, pivot
+                    elif of == pivot and len(head) and len(own):
+                        place = np.minimum(np.searchsorted(head, own), len(head) - 1)
+                        if _linked(int((head[place] == own).sum()), len(own), len(head), similar):
+                            found.append((rep, pivot))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    first = written(
-        members.unionByName(heads).repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", "side").select("pivot", "side", "rep", "set").mapInArrow(confirmed, "a long, b long"),
-        "links",
-    )
-    label = written(components(first, "a", "b"), "labels")
-    named = collisions.join(label.withColumnRenamed("node", "rep").withColumnRenamed("label", "own"), "rep", "left")
-    named = named.join(label.withColumnRenamed("node", "pivot").withColumnRenamed("label", "family"), "pivot", "left")
-    halo = written(
-        named.select("rep", F.coalesce("own", "rep").alias("own"), F.coalesce("family", "pivot").alias("family")).filter("own != family").distinct(),
-        "halo",
-    )
-    families = halo.select("family").distinct()
-    around = sets.join(halo, "rep").select("family", "rep", "own", "n", "set")
-    core = sets.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("label", "rep")).join(families, "family").select("family", "rep", F.col("family").alias("own"), "n", "set")
-    everyone = written(core.withColumn("probe", F.lit(False)).unionByName(around.withColumn("probe", F.lit(True))), "families")
-    sizes = everyone.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("probe"), F.col("n"))) / BLOCK_SHINGLES).cast("int").alias("probes"))
+    return written(dealt.sortWithinPartitions("pivot", "block", "side").select("text", "pivot", "side", "rep").mapInArrow(confirmed, "a long, b long"), "links")
+
+
+def _families(collisions: DataFrame, label: DataFrame) -> DataFrame:
+    """family, rep, n, own, probe: what is still to be compared. All of a family, the probes with every one."""
+    own = label.withColumnRenamed("node", "rep").withColumnRenamed("label", "own")
+    named = collisions.join(own, "rep", "left").join(label.withColumnRenamed("node", "pivot").withColumnRenamed("label", "family"), "pivot", "left")
+    named = named.select("rep", "n", F.coalesce("own", "rep").alias("own"), F.coalesce("family", "pivot").alias("family"))
+    halo = written(named.filter("own != family").distinct(), "halo")
+    core = named.select("rep", "n", "own").distinct().withColumn("family", F.col("own")).join(halo.select("family").distinct(), "family")
+    return written(core.select("family", "rep", "n", "own", F.lit(False).alias("probe")).unionByName(halo.select("family", "rep", "n", "own", F.lit(True).alias("probe"))), "families")
+
+
+def _dealt(everyone: DataFrame, weight: Column, most: int, columns: list[str]) -> DataFrame:
+    """family, i, j, side, columns: each member (side 1) in a block with each share of its family's probes (side 0)."""
+    sizes = everyone.groupBy("family").agg(F.ceil(F.sum(weight) / most).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("probe"), weight)) / most).cast("int").alias("probes")).filter("probes > 0")
     dealt = everyone.join(sizes, "family").withColumn("h", F.xxhash64("rep"))
     one, all_of = F.sequence(F.lit(0), F.col("probes") - 1), F.sequence(F.lit(0), F.col("parts") - 1)
-    columns = ["family", "i", "j", "side", "rep", "own", "set"]
-    as_member = dealt.withColumn("j", F.pmod("h", "parts").cast("int")).withColumn("i", F.explode(one)).withColumn("side", F.lit(1)).select(columns)
-    as_probe = dealt.filter("probe").withColumn("i", F.pmod("h", "probes").cast("int")).withColumn("j", F.explode(all_of)).withColumn("side", F.lit(0)).select(columns)
+    as_member = dealt.withColumn("j", F.pmod("h", "parts").cast("int")).withColumn("i", F.explode(one)).withColumn("side", F.lit(1))
+    as_probe = dealt.filter("probe").withColumn("i", F.pmod("h", "probes").cast("int")).withColumn("j", F.explode(all_of)).withColumn("side", F.lit(0))
+    named = ["family", "i", "j", "side", *columns]
+    return as_member.select(named).unionByName(as_probe.select(named))
 
-    def compared(block):  # noqa: ANN001, ANN202  a pyarrow.Table of one block
+
+def _colliding(rows: DataFrame, everyone: DataFrame) -> DataFrame:
+    """Those of everyone that have T collisions of signatures with another component's class of their family, on which side."""
+
+    def counted(block):  # noqa: ANN001, ANN202  a pyarrow.Table: one block
+        import numpy as np
+        import pyarrow as pa
+
+        side, own, rep = (np.array(block.column(c).to_pylist(), np.int64) for c in ("side", "own", "rep"))
+        sig = np.array(block.column("rep_sig").to_pylist(), np.int32).reshape(len(side), -1)
+        probes, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        there, found = sig[members], np.zeros(len(side), bool)
+        for k in probes.tolist():
+            hit = ((there == sig[k]).sum(1) >= T) & (own[members] != own[k])
+            if hit.any():
+                found[k] = True
+                found[members[hit]] = True
+        chosen = np.flatnonzero(found)
+        family = block.column("family")[0].as_py() if len(side) else 0
+        return pa.table({"family": pa.array([family] * len(chosen), pa.int64()), "rep": pa.array(rep[chosen]), "probe": pa.array(side[chosen] == 0)})
+
+    signed_rows = _dealt(everyone, F.lit(1), BLOCK_SIGNATURES, ["rep", "own"]).join(_signatures(rows, "rep"), "rep")
+    pairs = signed_rows.groupBy("family", "i", "j").applyInArrow(counted, "family long, rep long, probe boolean")
+    chosen = pairs.groupBy("family", "rep").agg(F.max("probe").alias("chosen"))
+    return written(everyone.join(chosen, ["family", "rep"]).select("family", "rep", "n", "own", (F.col("probe") & F.col("chosen")).alias("probe")), "colliding")
+
+
+def _family_links(docs: DataFrame, everyone: DataFrame, width: int, similar: int) -> DataFrame:
+    columns = ["family", "i", "j", "side", "rep", "own"]
+
+    def compared(block):  # noqa: ANN001, ANN202  a pyarrow.Table: one block
         import pyarrow as pa
 
-        side = block.column("side").to_pylist()
-        rep, own = block.column("rep").to_pylist(), block.column("own").to_pylist()
-        data = block.column("set").to_pylist()
-        found = _block_links([(r, o, d) for s, r, o, d in zip(side, rep, own, data, strict=True) if s == 0], [(r, o, d) for s, r, o, d in zip(side, rep, own, data, strict=True) if s == 1], similar)
+        sets = shingle_sets(block.column("text").to_pylist(), width)
+        rows = list(zip(block.column("side").to_pylist(), block.column("rep").to_pylist(), block.column("own").to_pylist(), sets, strict=True))
+        found = _block_links([r[1:] for r in rows if r[0] == 0 and len(r[3])], [r[1:] for r in rows if r[0] == 1 and len(r[3])], similar)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    second = as_member.unionByName(as_probe).groupBy("family", "i", "j").applyInArrow(compared, "a long, b long")
+    return written(met(docs, _dealt(everyone, F.col("n"), BLOCK_SHINGLES, ["rep", "own"]), "rep").select(*columns, "text").groupBy("family", "i", "j").applyInArrow(compared, "a long, b long"), "links")
+
+
+def links(docs: DataFrame, rows: DataFrame, width: int, similar: int) -> DataFrame:
+    """a, b: links between representatives of classes, enough to connect all that are linked."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
+    prefix = _prefixes(rows)
+    released(spark)
+    collisions = _collisions(prefix)
+    dropped(prefix)
+    released(spark)
+    first = _star_links(texts, rows, collisions, width, similar)
+    released(spark)
+    everyone = _families(collisions, written(components(first, "a", "b"), "labels"))
+    released(spark)
+    everyone = _colliding(rows, everyone)
+    released(spark)
+    second = _family_links(texts, everyone, width, similar)
+    released(spark)
     return first.unionByName(second)
 
 
 def _block_links(probes: list[tuple], members: list[tuple], similar: int) -> list[tuple[int, int]]:
-    """Links between probes and members, leaving out those between what already hangs together here."""
+    """Links between probes and members (rep, own label, set), leaving out those between what already hangs together here."""
     import numpy as np
 
     if not probes or not members:
         return []
-    sets = [np.frombuffer(d, np.uint64) for _, _, d in members]
+    sets = [s for _, _, s in members]
     size = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
@@ -263,8 +300,7 @@ def _block_links(probes: list[tuple], members: list[tuple], similar: int) -> lis
         return x
 
     out = []
-    for rep, own, data in probes:
-        mine = np.frombuffer(data, np.uint64)
+    for rep, own, mine in probes:
         low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
         n = high - low
         at = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
