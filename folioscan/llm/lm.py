@@ -31,12 +31,12 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, remainder, small_batches, text_of, written
+from .common import partitions, released, remainder, small_batches, text_of, written
 
 if TYPE_CHECKING:
     import numpy as np
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 FILTER_BITS_EACH, MAX_FILTER_BITS, HASHES = 8, 1 << 29, 3
 MU = 30.0
 END = b"\n"  # never a word
@@ -246,11 +246,13 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
     blocks = blocks_of(docs, block_tokens)
     buckets = partitions(spark)
     counts = written(word_counts(blocks, buckets), "counts")
+    released(spark)
     sums = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).head()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     pairs = blocks.agg(F.sum("n_pairs").alias("n")).head()["n"] or 0
     bits = min(max_bits, max(1 << 12, FILTER_BITS_EACH * int(pairs)))
     shared = spark.sparkContext.broadcast(filter_of(blocks, buckets, bits))
+    released(spark)
 
     def scores(batches: Iterator) -> Iterator:
         import numpy as np
