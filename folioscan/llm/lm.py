@@ -11,9 +11,10 @@ token. Documents whose crc32(id) mod 5 isn't 1 are learnt from; all are scored.
 3. Bigrams of the learnt documents are counted by hash bucket. A count c is quantised to the level
    q = 1 + floor(log2 c), and (bigram, 1) ... (bigram, q) are put into a Bloom filter. A bucket has
    a segment of the filter of its own, so segments are made in parallel and only joined.
-4. The filter is broadcast. It has FILTER_BITS_EACH bits an n-gram, and never more than
-   MAX_FILTER_BITS: beyond that all n-grams still go in and the share of false hits rises, so raise
-   the parameter with the corpus. A bigram's level is found by probing levels 1, 2, ... until one
+4. The filter has FILTER_BITS_EACH bits an n-gram, whatever the corpus. Up to MAX_FILTER_BITS it is
+   broadcast. A larger one is never in one place: each block's distinct bigrams go to their buckets,
+   of about BUCKET_PAIRS bigrams, meet the bucket's segment where it is made, and their levels come
+   back to the block. A bigram's level is found by probing levels 1, 2, ... until one
    misses; its count is the middle of that level's range. The probability is smoothed towards the
    word's own: (c(u v) + MU p(v)) / (c(u) + MU), the context of the first token being an end.
 
@@ -38,6 +39,7 @@ if TYPE_CHECKING:
 
 BLOCK_TOKENS = 500_000
 FILTER_BITS_EACH, MAX_FILTER_BITS, HASHES = 8, 1 << 29, 3
+BUCKET_PAIRS = 1 << 21
 MU = 30.0
 END = b"\n"  # never a word
 
@@ -152,11 +154,8 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
     return sent.repartition(buckets, "bucket").mapInArrow(merged, "bucket int, block string, counts binary, n long, v long")
 
 
-def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES) -> np.ndarray:
-    """The log-frequency Bloom filter: a row of bits for each bucket, packed by 8."""
-    import numpy as np
-
-    segment = max(64, bits // buckets // 8 * 8)
+def pair_packets(blocks: DataFrame, buckets: int, held_out: bool) -> DataFrame:
+    """block, bucket, pairs (distinct, sorted), times learnt: those of held-out documents too if held_out."""
 
     def packets(batches: Iterator) -> Iterator:
         import numpy as np
@@ -165,11 +164,15 @@ def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES)
 
         unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for word_hashes, held, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, word_hashes, held, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size = np.array(lengths, np.int64)
                 ids = np.frombuffer(unpack(ids), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-                pairs = _pairs(np.frombuffer(word_hashes, "<u8"), ids, size)[np.repeat(~np.array(held, bool), size)]
-                pairs, times = np.unique(pairs, return_counts=True)
+                pairs, learnt = _pairs(np.frombuffer(word_hashes, "<u8"), ids, size), np.repeat(~np.array(held, bool), size)
+                if held_out:
+                    pairs, place = np.unique(pairs, return_inverse=True)
+                    times = np.bincount(place[learnt], minlength=len(pairs))
+                else:
+                    pairs, times = np.unique(pairs[learnt], return_counts=True)
                 # Buckets are ranges of the hash, so sorted hashes fall into them in order.
                 edges = np.searchsorted(pairs, _edges(buckets))
                 rows = []
@@ -177,36 +180,85 @@ def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES)
                     if y > x:
                         steps = np.diff(pairs[x:y], prepend=np.uint64(0)).astype("<u8")
                         rows.append((b, squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes()), squeeze(times[x:y].astype("<u4").tobytes())))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary()), "times": pa.array([r[2] for r in rows], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(rows), pa.string()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary()), "times": pa.array([r[2] for r in rows], pa.binary())})
+
+    return blocks.select("block", "hashes", "held_out", "lengths", "ids").mapInArrow(packets, "block string, bucket int, pairs binary, times binary")
+
+
+def _received(batches: Iterator) -> dict[int, list]:
+    """For each bucket its packets: block, pairs, times."""
+    import numpy as np
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    out: dict[int, list] = defaultdict(list)
+    for batch in batches:
+        for name, bucket, steps, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            steps = np.frombuffer(unpack(steps), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+            out[bucket].append((name, np.cumsum(steps, dtype=np.uint64), np.frombuffer(unpack(times), "<u4")))
+    return out
+
+
+def _counted(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's pairs, the level of each (0: not learnt), and where each packet's pairs are among them."""
+    import numpy as np
+
+    pairs, place = np.unique(np.concatenate([p for _, p, _ in found]), return_inverse=True)
+    times = np.bincount(place, weights=np.concatenate([t for _, _, t in found]))
+    return pairs, np.frexp(times)[1], place  # 1 + floor(log2)
+
+
+def _segment(pairs: np.ndarray, level: np.ndarray, segment: int, hashes: int) -> np.ndarray:
+    """A segment of the filter, packed by 8."""
+    import numpy as np
+
+    row = np.zeros(segment, bool)
+    for q in range(1, int(level.max()) + 1):
+        for at in _places(pairs[level >= q], q, segment, hashes):
+            row[at] = True
+    return np.packbits(row, bitorder="little")
+
+
+def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES) -> np.ndarray:
+    """The log-frequency Bloom filter: a row of bits for each bucket, packed by 8."""
+    import numpy as np
+
+    segment = max(64, bits // buckets // 8 * 8)
 
     def segments(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        pairs: dict[int, list] = defaultdict(list)
-        for batch in batches:
-            for bucket, steps, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                steps = np.frombuffer(unpack(steps), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
-                pairs[bucket].append((np.cumsum(steps, dtype=np.uint64), np.frombuffer(unpack(times), "<u4")))
-        for bucket, found in pairs.items():
-            all_pairs, place = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-            times = np.bincount(place, weights=np.concatenate([t for _, t in found]))
-            level = np.frexp(times)[1]  # 1 + floor(log2)
-            row = np.zeros(segment, bool)
-            for q in range(1, int(level.max()) + 1):
-                for at in _places(all_pairs[level >= q], q, segment, hashes):
-                    row[at] = True
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(row, bitorder="little").tobytes()], pa.binary())})
-
-    sent = blocks.select("hashes", "held_out", "lengths", "ids").mapInArrow(packets, "bucket int, pairs binary, times binary")
+        for bucket, found in _received(batches).items():
+            pairs, level, _ = _counted(found)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([_segment(pairs, level, segment, hashes).tobytes()], pa.binary())})
+
     out = np.zeros((buckets, segment // 8), np.uint8)
-    for r in sent.repartition(buckets, "bucket").mapInArrow(segments, "bucket int, bits binary").toLocalIterator():
+    for r in pair_packets(blocks, buckets, False).repartition(buckets, "bucket").mapInArrow(segments, "bucket int, bits binary").toLocalIterator():
         out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def block_levels(blocks: DataFrame, buckets: int, hashes: int = HASHES) -> DataFrame:
+    """block, bucket, levels (of the block's distinct pairs in that bucket, in their order), each bucket from a segment of its own n-grams' size."""
+
+    def probed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for bucket, found in _received(batches).items():
+            pairs, level, place = _counted(found)
+            bits = _segment(pairs, level, max(64, FILTER_BITS_EACH * int(level.sum())), hashes)
+            levels, end = levels_of(pairs, bits[None], hashes).astype(np.uint8)[place], 0
+            for name, own, _ in found:
+                start, end = end, end + len(own)
+                yield pa.RecordBatch.from_pydict({"block": [name], "bucket": pa.array([bucket], pa.int32()), "levels": pa.array([squeeze(levels[start:end].tobytes())], pa.binary())})
+
+    # A bucket is a partition, so that no task holds several.
+    return pair_packets(blocks, buckets, True).repartitionById(buckets, F.col("bucket")).mapInArrow(probed, "block string, bucket int, levels binary")
+
+
 def _edges(buckets: int) -> np.ndarray:
     """Buckets as ranges of 56-bit hashes."""
     import numpy as np
@@ -250,8 +302,17 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
     sums = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).head()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     pairs = blocks.agg(F.sum("n_pairs").alias("n")).head()["n"] or 0
-    bits = min(max_bits, max(1 << 12, FILTER_BITS_EACH * int(pairs)))
-    shared = spark.sparkContext.broadcast(filter_of(blocks, buckets, bits))
+    exact = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("exact"))
+    # A token is one n-gram at most, so this is enough for all levels.
+    bits = max(1 << 12, FILTER_BITS_EACH * int(pairs))
+    if bits <= max_bits:
+        shared = spark.sparkContext.broadcast(filter_of(blocks, buckets, bits))
+        joined = blocks.join(exact, "block").withColumn("levels", F.lit(None).cast("array<struct<bucket:int,levels:binary>>"))
+    else:
+        shared = None
+        levels = written(block_levels(blocks, max(buckets, -(-int(pairs) // BUCKET_PAIRS))), "levels")
+        levels = levels.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("levels"))
+        joined = blocks.join(exact, "block").join(levels, "block")
     released(spark)
 
     def scores(batches: Iterator) -> Iterator:
@@ -261,7 +322,7 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for hashes, names, held, lengths, ids, exact in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hashes, names, held, lengths, ids, exact, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes, size = np.frombuffer(hashes, "<u8"), np.array(lengths, np.int64)
                 ids = np.frombuffer(unpack(ids), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
                 c = np.empty(len(hashes), np.int64)
@@ -270,7 +331,11 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
                 doc = np.repeat(np.arange(len(size)), size)
                 base = np.bincount(doc, weights=np.log10(p)[ids], minlength=len(size))
                 known = np.bincount(doc, weights=(c > 0)[ids], minlength=len(size)).astype(np.int64)
-                level = levels_of(_pairs(hashes, ids, size), shared.value)
+                if shared is not None:
+                    level = levels_of(_pairs(hashes, ids, size), shared.value)
+                else:
+                    place = np.unique(_pairs(hashes, ids, size), return_inverse=True)[1]
+                    level = np.concatenate([np.frombuffer(unpack(x["levels"]), np.uint8) for x in found])[place]
                 context = np.empty_like(ids)
                 context[1:] = ids[:-1]
                 context[np.cumsum(size) - size] = ids[-1]
@@ -279,6 +344,5 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
                 model = np.bincount(doc, weights=np.log10((both + mu * p[ids]) / (c[context] + mu)), minlength=len(size))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(held, pa.bool_()), pa.array(size), pa.array(known), pa.array(base), pa.array(model)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    exact = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("exact"))
-    joined = blocks.join(exact, "block").select("hashes", "doc_ids", "held_out", "lengths", "ids", "exact")
+    joined = joined.select("hashes", "doc_ids", "held_out", "lengths", "ids", "exact", "levels")
     return joined.mapInArrow(scores, SCORES).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
