@@ -7,7 +7,8 @@ have been substituted. All windows of all documents meet all windows of all benc
 around it are compared: the document leaks the item if some stretch of COMPARE words (or the whole
 item, if shorter) has equal words in at least EQUAL_PERCENT % of its places.
 
-Items of fewer words than the widest mask also get masks without 0s. Items of fewer
+Items of up to COMPARE words have few windows, so they also get the light SHORT_MASKS, which fit any
+placement of the substitutions that EQUAL_PERCENT allows. Items of fewer
 than LEAST_WORDS words can't be told from ordinary prose: they match nothing. The item side is
 broadcast while it has at most BROADCAST_SEEDS seeds, which is counted; a larger one is joined by
 shuffle, the windows of a document being sent on only as hashes.
@@ -26,6 +27,8 @@ from .common import text_of, written
 #: Masks: where a word counts. Any two of them differ in most distances between 1s.
 MASKS = ("11011001", "110100101", "1010011011")
 COMPARE, EQUAL_PERCENT, LEAST_WORDS = 13, 75, 8
+#: Of up to 13 words at least 75 % equal, 3 in a row are equal, but for one placement of two substitutions in 8 words.
+SHORT_MASKS = ("111", "11011")
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -55,12 +58,11 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, item_id, n_equal, n_compared: the best stretch of each leaked item in each document."""
     items = items_of(benchmark)
-    widest = max(map(len, MASKS))
-    some_short = not items.filter(F.size("th") < widest).isEmpty()
-    masks = [*MASKS, *("1" * n for n in range(LEAST_WORDS, widest) if some_short)]
-    # An item has seeds of the regular masks and, if it is short, of the plain ones.
+    some_short = not items.filter(F.size("th") <= COMPARE).isEmpty()
+    masks = [*MASKS, *(SHORT_MASKS if some_short else ())]
+    # An item has seeds of the regular masks and, if it is short, of the light ones.
     item_seeds = seeds(items.withColumn("item_th", F.col("th")), ["item_id", "item_th", "th"], masks)
-    item_seeds = item_seeds.filter((F.col("mask") < len(MASKS)) | (F.size("item_th") < widest)).select("item_id", "item_th", F.col("at").alias("item_at"), "mask", "seed")
+    item_seeds = item_seeds.filter((F.col("mask") < len(MASKS)) | (F.size("item_th") <= COMPARE)).select("item_id", "item_th", F.col("at").alias("item_at"), "mask", "seed")
     texts = docs.select(F.col(key), word_hashes(text_of()).alias("th"))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     n = F.size("item_th")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -298,6 +299,20 @@ def test_decontamination(spark, docs, monkeypatch, most):
     assert decontaminate.leaked_documents(docs, benchmark.limit(0)).count() == 0 == decontaminate.leaked_documents(docs.limit(0), benchmark).count()
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 8 to 13 words with all placements of as many substitutions as the rule allows."""
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(8, 14)}
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    made, lengths = [], []
+    for n, w in items.items():
+        for out in combinations(range(n), n * (100 - decontaminate.EQUAL_PERCENT) // 100):
+            made.append((len(made), " ".join(["before", *("changed" if k in out else x for k, x in enumerate(w)), "after"])))
+            lengths.append(n)
+    made += [(-n, " ".join("changed" if k % 3 == 1 else x for k, x in enumerate(w))) for n, w in items.items()]  # more than allowed
+    found = {r.doc_id for r in decontaminate.leaked_documents(spark.createDataFrame(made, "doc_id long, text string"), benchmark).collect()}
+    assert Counter(n for k, n in enumerate(lengths) if k not in found) == Counter() and min(found) >= 0
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 8)))
