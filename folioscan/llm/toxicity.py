@@ -61,8 +61,8 @@ class Lexicons:
         hits = Counter(self.place[t] for t in terms if t in self.place)
         words = sum(1 for t in terms if t[0] != "^") or 1
         found = sum(n for k, n in hits.items() if k < LEXICONS)
-        letters = sum(map(str.isalpha, text[:20_000])) or 1
-        upper = sum(map(str.isupper, text[:20_000])) / letters
+        letters = sum(map(str.isalpha, text)) or 1
+        upper = sum(map(str.isupper, text)) / letters
         out = [1 if hits[k] >= (WORD_HITS if k < LEXICONS else BEGINNING_HITS) else 0 for k in range(2 * LEXICONS)]
         out.append(1 if found >= 0.004 * words and found > 1 else -1 if found <= 0.001 * words else 0)
         out.append(-1 if not hits else 0)

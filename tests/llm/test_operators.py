@@ -313,6 +313,12 @@ def test_decontamination_of_short_items(spark):
     assert Counter(n for k, n in enumerate(lengths) if k not in found) == Counter() and min(found) >= 0
 
 
+def test_shouting_late_in_a_long_text():
+    lexicons = toxicity.Lexicons({"grumblix": 0})
+    assert lexicons.votes("grumblix " + "quiet words " * 2000 + "LOUD WORDS " * 4000)[-1] == 1
+    assert lexicons.votes("grumblix " + "LOUD WORDS " * 2000 + "quiet words " * 4000)[-1] == 0
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 8)))
