@@ -21,6 +21,7 @@ no rows. Further columns don't matter.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -98,6 +99,17 @@ def _beside(words: list[re.Match], k: int) -> tuple[str, str]:
     return words[k - 1][0].lower() if k else "", words[k + 1][0].lower() if k + 1 < len(words) else ""
 
 
+def _around(text: str, words: list[re.Match], starts: list[int], ends: list[int], start: int, end: int) -> tuple[list[re.Match], list[re.Match]]:
+    """The WINDOW + 1 words before and after a span, however far; of a word that reaches into it, what stands outside."""
+    i, j = bisect_right(ends, start), bisect_left(starts, end)
+    before, after = words[max(0, i - WINDOW - 1) : i], words[j : j + WINDOW + 1]
+    if i < len(words) and starts[i] < start:
+        before += filter(None, [WORD.match(text, starts[i], start)])
+    if j and ends[j - 1] > end:
+        after = [*filter(None, [WORD.match(text, end)]), *after]
+    return before[-WINDOW - 1 :], after[: WINDOW + 1]
+
+
 def revealing_terms(docs: DataFrame) -> DataFrame:
     """term, kind (term or general), bits, share: a table in the shared folder. docs: doc_id, text (not null)."""
 
@@ -112,13 +124,12 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 if not spans:
                     continue
-                # only what stands near the spans is cut into words
+                words = list(WORD.finditer(text))
+                starts, ends = [m.start() for m in words], [m.end() for m in words]
                 for kind, start, end in spans:
                     entity = f"{kind}:{text[start:end].lower()}"
                     seen.append((entity, xxhash.xxh3_64_intdigest(text) >> 1))
-                    low = max(0, start - 40 * WINDOW)
-                    before, after = list(WORD.finditer(text, low, start))[-WINDOW - 1 :], list(WORD.finditer(text, end, end + 40 * WINDOW))[: WINDOW + 1]
-                    for side in (before, after):
+                    for side in _around(text, words, starts, ends, start, end):
                         for k, m in enumerate(side):
                             a, b = _beside(side, k)
                             rows.add((m[0].lower(), entity, xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1))

@@ -299,6 +299,16 @@ def test_decontamination(spark, docs, monkeypatch, most):
     assert decontaminate.leaked_documents(docs, benchmark.limit(0)).count() == 0 == decontaminate.leaked_documents(docs.limit(0), benchmark).count()
 
 
+def test_words_far_from_an_entity(spark):
+    """Candidate terms are words within WINDOW words, whatever stands between."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    made = [f"{word()} zorbamix {word()} {'12 ' * 150} a.person@mail.com {'34 ' * 150} {word()} quillfen {word()}" for _ in range(6)]
+    made += [" ".join(word() for _ in range(20)) for _ in range(600)]
+    terms = {r.term for r in pii.revealing_terms(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert {"zorbamix", "quillfen"} <= terms
+
+
 def test_decontamination_of_short_items(spark):
     """Items of 8 to 13 words with all placements of as many substitutions as the rule allows."""
     items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(8, 14)}
