@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches, text_of, written
 
 FIT_ROWS, TRIGRAMS, SMOOTHING, TEMPER, MOST_TRIGRAMS = 20_000, 4_000, 5.0, 0.1, 400
-LANGUAGES = 64
 HIDDEN = re.compile(r"<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
@@ -74,10 +74,15 @@ def fit(docs: DataFrame) -> dict[str, dict[str, float]]:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "gram": list(c), "n": pa.array(c.values(), pa.int64())})
 
     counts = written(chosen.select(F.col("lang"), text_of().alias("text")).mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
-    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    # One job for all languages, however many are labelled.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    kept: dict[str, list] = {}
+    for r in counts.withColumn("place", first).filter(F.col("place") <= TRIGRAMS).collect():
+        kept.setdefault(r["lang"], []).append(r)
     out = {}
     for lang, n in sorted(sums.items()):
-        best = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(TRIGRAMS).collect()
+        best = kept[lang]
         size = n + 0.5 * (len(best) + 1)
         out[lang] = {r["gram"]: math.log((r["n"] + 0.5) / size) for r in best} | {"": math.log(0.5 / size)}
     return out

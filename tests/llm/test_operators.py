@@ -366,6 +366,16 @@ def test_language(spark):
     assert language.identify(pages.limit(0), docs).count() == 0 and language.identify(pages, docs.limit(0)).filter("lang IS NOT NULL").count() == 0
 
 
+def test_language_keeps_all_labelled(spark):
+    rng = random.Random(21)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}
+    docs = spark.createDataFrame([(k, " ".join(w * (2 if k else 1)), lang) for k, (lang, w) in enumerate(words.items())], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert sorted(model) == sorted(words)
+    pages = spark.createDataFrame([(k, None, f"<p>{' '.join(words[f'l{k:02}'])}") for k in (0, 35, 69)], "page_id long, url string, html string")
+    assert {r.page_id: r.text_lang for r in language.identify(pages, docs).collect()} == {0: "l00", 35: "l35", 69: "l69"}
+
+
 def test_licences(spark, docs):
     texts = ["Some prose.\nReleased under the MIT License.\nMore.", "LICENSED under the Apache License, Version 2.0!", "My license expired, and the car is under repair.", None, "", "This work is licensed under the GNU General Public License, version 3.\n" * 2, "the of and"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("grams", F.lit(1))
