@@ -1,9 +1,11 @@
 """Token ids of whole texts by the tokenizers library, with the ids of words kept per worker.
 
-A byte-level tokenizer of this kind cuts text before each single space that stands between two
-characters that aren't white space. So a text without runs of white space can be encoded word by
-word, and each distinct word goes through the library once per worker, until its table is full and
-starts anew. All other texts go through the library whole.
+A byte-level tokenizer cuts text before each single space that stands between two characters that
+aren't white space. So a text without runs of white space can be encoded word by word, and each
+distinct word goes through the library once per worker, until its table is full and starts anew. All
+other texts go through the library whole: those with runs, those that hold the string of an added
+token (which the library finds before it cuts words), and all texts of a tokenizer of another kind,
+which is seen from its file.
 
 The table is made of arrays: words of up to 24 bytes (with the space before them) are three 64-bit
 numbers and a length, found by hash and compared in full, for a portion of texts at once. Longer
@@ -12,6 +14,7 @@ words go through the library each time.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -136,16 +139,31 @@ def _starting_with_space(tokenizer: Tokenizer) -> np.ndarray:
     return out
 
 
+def _cuts_words(tokenizer: Tokenizer) -> bool:
+    """Whether it is byte-level BPE with the usual pattern, and nothing changes texts before that."""
+    said = json.loads(tokenizer.to_str())
+    cut = said.get("pre_tokenizer") or {}
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    plain = not any(said.get(k) for k in ("normalizer", "truncation", "padding")) and said["model"].get("type") == "BPE"
+    return bool(usual and plain and not said["model"].get("dropout") and not said["model"].get("ignore_merges"))
+
+
 class Encoder:
-    """Texts to ids, each text as the bytes of little-endian unsigned 32-bit numbers."""
+    """Texts to ids, each text as the bytes of little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str, table_words: int = TABLE_WORDS) -> None:
+    special_as_text: strings of special tokens in a text are ordinary text, not those tokens.
+    """
+
+    def __init__(self, path: str, table_words: int = TABLE_WORDS, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.cuts_words = _cuts_words(self.tokenizer)
         self.starts_with_space = _starting_with_space(self.tokenizer)
         self.table = WordTable(table_words)
         self.first: dict[str, bytes] = {}
@@ -279,8 +297,10 @@ class Encoder:
         return [f + flat[a:b] for f, a, b in zip(first, cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts_words:
+            return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if not has_runs(t)]
+        plain = [i for i, t in enumerate(texts) if not has_runs(t) and not (self.added and self.added.search(t))]
         other = sorted(set(range(len(texts))) - set(plain))
         for chosen, by in ((plain, self._by_words), (other, self.whole)):
             if chosen:

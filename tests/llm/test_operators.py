@@ -11,11 +11,11 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from folioscan.llm import common, decontaminate, language, licences, lm, near_dedup, packing, pii, quality, token_files, toxicity
 from folioscan.llm.components import components
 from folioscan.llm.queries import tokenizer_path
-from folioscan.llm.tokens import Encoder
 from folioscan.llm.wavelet import WaveletMatrix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -180,8 +180,8 @@ def test_bloom_levels():
 
 
 def encoded(rows):
-    e = Encoder(tokenizer_path())
-    return [(i, np.append(np.frombuffer(x, "<u4"), 0).astype("<u4")) for (i, _), x in zip(rows, e.whole([t or "" for _, t in rows]), strict=True)]
+    t = Tokenizer.from_file(tokenizer_path())
+    return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")) for i, x in rows]
 
 
 def test_token_files(spark, docs, rows):

@@ -1,5 +1,6 @@
 """The parts that need no cluster, against plain versions."""
 
+import json
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from folioscan.llm import packing, pii, toxicity
 from folioscan.llm.near_dedup import K, LEAST, shingle_sets, signatures
@@ -44,12 +46,28 @@ def test_wavelet_blocks_and_damage():
             WaveletMatrix(bad)
 
 
+def by_library(texts):
+    """The library itself, text by text."""
+    t = Tokenizer.from_file(tokenizer_path())
+    return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_tokens_of_other_kinds(tmp_path):
+    said = json.loads(open(tokenizer_path()).read())
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    own = Encoder(str(tmp_path / "other.json"), 100)
+    assert not own.cuts_words and Encoder(tokenizer_path(), 100).cuts_words
+    assert own.encode(["a b", "b"]) == [np.array(own.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("a b", "b")]
+    assert np.frombuffer(Encoder(tokenizer_path(), 100).encode(["a<|endoftext|>b"])[0], "<u4").tolist() == [64, 50256, 65]
+    assert np.frombuffer(Encoder(tokenizer_path(), 100, special_as_text=True).encode(["a<|endoftext|>b"])[0], "<u4").tolist() == [64, 27, 91, 437, 1659, 5239, 91, 29, 65]
+
+
 def test_tokens_equal_the_library():
-    whole = Encoder(tokenizer_path())
     rng = random.Random(2)
     bits = [" ", "  ", "\n", "\t", "a", "The", "ção", "'s", ",", "!!", "1.", "x9", " ", "\x1c", "😀", "<|endoftext|>", "-", "word" * 20]
     texts = ["", " ", *("".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(1500)), *(" ".join(rng.choices(bits[4:], k=30)) for _ in range(500))]
-    expected = whole.whole(texts)
+    expected = by_library(texts)
     for size in (300_000, 8):
         own = Encoder(tokenizer_path(), size)
         assert [x for p in portions(texts, 500) for x in own.encode(p)] == expected
