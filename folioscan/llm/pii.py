@@ -3,36 +3,44 @@
 Base spans (e-mail, ip, card, phone; leftmost, not overlapping within a kind; matches that fail
 their test are dropped) are the protected entities. Beside them, an information-theoretic pass:
 
-1. Around each entity, the words within WINDOW words are candidate terms. A (term, entity) pair is
-   counted by its distinct neighbourhoods, the words next to the term: copies of one passage are one
-   piece of evidence, whatever their number. Pairs of LEAST_CONTEXTS neighbourhoods go on.
+1. Around each entity, the WINDOW words before and after, however far, are candidate terms. A (term,
+   entity) pair is counted by its distinct neighbourhoods, the words next to the term in the text:
+   copies of one passage are one piece of evidence, whatever their number. Pairs of LEAST_CONTEXTS
+   neighbourhoods go on.
 2. For these terms only, the corpus gives n(term), the distinct neighbourhoods in all texts; a term
    is dropped as soon as it has too many for any disclosure. The
    disclosure of entity by term is P(entity | term) = n(term, entity) / n(term), and the information
-   gained is log2(P(entity | term) / P(entity)) bits, P(entity) being its share of documents.
+   gained is log2(P(entity | term) / P(entity)) bits, P(entity) being its share of distinct texts.
 3. Terms that gain at least LEAST_BITS and reveal an entity with P >= REMOVE_AT are removed wherever
    they stand (kind "term"); from GENERALISE_AT on they are generalised (kind "general").
 
-Up to BROADCAST_TERMS terms are broadcast, counted first; more are met by a join on the words.
-Null text: empty, no spans. Null ids: returned as they are. Repeated rows: one result each. No rows:
-no rows. Further columns don't matter.
+Up to BROADCAST_TERMS terms are broadcast, counted first; more are met by a join on the words, which
+are cut in the same way, so results don't depend on their number. Spans of a text are found, told
+apart and replaced in one sorted sweep, so a long text takes time in proportion. Ties: of two spans
+that overlap, the longer is replaced, of equally long ones the first. Null text: empty, no spans.
+Null ids: returned as they are. Repeated rows: one result each. No rows: no rows. Further columns
+don't matter to find(), and sanitise() returns them unchanged.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, small_batches, text_of, written
 
+if TYPE_CHECKING:
+    import numpy as np
+
 WINDOW, LEAST_CONTEXTS, LEAST_BITS, REMOVE_AT, GENERALISE_AT = 6, 3, 6.0, 0.8, 0.5
 BROADCAST_TERMS = 200_000
-#: Neighbourhoods that a task holds before it sends them.
-HELD_CONTEXTS = 500_000
+#: Neighbourhoods, and pairs with theirs, that a task holds before it sends them.
+HELD_CONTEXTS, HELD_PAIRS = 200_000, 50_000
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -76,38 +84,105 @@ def base_spans(text: str) -> list[Span]:
 
 
 def term_spans(text: str, terms: dict[str, str], base: list[Span]) -> list[Span]:
-    """Where the terms stand, apart from base spans; by kind, then start."""
-    found = [(terms[w], *m.span()) for m in WORD.finditer(text) if (w := m[0].lower()) in terms] if terms else []
-    free = [s for s in found if not any(s[1] < e and b < s[2] for _, b, e in base)]
-    return sorted(free, key=lambda s: (s[0] != "term", s[1]))
+    """Where the terms stand, apart from base spans; by kind, then start. One sweep over both."""
+    if not terms:
+        return []
+    taken = merged(base)
+    found, k = [], 0
+    for m in WORD.finditer(text):
+        kind = terms.get(m[0].lower())
+        if kind:
+            start, end = m.span()
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            if k == len(taken) or end <= taken[k][0]:
+                found.append((kind, start, end))
+    return sorted(found, key=lambda s: (s[0] != "term", s[1]))
+
+
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((b, e) for _, b, e in spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
 
 
 def sanitised(text: str, spans: list[Span]) -> str:
-    """The text with its spans replaced; where spans overlap, the longer one holds."""
-    chosen: list[Span] = []
-    for s in sorted(spans, key=lambda s: (s[1] - s[2], s[1])):
-        if all(s[2] <= b or e <= s[1] for _, b, e in chosen):
-            chosen.append(s)
+    """The text with its spans replaced; where spans overlap, the longer one holds, of equal ones the first."""
+    chosen: list[Span] = []  # by start
+    groups: list[list[Span]] = []  # of spans that hang together
+    reach = -1
+    for s in sorted(spans, key=lambda s: (s[1], s[2])):
+        if s[1] < reach:
+            groups[-1].append(s)
+        else:
+            groups.append([s])
+        reach = max(reach, s[2])
+    for group in groups:
+        own_starts: list[int] = []
+        own: list[Span] = []
+        for s in sorted(group, key=lambda s: (s[1] - s[2], s[1])) if len(group) > 1 else group:
+            at = bisect_left(own_starts, s[1])
+            if (at == 0 or own[at - 1][2] <= s[1]) and (at == len(own) or s[2] <= own[at][1]):
+                own_starts.insert(at, s[1])
+                own.insert(at, s)
+        chosen += own
     out, at = [], 0
-    for kind, start, end in sorted(chosen, key=lambda s: s[1]):
+    for kind, start, end in chosen:
         out += [text[at:start], REPLACED[kind]]
         at = end
     return "".join(out) + text[at:]
 
 
-def _beside(words: list[re.Match], k: int) -> tuple[str, str]:
-    return words[k - 1][0].lower() if k else "", words[k + 1][0].lower() if k + 1 < len(words) else ""
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    import numpy as np
+
+    flat = np.fromiter((x for m in WORD.finditer(text) for x in m.span()), np.int64)
+    return flat[::2], flat[1::2]
+
+
+def _context(before: str, after: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{before} {after}") >> 1
+
+
+def neighbours(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int]]:
+    """(term, entity, context): each word within WINDOW words of an entity, however far, with its neighbourhood.
+
+    A neighbourhood is the words next to a term in the whole text, as all_contexts() has it.
+    Words that overlap the entity itself are no terms.
+    """
+    import numpy as np
 
+    starts, ends = _words(text)
 
-def _around(text: str, words: list[re.Match], starts: list[int], ends: list[int], start: int, end: int) -> tuple[list[re.Match], list[re.Match]]:
-    """The WINDOW + 1 words before and after a span, however far; of a word that reaches into it, what stands outside."""
-    i, j = bisect_right(ends, start), bisect_left(starts, end)
-    before, after = words[max(0, i - WINDOW - 1) : i], words[j : j + WINDOW + 1]
-    if i < len(words) and starts[i] < start:
-        before += filter(None, [WORD.match(text, starts[i], start)])
-    if j and ends[j - 1] > end:
-        after = [*filter(None, [WORD.match(text, end)]), *after]
-    return before[-WINDOW - 1 :], after[: WINDOW + 1]
+    def word(k: int) -> str:
+        return text[starts[k] : ends[k]].lower() if 0 <= k < len(starts) else ""
+
+    for kind, start, end in spans:
+        entity = f"{kind}:{text[start:end].lower()}"
+        i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(starts, end, "left"))
+        for k in (*range(max(0, i - WINDOW), i), *range(j, min(len(starts), j + WINDOW))):
+            yield word(k), entity, _context(word(k - 1), word(k + 1))
+
+
+def all_contexts(text: str) -> Iterator[tuple[str, int, int]]:
+    """(term, the word before, the word after) for each word of the text."""
+    before, now = "", None
+    for m in WORD.finditer(text):
+        after = m[0].lower()
+        if now is not None:
+            yield now, before, after
+            before = now
+        now = after
+    if now is not None:
+        yield now, before, ""
 
 
 def revealing_terms(docs: DataFrame) -> DataFrame:
@@ -117,34 +192,41 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        def sent(rows: set, seen: set) -> pa.RecordBatch:
+            both = [*rows, *seen]
+            return pa.RecordBatch.from_pydict({"term": pa.array([r[0] for r in both], pa.string()), "entity": pa.array([r[1] for r in both], pa.string()), "context": pa.array([r[2] for r in both], pa.int64())})
+
+        rows: set[tuple] = set()
+        seen: set[tuple] = set()
         for batch in batches:
-            rows = set()
-            seen = []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
+                text = text.as_py()
+                own = xxhash.xxh3_64_intdigest(text) >> 1
+                seen.add((None, None, own))
                 spans = base_spans(text)
-                if not spans:
-                    continue
-                words = list(WORD.finditer(text))
-                starts, ends = [m.start() for m in words], [m.end() for m in words]
-                for kind, start, end in spans:
-                    entity = f"{kind}:{text[start:end].lower()}"
-                    seen.append((entity, xxhash.xxh3_64_intdigest(text) >> 1))
-                    for side in _around(text, words, starts, ends, start, end):
-                        for k, m in enumerate(side):
-                            a, b = _beside(side, k)
-                            rows.add((m[0].lower(), entity, xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1))
-            yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _, _ in rows] + [None] * len(seen), pa.string()), "entity": pa.array([e for _, e, _ in rows] + [e for e, _ in seen], pa.string()), "context": pa.array([c for _, _, c in rows] + [c for _, c in seen], pa.int64())})
+                for row in neighbours(text, spans) if spans else ():
+                    rows.add(row)
+                    if len(rows) > HELD_PAIRS:
+                        yield sent(rows, seen)
+                        rows, seen = set(), set()
+                seen.update((None, f"{kind}:{text[b:e].lower()}", own) for kind, b, e in spans)
+                if len(seen) > HELD_PAIRS:
+                    yield sent(rows, seen)
+                    rows, seen = set(), set()
+        yield sent(rows, seen)
 
     spark = docs.sparkSession
     small_batches(spark)
     found = written(docs.select("text").mapInArrow(pairs, "term string, entity string, context long"), "pairs")
-    entities = found.filter("term IS NULL").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Entities and texts are both counted by distinct text, so copies weigh nothing.
+    texts = found.filter("term IS NULL").distinct()
+    n_docs = max(1, texts.filter("entity IS NULL").count())
+    entities = texts.filter("entity IS NOT NULL").groupBy("entity").agg(F.count("*").alias("n_entity"))
     both = written(found.filter("term IS NOT NULL").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= LEAST_CONTEXTS), "both")
     # With more neighbourhoods than this, no entity's share of them reaches GENERALISE_AT.
     terms = both.groupBy("term").agg(F.floor(F.max("n_both") / GENERALISE_AT).alias("most"))
     corpus = _contexts_of(docs, terms)
-    n_docs = max(1, docs.count())
-    strength = both.join(corpus, "term").join(entities, "entity").withColumn("share", F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))).withColumn("bits", F.log2(F.col("share") * n_docs / F.col("n_entity")))
+    strength = both.join(corpus, "term").join(entities, "entity").withColumn("share", F.col("n_both") / F.col("n_term")).withColumn("bits", F.log2(F.col("share") * n_docs / F.col("n_entity")))
     best = strength.filter(F.col("bits") >= LEAST_BITS).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")).filter(F.col("share") >= GENERALISE_AT)
     out = written(best.select("term", F.when(F.col("share") >= REMOVE_AT, "term").otherwise("general").alias("kind"), "bits", "share"), "terms")
     for t in (found, both):
@@ -163,37 +245,34 @@ def _contexts_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def contexts(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         wanted = chosen.value if chosen is not None else None
         held: dict[str, set[int]] = {}
         common: set[str] = set()
         size = 0
 
-        def sent() -> pa.RecordBatch:
-            rows = [(t, c) for t, found in held.items() for c in found]
-            return pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in rows], pa.string()), "context": pa.array([c for _, c in rows], pa.int64())})
+        def sent() -> Iterator:
+            for term, found in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([term] * len(found), pa.string()), pa.array(found, pa.int64())], names=["term", "context"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist() if n else ():
-                if wanted is not None and wanted.keys().isdisjoint(WORD.findall(text.lower())):
+            for text in batch.column(0) if n else ():
+                text = text.as_py()
+                if wanted is not None and wanted.keys().isdisjoint(map(str.lower, WORD.findall(text))):
                     continue
-                words = list(WORD.finditer(text))
-                for k, m in enumerate(words):
-                    term = m[0].lower()
+                for term, before, after in all_contexts(text):
                     if (wanted is None or term in wanted) and term not in common:
-                        a, b = _beside(words, k)
                         found = held.setdefault(term, set())
                         size -= len(found)
-                        found.add(xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1)
+                        found.add(_context(before, after))
                         size += len(found)
                         if wanted is not None and len(found) > wanted[term]:
                             size -= len(held.pop(term))
                             common.add(term)
-            if size > HELD_CONTEXTS:
-                yield sent()
-                held, size = {}, 0
-        yield sent()
+                        if size > HELD_CONTEXTS:
+                            yield from sent()
+                            held, size = {}, 0
+        yield from sent()
         yield pa.RecordBatch.from_pydict({"term": pa.array(sorted(common), pa.string()), "context": pa.array([None] * len(common), pa.int64())})
 
     rows = docs.select("text").mapInArrow(contexts, "term string, context long")
@@ -202,13 +281,23 @@ def _contexts_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("term").agg(F.count("context").alias("n_term"), F.count_if(F.col("context").isNull()).alias("common")).filter("common = 0").drop("common")
 
 
+def _distinct_words(batches: Iterator) -> Iterator:
+    """_row and each of the text's words, cut and put in lower case as everywhere here."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = list({m[0].lower() for m in WORD.finditer(text.as_py() or "")})
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(words, pa.string())], names=["_row", "term"])
+
+
 def with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, object]:
     """docs with own_terms, the (term, kind) pairs in each text where there are too many to broadcast, else null; and the broadcast."""
     spark = docs.sparkSession
     if terms.count() <= BROADCAST_TERMS:
         return docs.withColumn("own_terms", F.lit(None).cast("map<string,string>")), spark.sparkContext.broadcast({r["term"]: r["kind"] for r in terms.collect()})
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    words = numbered.select("_row", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\P{L}]+"))).alias("term"))
+    words = numbered.select("_row", "text").mapInArrow(_distinct_words, "_row long, term string")
     own = words.join(terms, "term").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("own_terms"))
     return numbered.join(own, "_row", "left").drop("_row"), None
 

@@ -245,6 +245,49 @@ def test_revealing_terms(spark, monkeypatch, most):
     assert got[1400].spans == "term:3:9" and got[0].n_terms == 1 and got[20].n_terms == 0
 
 
+def plain_terms(texts):
+    """term: kind, from all counts held at once."""
+    texts_of, both, alone = defaultdict(set), defaultdict(set), defaultdict(set)
+    for t in texts:
+        words = [(m[0].lower(), *m.span()) for m in pii.WORD.finditer(t)]
+        beside = [(words[k - 1][0] if k else "", words[k + 1][0] if k + 1 < len(words) else "") for k in range(len(words))]
+        for (w, _, _), c in zip(words, beside, strict=True):
+            alone[w].add(c)
+        for kind, b, e in pii.base_spans(t):
+            entity = f"{kind}:{t[b:e].lower()}"
+            texts_of[entity].add(t)
+            left, right = [k for k, w in enumerate(words) if w[2] <= b], [k for k, w in enumerate(words) if w[1] >= e]
+            for k in left[-pii.WINDOW :] + right[: pii.WINDOW]:
+                both[words[k][0], entity].add(beside[k])
+    out = {}
+    for (w, entity), found in both.items():
+        share = len(found) / len(alone[w])
+        if len(found) >= pii.LEAST_CONTEXTS and share >= pii.GENERALISE_AT and math.log2(share * len(set(texts)) / len(texts_of[entity])) >= pii.LEAST_BITS:
+            out[w] = "term" if share >= pii.REMOVE_AT or out.get(w) == "term" else "general"
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_terms_are_those_of_plain_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(pii, "HELD_CONTEXTS", 50)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdef", k=4))
+    people = [(word() + "İx", f"p{k}@mail{k}.org") for k in range(6)]
+    texts = []
+    for k in range(900):
+        w = [word() for _ in range(20)]
+        if k % 30 == 0:
+            name, mail = people[k // 30 % 6]
+            w[4], w[4 + rng.randint(1, 9)] = name, mail
+        elif k % 300 == 7:
+            w[7] = people[2][0]  # one name stands elsewhere too
+        texts.append(" ".join(w))
+    texts += texts[:50] + ["", "nothing"]
+    got = {r.term: r.kind for r in pii.revealing_terms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == plain_terms(texts) and {"term", "general"} == set(got.values())
+
+
 def plain_counts(text):
     w = WORDS.findall(text or "")
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -157,3 +158,47 @@ def test_label_model():
 
 def test_crc_of_pieces():
     assert zlib.crc32(np.array([0], "<u4").tobytes()) == zlib.crc32(b"\0\0\0\0")
+
+
+def plainly_sanitised(text, spans):
+    chosen = []
+    for s in sorted(spans, key=lambda s: (s[1] - s[2], s[1])):
+        if all(s[2] <= b or e <= s[1] for _, b, e in chosen):
+            chosen.append(s)
+    for kind, b, e in sorted(chosen, key=lambda s: -s[1]):
+        text = text[:b] + pii.REPLACED[kind] + text[e:]
+    return text
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(sorted(pii.REPLACED)), st.integers(0, 40), st.integers(1, 9)), max_size=12))
+def test_overlapping_spans(found):
+    text = "".join(chr(65 + k % 26) for k in range(50))
+    spans = list({(b, b + n): (kind, b, b + n) for kind, b, n in found}.values())
+    assert pii.sanitised(text, spans) == plainly_sanitised(text, spans)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab 9.@", max_size=60))
+def test_term_spans(text):
+    terms, base = {"aaa": "term", "aba": "general", "bbb": "term"}, pii.base_spans(text)
+    plain = [(terms[m[0]], *m.span()) for m in pii.WORD.finditer(text) if m[0] in terms and not any(m.start() < e and b < m.end() for _, b, e in base)]
+    assert pii.term_spans(text, terms, base) == sorted(plain, key=lambda s: (s[0] != "term", s[1]))
+
+
+def test_many_spans_in_a_text():
+    text = "name ab@cd.ef zorbas " * 100_000
+    began = time.process_time()
+    base = pii.base_spans(text)
+    spans = base + pii.term_spans(text, {"zorbas": "term"}, base)
+    assert len(spans) == 200_000 and pii.sanitised(text, spans) == "name [EMAIL]  " * 100_000
+    assert time.process_time() - began < 10  # about 0.6 s
+
+
+def test_neighbours_and_contexts():
+    """What is counted beside an entity is counted alike in the whole text."""
+    text = "Yes one two three four five six seven a@b.cde eight 12 nine äb@x.yzz ten"
+    found = list(pii.neighbours(text, pii.base_spans(text)[:1]))
+    assert {t for t, _, _ in found} == {"two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "yzz"}
+    everywhere = {(t, pii._context(a, b)) for t, a, b in pii.all_contexts(text)}
+    assert {(t, c) for t, _, c in found} <= everywhere
