@@ -8,18 +8,22 @@ token. Documents whose crc32(id) mod 5 isn't 1 are learnt from; all are scored.
    here on, so no word is hot.
 2. The blocks' words are counted by hash bucket; each block gets its words' exact counts back.
    base_score needs nothing else.
-3. Bigrams of the learnt documents are counted by hash bucket. A count c is quantised to the level
-   q = 1 + floor(log2 c), and (bigram, 1) ... (bigram, q) are put into a Bloom filter. A bucket has
-   a segment of the filter of its own, so segments are made in parallel and only joined.
-4. The filter has FILTER_BITS_EACH bits an n-gram, whatever the corpus. Up to MAX_FILTER_BITS it is
-   broadcast. A larger one is never in one place: each block's distinct bigrams go to their buckets,
-   of about BUCKET_PAIRS bigrams, meet the bucket's segment where it is made, and their levels come
-   back to the block. A bigram's level is found by probing levels 1, 2, ... until one
-   misses; its count is the middle of that level's range. The probability is smoothed towards the
-   word's own: (c(u v) + MU p(v)) / (c(u) + MU), the context of the first token being an end.
-
-Null text: one end token. Null doc_id: learnt from. Repeated rows are counted and scored each.
-Without rows, or with none to learn from, N and V are 0 and base_score is log10(1/2 / 1/2) a token.
+3. Words and bigrams of the learnt documents are counted by hash bucket. A count c is quantised to
+   the level q = 1 + floor(log2 c), and (n-gram, 1) ... (n-gram, q) are put into a Bloom filter. A
+   bucket has a segment of the filter of its own, so segments are made in parallel and only joined.
+4. The filter has FILTER_BITS_EACH bits an entry, whatever the corpus. Up to MAX_FILTER_BITS it is
+   broadcast. A larger one is never in one place: each block's distinct n-grams go to their buckets,
+   meet the bucket's segment where it is made, and their levels come back to the block. An n-gram's
+   level is found by probing levels 1, 2, ... until one misses; its count c' is the middle of that
+   level's range, and no bigram's count exceeds its words'. All of the model's probabilities come
+   from these probes: p(v) = (c'(v) + 1/2) / (N + (V + 1) / 2), and
+   p(v | u) = (c'(u v) + MU p(v)) / (c'(u) + MU), the context of the first token being an end.
+
+Buckets are as many as the data need, about BUCKET_GRAMS n-grams each, so no task grows with the
+corpus. Null text: one end token. Null doc_id: learnt from. Repeated rows are counted and scored
+each. A long text makes a block of its own, as long as it is. Without rows, or with none to learn
+from, N and V are 0 and both scores are log10(1) a token. Ties: none. Only doc_id and text are read,
+so further columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,11 +43,11 @@ if TYPE_CHECKING:
 
 BLOCK_TOKENS = 500_000
 FILTER_BITS_EACH, MAX_FILTER_BITS, HASHES = 8, 1 << 29, 3
-BUCKET_PAIRS = 1 << 21
+BUCKET_GRAMS = 1 << 21
 MU = 30.0
 END = b"\n"  # never a word
 
-BLOCKS = "block string, n_words long, n_pairs long, words binary, hashes binary, counts binary, doc_ids array<long>, held_out array<boolean>, lengths array<int>, ids binary"
+BLOCKS = "block string, n_words long, n_pairs long, words binary, counts binary, doc_ids array<long>, held_out array<boolean>, lengths array<int>, ids binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -56,8 +60,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pairs(hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each token the hash of the pair that it ends, the first token's context being an end."""
+def _hashes(words: bytes) -> np.ndarray:
+    """A hash of each of a block's words."""
+    import numpy as np
+    import xxhash
+    import zstandard
+
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in zstandard.ZstdDecompressor().decompress(words).split(b" ")], dtype="<u8")
+
+
+def _ids(ids: bytes) -> np.ndarray:
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _grams(hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """48-bit hashes: for each token the pair that it ends, the first token's context being an end; then the block's words."""
     import numpy as np
 
     h = hashes[ids]
@@ -65,7 +85,22 @@ def _pairs(hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarr
     before[1:] = h[:-1]
     first = np.cumsum(lengths) - lengths
     before[first] = h[-1] if len(h) else 0  # each text ends with the end token
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(8)
+    return np.concatenate([_mix(before * np.uint64(0x9E3779B97F4A7C15) + h), _mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F))]) >> np.uint64(16)
+
+
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes, so sorted hashes fall into buckets in order."""
+    import numpy as np
+
+    return ((grams >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) for each bucket that occurs."""
+    import numpy as np
+
+    cuts = np.flatnonzero(np.diff(sorted_buckets, prepend=-1, append=-1)).tolist()
+    return [(int(sorted_buckets[x]), x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -74,11 +109,10 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     def blocks(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
         import zstandard
         from pyspark import TaskContext
 
-        schema = pa.schema([("block", pa.string()), ("n_words", pa.int64()), ("n_pairs", pa.int64()), ("words", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
+        schema = pa.schema([("block", pa.string()), ("n_words", pa.int64()), ("n_pairs", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
         squeeze = zstandard.ZstdCompressor(level=1).compress
         part, seq = TaskContext.get().partitionId(), 0
 
@@ -87,9 +121,8 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             ids, size = np.fromiter(coded, np.uint32, len(coded)), np.array(lengths, np.int64)
             learnt = np.repeat(~np.array(held, bool), size)
             counts = np.bincount(ids[learnt], minlength=len(table)).astype("<u4")
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in table], dtype="<u8")
             pairs = int(learnt.sum())
-            return pa.RecordBatch.from_pylist([{"block": f"{part}-{seq}", "n_words": len(table), "n_pairs": pairs, "words": squeeze(b" ".join(table)), "hashes": hashes.tobytes(), "counts": squeeze(counts.tobytes()), "doc_ids": names, "held_out": held, "lengths": lengths, "ids": squeeze(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"block": f"{part}-{seq}", "n_words": len(table), "n_pairs": pairs, "words": squeeze(b" ".join(table)), "counts": squeeze(counts.tobytes()), "doc_ids": names, "held_out": held, "lengths": lengths, "ids": squeeze(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())}], schema=schema)
 
         code: dict[bytes, int] = defaultdict(count().__next__)
         names, held, lengths, coded = [], [], [], []
@@ -114,7 +147,7 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, counts (of the block's words in that bucket, in their order), n, v of the bucket: exact corpus counts."""
+    """block, bucket, counts (of the block's words in that bucket, in their order), n, v, levels of the bucket: exact corpus counts."""
 
     def packets(batches: Iterator) -> Iterator:
         import numpy as np
@@ -123,12 +156,10 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
 
         unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for name, words, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table = np.array(unpack(words).split(b" "), dtype=object)
-                counts, bucket = np.frombuffer(unpack(counts), "<u4"), np.frombuffer(hashes, "<u8") % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(b, order[x:y]) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+            for name, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bucket, table = _word_bucket(_hashes(words), buckets), np.array(unpack(words).split(b" "), dtype=object)
+                counts, order = np.frombuffer(unpack(counts), "<u4"), np.argsort(bucket, kind="stable")
+                rows = [(b, order[x:y]) for b, x, y in _runs(bucket[order])]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "block": [name] * len(rows), "words": pa.array([squeeze(b" ".join(table[k].tolist())) for _, k in rows], pa.binary()), "counts": pa.array([counts[k].tobytes() for _, k in rows], pa.binary())})
 
     def merged(batches: Iterator) -> Iterator:
@@ -136,7 +167,7 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         code: dict[bytes, int] = defaultdict(count().__next__)
         total, kept = np.zeros(1024, np.int64), []
         for batch in batches:
@@ -146,16 +177,22 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
                     total = np.concatenate([total, np.zeros(max(len(code) - len(total), len(total)), np.int64)])
                 total[ids] += np.frombuffer(counts, "<u4")  # a block has each word once
                 kept.append((bucket, name, ids.astype(np.uint32)))
-        n, v = int(total.sum()), int((total > 0).sum())
+        n, v, levels = int(total.sum()), int((total > 0).sum()), int(np.frexp(total)[1].sum())
         for k, (bucket, name, ids) in enumerate(kept):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "block": [name], "counts": pa.array([total[ids].astype("<i8").tobytes()], pa.binary()), "n": [0 if k else n], "v": [0 if k else v]})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "block": [name], "counts": pa.array([squeeze(total[ids].astype("<i8").tobytes())], pa.binary()), "n": [0 if k else n], "v": [0 if k else v], "levels": [0 if k else levels]})
+
+    sent = blocks.select("block", "words", "counts").mapInArrow(packets, "bucket int, block string, words binary, counts binary")
+    return sent.repartition(buckets, "bucket").mapInArrow(merged, "bucket int, block string, counts binary, n long, v long, levels long")
 
-    sent = blocks.select("block", "words", "hashes", "counts").mapInArrow(packets, "bucket int, block string, words binary, counts binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(merged, "bucket int, block string, counts binary, n long, v long")
 
+def _word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    import numpy as np
+
+    return (hashes % np.uint64(buckets)).astype(np.int64)
 
-def pair_packets(blocks: DataFrame, buckets: int, held_out: bool) -> DataFrame:
-    """block, bucket, pairs (distinct, sorted), times learnt: those of held-out documents too if held_out."""
+
+def gram_packets(blocks: DataFrame, buckets: int, held_out: bool) -> DataFrame:
+    """block, bucket, grams (distinct, sorted), times learnt: those of held-out documents too if held_out."""
 
     def packets(batches: Iterator) -> Iterator:
         import numpy as np
@@ -164,29 +201,25 @@ def pair_packets(blocks: DataFrame, buckets: int, held_out: bool) -> DataFrame:
 
         unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for name, word_hashes, held, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, words, counts, held, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size = np.array(lengths, np.int64)
-                ids = np.frombuffer(unpack(ids), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-                pairs, learnt = _pairs(np.frombuffer(word_hashes, "<u8"), ids, size), np.repeat(~np.array(held, bool), size)
-                if held_out:
-                    pairs, place = np.unique(pairs, return_inverse=True)
-                    times = np.bincount(place[learnt], minlength=len(pairs))
-                else:
-                    pairs, times = np.unique(pairs[learnt], return_counts=True)
-                # Buckets are ranges of the hash, so sorted hashes fall into them in order.
-                edges = np.searchsorted(pairs, _edges(buckets))
+                grams = _grams(_hashes(words), _ids(ids), size)
+                times = np.concatenate([np.repeat(~np.array(held, bool), size), np.frombuffer(unpack(counts), "<u4")])
+                if not held_out:
+                    grams, times = grams[times > 0], times[times > 0]
+                grams, place = np.unique(grams, return_inverse=True)
+                times = np.bincount(place, weights=times, minlength=len(grams))
                 rows = []
-                for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                    if y > x:
-                        steps = np.diff(pairs[x:y], prepend=np.uint64(0)).astype("<u8")
-                        rows.append((b, squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes()), squeeze(times[x:y].astype("<u4").tobytes())))
-                yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(rows), pa.string()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary()), "times": pa.array([r[2] for r in rows], pa.binary())})
+                for b, x, y in _runs(_bucket(grams, buckets)):
+                    steps = np.diff(grams[x:y], prepend=np.uint64(0)).astype("<u8")
+                    rows.append((b, squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes()), squeeze(times[x:y].astype("<u4").tobytes())))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(rows), pa.string()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "grams": pa.array([r[1] for r in rows], pa.binary()), "times": pa.array([r[2] for r in rows], pa.binary())})
 
-    return blocks.select("block", "hashes", "held_out", "lengths", "ids").mapInArrow(packets, "block string, bucket int, pairs binary, times binary")
+    return blocks.select("block", "words", "counts", "held_out", "lengths", "ids").mapInArrow(packets, "block string, bucket int, grams binary, times binary")
 
 
 def _received(batches: Iterator) -> dict[int, list]:
-    """For each bucket its packets: block, pairs, times."""
+    """For each bucket its packets: block, grams, times."""
     import numpy as np
     import zstandard
 
@@ -200,21 +233,21 @@ def _received(batches: Iterator) -> dict[int, list]:
 
 
 def _counted(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's pairs, the level of each (0: not learnt), and where each packet's pairs are among them."""
+    """A bucket's n-grams, the level of each (0: not learnt), and where each packet's are among them."""
     import numpy as np
 
-    pairs, place = np.unique(np.concatenate([p for _, p, _ in found]), return_inverse=True)
+    grams, place = np.unique(np.concatenate([g for _, g, _ in found]), return_inverse=True)
     times = np.bincount(place, weights=np.concatenate([t for _, _, t in found]))
-    return pairs, np.frexp(times)[1], place  # 1 + floor(log2)
+    return grams, np.frexp(times)[1], place  # 1 + floor(log2)
 
 
-def _segment(pairs: np.ndarray, level: np.ndarray, segment: int, hashes: int) -> np.ndarray:
+def _segment(grams: np.ndarray, level: np.ndarray, segment: int, hashes: int) -> np.ndarray:
     """A segment of the filter, packed by 8."""
     import numpy as np
 
     row = np.zeros(segment, bool)
     for q in range(1, int(level.max()) + 1):
-        for at in _places(pairs[level >= q], q, segment, hashes):
+        for at in _places(grams[level >= q], q, segment, hashes):
             row[at] = True
     return np.packbits(row, bitorder="little")
 
@@ -229,17 +262,17 @@ def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES)
         import pyarrow as pa
 
         for bucket, found in _received(batches).items():
-            pairs, level, _ = _counted(found)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([_segment(pairs, level, segment, hashes).tobytes()], pa.binary())})
+            grams, level, _ = _counted(found)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([_segment(grams, level, segment, hashes).tobytes()], pa.binary())})
 
     out = np.zeros((buckets, segment // 8), np.uint8)
-    for r in pair_packets(blocks, buckets, False).repartition(buckets, "bucket").mapInArrow(segments, "bucket int, bits binary").toLocalIterator():
+    for r in gram_packets(blocks, buckets, False).repartition(buckets, "bucket").mapInArrow(segments, "bucket int, bits binary").toLocalIterator():
         out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def block_levels(blocks: DataFrame, buckets: int, hashes: int = HASHES) -> DataFrame:
-    """block, bucket, levels (of the block's distinct pairs in that bucket, in their order), each bucket from a segment of its own n-grams' size."""
+    """block, bucket, levels (of the block's distinct n-grams in that bucket, in their order), each bucket from a segment of its own n-grams' size."""
 
     def probed(batches: Iterator) -> Iterator:
         import numpy as np
@@ -248,42 +281,35 @@ def block_levels(blocks: DataFrame, buckets: int, hashes: int = HASHES) -> DataF
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for bucket, found in _received(batches).items():
-            pairs, level, place = _counted(found)
-            bits = _segment(pairs, level, max(64, FILTER_BITS_EACH * int(level.sum())), hashes)
-            levels, end = levels_of(pairs, bits[None], hashes).astype(np.uint8)[place], 0
+            grams, level, place = _counted(found)
+            bits = _segment(grams, level, max(64, -(-FILTER_BITS_EACH * int(level.sum()) // 8) * 8), hashes)
+            levels, end = levels_of(grams, bits[None], hashes).astype(np.uint8)[place], 0
             for name, own, _ in found:
                 start, end = end, end + len(own)
                 yield pa.RecordBatch.from_pydict({"block": [name], "bucket": pa.array([bucket], pa.int32()), "levels": pa.array([squeeze(levels[start:end].tobytes())], pa.binary())})
 
     # A bucket is a partition, so that no task holds several.
-    return pair_packets(blocks, buckets, True).repartitionById(buckets, F.col("bucket")).mapInArrow(probed, "block string, bucket int, levels binary")
+    return gram_packets(blocks, buckets, True).repartitionById(buckets, F.col("bucket")).mapInArrow(probed, "block string, bucket int, levels binary")
 
 
-def _edges(buckets: int) -> np.ndarray:
-    """Buckets as ranges of 56-bit hashes."""
-    import numpy as np
-
-    return np.array([(b << 56) // buckets for b in range(buckets)] + [1 << 56], dtype=np.uint64)
-
-
-def _places(pairs: np.ndarray, level: int, segment: int, hashes: int) -> Iterator[np.ndarray]:
+def _places(grams: np.ndarray, level: int, segment: int, hashes: int) -> Iterator[np.ndarray]:
     import numpy as np
 
     for k in range(hashes):
-        yield (_mix(pairs + np.uint64((level * 64 + k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(segment)).astype(np.int64)
+        yield (_mix(grams + np.uint64((level * 64 + k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(segment)).astype(np.int64)
 
 
-def levels_of(pairs: np.ndarray, bits: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-    """The level of each pair: as far as all probes of levels 1, 2, ... hit."""
+def levels_of(grams: np.ndarray, bits: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The level of each n-gram: as far as all probes of levels 1, 2, ... hit."""
     import numpy as np
 
     buckets, width = bits.shape
-    out, alive = np.zeros(len(pairs), np.int64), np.arange(len(pairs))
-    base = (np.searchsorted(_edges(buckets), pairs, side="right") - 1) * width
+    out, alive = np.zeros(len(grams), np.int64), np.arange(len(grams))
+    base = _bucket(grams, buckets) * width if buckets > 1 else np.zeros(len(grams), np.int64)
     flat = bits.reshape(-1)
     for q in range(1, 64):
         hit = np.ones(len(alive), bool)
-        for at in _places(pairs[alive], q, width * 8, hashes):
+        for at in _places(grams[alive], q, width * 8, hashes):
             hit &= (flat[base[alive] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         alive = alive[hit]
         if not len(alive):
@@ -292,25 +318,34 @@ def levels_of(pairs: np.ndarray, bits: np.ndarray, hashes: int = HASHES) -> np.n
     return out
 
 
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for, the middle of 2^(q-1) .. 2^q - 1."""
+    import numpy as np
+
+    return np.where(level > 0, 0.75 * np.exp2(level.astype(np.float64)) - 0.5, 0)
+
+
 def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX_FILTER_BITS, mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     blocks = blocks_of(docs, block_tokens)
-    buckets = partitions(spark)
-    counts = written(word_counts(blocks, buckets), "counts")
+    held = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_pairs").alias("pairs")).head()
+    words, pairs = int(held["words"] or 0), int(held["pairs"] or 0)
+    word_buckets = max(partitions(spark), -(-words // BUCKET_GRAMS))
+    buckets = max(partitions(spark), -(-(words + pairs) // BUCKET_GRAMS))
+    counts = written(word_counts(blocks, word_buckets), "counts")
     released(spark)
-    sums = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).head()
+    sums = counts.agg(*(F.sum(c).alias(c) for c in ("n", "v", "levels"))).head()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    pairs = blocks.agg(F.sum("n_pairs").alias("n")).head()["n"] or 0
     exact = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("exact"))
-    # A token is one n-gram at most, so this is enough for all levels.
-    bits = max(1 << 12, FILTER_BITS_EACH * int(pairs))
+    # Levels of words, and at most one bigram's entry a token.
+    bits = max(1 << 12, FILTER_BITS_EACH * (pairs + int(sums["levels"] or 0)))
     if bits <= max_bits:
         shared = spark.sparkContext.broadcast(filter_of(blocks, buckets, bits))
         joined = blocks.join(exact, "block").withColumn("levels", F.lit(None).cast("array<struct<bucket:int,levels:binary>>"))
     else:
         shared = None
-        levels = written(block_levels(blocks, max(buckets, -(-int(pairs) // BUCKET_PAIRS))), "levels")
+        levels = written(block_levels(blocks, buckets), "levels")
         levels = levels.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("levels"))
         joined = blocks.join(exact, "block").join(levels, "block")
     released(spark)
@@ -322,27 +357,28 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for hashes, names, held, lengths, ids, exact, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes, size = np.frombuffer(hashes, "<u8"), np.array(lengths, np.int64)
-                ids = np.frombuffer(unpack(ids), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+            for row in range(batch.num_rows):
+                words, names, held, lengths, ids, exact, found = (c[row].as_py() for c in batch.columns)
+                hashes, size, ids = _hashes(words), np.array(lengths, np.int64), _ids(ids)
                 c = np.empty(len(hashes), np.int64)
-                c[np.argsort(hashes % np.uint64(buckets), kind="stable")] = np.concatenate([np.frombuffer(x["counts"], "<i8") for x in exact])
-                p = (c + 0.5) / (n + 0.5 * (v + 1))
+                c[np.argsort(_word_bucket(hashes, word_buckets), kind="stable")] = np.concatenate([np.frombuffer(unpack(x["counts"]), "<i8") for x in exact])
                 doc = np.repeat(np.arange(len(size)), size)
-                base = np.bincount(doc, weights=np.log10(p)[ids], minlength=len(size))
+                base = np.bincount(doc, weights=np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[ids], minlength=len(size))
                 known = np.bincount(doc, weights=(c > 0)[ids], minlength=len(size)).astype(np.int64)
+                grams = _grams(hashes, ids, size)
                 if shared is not None:
-                    level = levels_of(_pairs(hashes, ids, size), shared.value)
+                    level = levels_of(grams, shared.value)
                 else:
-                    place = np.unique(_pairs(hashes, ids, size), return_inverse=True)[1]
+                    place = np.unique(grams, return_inverse=True)[1]
                     level = np.concatenate([np.frombuffer(unpack(x["levels"]), np.uint8) for x in found])[place]
+                both, alone = _middle(level[: len(ids)]), np.minimum(_middle(level[len(ids) :]), n)
+                p = (alone + 0.5) / (n + 0.5 * (v + 1))
                 context = np.empty_like(ids)
                 context[1:] = ids[:-1]
                 context[np.cumsum(size) - size] = ids[-1]
-                both = np.where(level > 0, 0.75 * np.exp2(level.astype(np.float64)) - 0.5, 0)  # the middle of 2^(q-1) .. 2^q - 1
-                both = np.minimum(both, np.minimum(c[context], c[ids]))
-                model = np.bincount(doc, weights=np.log10((both + mu * p[ids]) / (c[context] + mu)), minlength=len(size))
+                both = np.minimum(both, np.minimum(alone[context], alone[ids]))
+                model = np.bincount(doc, weights=np.log10((both + mu * p[ids]) / (alone[context] + mu)), minlength=len(size))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(held, pa.bool_()), pa.array(size), pa.array(known), pa.array(base), pa.array(model)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    joined = joined.select("hashes", "doc_ids", "held_out", "lengths", "ids", "exact", "levels")
+    joined = joined.select("words", "doc_ids", "held_out", "lengths", "ids", "exact", "levels")
     return joined.mapInArrow(scores, SCORES).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
