@@ -1,20 +1,25 @@
 """Operator 9, benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 Words are runs of letters and digits, in lower case, so layout, case and punctuation don't hide a
-passage. A seed is the hash of the words at the 1s of a mask laid over a window; words at its 0s may
-have been substituted. All windows of all documents meet all windows of all benchmark items on
-(mask, hash). Each hit names a diagonal, the shift between document and item, along which the words
-around it are compared: the document leaks the item if some stretch of COMPARE words (or the whole
-item, if shorter) has equal words in at least EQUAL_PERCENT % of its places.
+passage. A seed is the hash of a mask and of the words at its 1s, laid over a window; words at its
+0s may have been substituted. All windows of all documents meet all windows of all benchmark items
+on the seed. Hits name diagonals, the shifts between document and item. These are made distinct as
+numbers, and only documents that have one are read again, to be compared along it: the document
+leaks the item if some stretch of COMPARE words (or the whole item, if shorter) has equal words in
+at least EQUAL_PERCENT % of its places.
 
 Items of up to COMPARE words have few windows, so they also get the light SHORT_MASKS, which fit any
-placement of the substitutions that EQUAL_PERCENT allows. Items of fewer
-than LEAST_WORDS words can't be told from ordinary prose: they match nothing. The item side is
-broadcast while it has at most BROADCAST_SEEDS seeds, which is counted; a larger one is joined by
-shuffle, the windows of a document being sent on only as hashes.
+placement of the substitutions that EQUAL_PERCENT allows. Items of fewer than LEAST_WORDS words are
+matched whole and exactly: all of their words in a row.
 
-Null texts have no words; null ids are returned as they are; repeated rows are judged each. No rows,
-or no benchmark: nothing leaks. Further columns of documents don't matter.
+Equal items are compared once. Up to BROADCAST_SEEDS seeds, which are counted, are broadcast; more
+meet the documents' by shuffle. The items' words are broadcast, once an item, while they are at most
+BROADCAST_WORDS together, and so are up to BROADCAST_IDS diagonals.
+
+Null texts have no words; null ids are returned as they are; repeated rows are judged alike, and
+rows that share an id give one row for it. Long texts are windows like others, of which only those
+that hit leave their task. Ties: the smallest item id, the best stretch. No rows, or no benchmark:
+nothing leaks. Further columns of documents don't matter.
 """
 
 from __future__ import annotations
@@ -22,14 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import BROADCAST_IDS, dropped, text_of, written
 
 #: Masks: where a word counts. Any two of them differ in most distances between 1s.
 MASKS = ("11011001", "110100101", "1010011011")
 COMPARE, EQUAL_PERCENT, LEAST_WORDS = 13, 75, 8
 #: Of up to 13 words at least 75 % equal, 3 in a row are equal, but for one placement of two substitutions in 8 words.
 SHORT_MASKS = ("111", "11011")
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS, BROADCAST_WORDS = 1_000_000, 4_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -38,60 +43,73 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(frame: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
-    """keep, at (from 1), mask, seed: a row for each mask and window of the words in column th."""
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words."""
+    if n < LEAST_WORDS:
+        return ("1" * n,)
+    return (*MASKS, *(SHORT_MASKS if n <= COMPARE else ()))
+
+
+def seeds(frame: DataFrame, keep: list[str], masks: list[str], of_items: bool = False) -> DataFrame:
+    """keep, at (from 0), seed: a row for each window of the words in column th and mask that fits; of_items: and that an item of this length has."""
+    n = F.size("th")
     least = min(map(len, masks))
-    places = F.when(F.size("th") >= least, F.sequence(F.lit(1), F.size("th") - least + 1))
-    windows = frame.withColumn("at", F.explode(places))
-    rows = []
-    for k, mask in enumerate(masks):
-        places = [F.get("th", F.col("at") - 1 + j) for j, bit in enumerate(mask) if bit == "1"]
-        rows.append(F.when(F.col("at") + len(mask) - 1 <= F.size("th"), F.xxhash64(F.lit(k), *places)))
-    stacked = F.stack(F.lit(len(masks)), *[x for k, r in enumerate(rows) for x in (F.lit(k), r)])
-    return windows.select(*keep, "at", stacked.alias("mask", "seed")).filter("seed IS NOT NULL")
+    windows = frame.withColumn("at", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))))
+    found = []
+    for mask in masks:
+        fits = F.col("at") + len(mask) <= n
+        if of_items:
+            lengths = [k for k in range(1, COMPARE + 2) if mask in masks_for(k)]
+            fits &= F.least(n, F.lit(COMPARE + 1)).isin(lengths)
+        found.append(F.when(fits, F.xxhash64(F.lit(int(mask, 2)), *(F.get("th", F.col("at") + j) for j, bit in enumerate(mask) if bit == "1"))))
+    # One long to join on, whatever the mask: that is what generated code looks up fastest.
+    return windows.select(*keep, "at", F.explode(F.array(*found)).alias("seed")).filter("seed IS NOT NULL")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(text_of()).alias("th")).filter(F.size("th") >= LEAST_WORDS)
+    """item_id, item (what equal items share), th."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(text_of()).alias("th")).filter(F.size("th") > 0)
+    return items.withColumn("item", F.xxhash64("th"))
+
+
+def _sent(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _diagonals(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """key, text_hash, item, shift: distinct, in the shared folder. docs: key, text_hash, text."""
+    lengths = [r["n"] for r in items.select(F.least(F.size("th"), F.lit(COMPARE + 1)).alias("n")).distinct().collect()]
+    masks = list(dict.fromkeys(m for n in sorted(lengths, reverse=True) for m in masks_for(n))) or [*MASKS]
+    item_seeds = seeds(items.dropDuplicates(["item"]), ["item"], masks, of_items=True).withColumnRenamed("at", "item_at")
+    own = seeds(docs.select(key, "text_hash", word_hashes(F.col("text")).alias("th")), [key, "text_hash"], masks)
+    hits = own.join(_sent(item_seeds, item_seeds.count() <= BROADCAST_SEEDS), "seed")
+    return written(hits.select(key, "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "diagonals")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, item_id, n_equal, n_compared: the best stretch of each leaked item in each document."""
-    items = items_of(benchmark)
-    some_short = not items.filter(F.size("th") <= COMPARE).isEmpty()
-    masks = [*MASKS, *(SHORT_MASKS if some_short else ())]
-    # An item has seeds of the regular masks and, if it is short, of the light ones.
-    item_seeds = seeds(items.withColumn("item_th", F.col("th")), ["item_id", "item_th", "th"], masks)
-    item_seeds = item_seeds.filter((F.col("mask") < len(MASKS)) | (F.size("item_th") <= COMPARE)).select("item_id", "item_th", F.col("at").alias("item_at"), "mask", "seed")
-    texts = docs.select(F.col(key), word_hashes(text_of()).alias("th"))
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
-    n = F.size("item_th")
-    if item_seeds.count() <= BROADCAST_SEEDS:
-        hits = seeds(texts, [key, "th"], masks).join(F.broadcast(item_seeds), ["mask", "seed"])
-    else:
-        texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "words")
-        found = seeds(texts, ["row", "th"], masks).select("row", "at", "mask", "seed").join(item_seeds.drop("item_th"), ["mask", "seed"])
-        found = found.select("row", "item_id", "at", "item_at").withColumn("shift", shift).groupBy("row", "item_id", "shift").agg(F.min("at").alias("at"), F.min("item_at").alias("item_at"))
-        hits = found.drop("shift").join(texts, "row").join(items.select("item_id", F.col("th").alias("item_th")), "item_id")
-    # The words along the item, from its first that the document can have. The number keeps what
-    # follows from being moved into the join, which would then run outside generated code and copy
-    # the document for each window.
-    hits = hits.select(
-        key, "item_id", "item_th", shift, F.slice("th", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)) + 1, n).alias("along"), F.monotonically_increasing_id().alias("hit")
-    )
-    length = F.least(F.lit(COMPARE), n)
-    skipped = F.greatest(-F.col("shift"), F.lit(0))
-    lined = hits.select(
-        "hit", key, "item_id", length.alias("length"),
-        F.transform("item_th", lambda w, j: F.when((j >= skipped) & (F.get("along", j - skipped) == w), 1).otherwise(0)).alias("equal"),
-    )
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("length") + 1), lambda j: F.aggregate(F.slice("equal", j, F.col("length")), F.lit(0), lambda a, x: a + x)))
-    return (
-        lined.select("hit", key, "item_id", best.alias("n_equal"), F.col("length").alias("n_compared"))
-        .filter((F.col("hit") >= 0) & (F.col("n_equal") * 100 >= F.col("n_compared") * EQUAL_PERCENT))
-        .groupBy(key, "item_id")
-        .agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("n_compared").cast("long").alias("n_compared"))
+    """key, item_id, n_equal, n_compared: the best stretch of each leaked item in each document. A table in the shared folder."""
+    items = written(items_of(benchmark), "items")
+    texts = docs.select(key, text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    diagonals = _diagonals(texts, key, items)
+    few = diagonals.count() <= BROADCAST_IDS
+    rows = diagonals.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "item", "shift")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("text_hash") == F.col("_hash"))
+    again = texts.join(_sent(rows.select("_key", "_hash").distinct(), few), same, "left_semi").select(key, "text_hash", word_hashes(F.col("text")).alias("th"))
+    words = items.dropDuplicates(["item"]).select("item", F.col("th").alias("item_th"))
+    small = (items.agg(F.sum(F.size("th")).alias("n")).head()["n"] or 0) <= BROADCAST_WORDS
+    lined = again.join(_sent(rows, few), same).join(_sent(words, small), "item")
+    lined = lined.select(
+        key, "item", F.least(F.lit(COMPARE), F.size("item_th")).alias("n_compared"), F.transform("item_th", lambda w, j: F.when(F.get("th", j + F.col("shift")) == w, 1).otherwise(0)).alias("equal")
     )
+    length = F.col("n_compared")
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - length + 1), lambda j: F.aggregate(F.slice("equal", j, length), F.lit(0), lambda a, x: a + x)))
+    least = F.when(length < LEAST_WORDS, 100).otherwise(EQUAL_PERCENT)
+    best_of = lined.select(key, "item", best.cast("long").alias("n_equal"), length.cast("long").alias("n_compared")).filter(F.col("n_equal") * 100 >= length * least)
+    found = best_of.groupBy(key, "item").agg(F.max("n_equal").alias("n_equal"), F.max("n_compared").alias("n_compared"))
+    out = written(found.join(items.select("item", "item_id"), "item").groupBy(key, "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_compared").alias("n_compared")), "leaks")
+    for t in (items, diagonals):
+        dropped(t)
+    return out
 
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -91,25 +91,27 @@ def _seed(mask: str) -> str:
 
 def _leaks() -> str:
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    widest = max(map(len, decontaminate.MASKS))
-    masks = [*decontaminate.MASKS, *("1" * n for n in range(decontaminate.LEAST_WORDS, widest))]
+    masks = list(dict.fromkeys(m for n in range(decontaminate.COMPARE + 1, 0, -1) for m in decontaminate.masks_for(n)))
+    widest = max(map(len, masks))
+    # The masks of an item by its length.
+    fits = " OR ".join(f"(b.mask = {k} AND least(b.n, {decontaminate.COMPARE + 1}) IN ({', '.join(str(n) for n in range(1, decontaminate.COMPARE + 2) if m in decontaminate.masks_for(n))}))" for k, m in enumerate(masks))
     ahead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, widest))
     seeds = " UNION ALL ".join(f"SELECT id, i, n, {k} AS mask, {_seed(m)} AS seed FROM {{t}}_ahead" for k, m in enumerate(masks))
     part = (
-        "{t} AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT {key} AS id, " + words + " AS w FROM {table}) z WHERE len(w) >= {least}), "
+        "{t} AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT {key} AS id, " + words + " AS w FROM {table}) z), "
         "{t}_ahead AS (SELECT id, i, n, w AS w0, " + ahead + " FROM {t} WINDOW o AS (PARTITION BY id ORDER BY i)), {t}_seeds AS (" + seeds + ")"
     )
-    fill = lambda **x: part.replace("{t}", x["t"]).replace("{key}", x["key"]).replace("{table}", x["table"]).replace("{least}", str(x["least"]))
-    long_ones = len(decontaminate.MASKS)
+    fill = lambda **x: part.replace("{t}", x["t"]).replace("{key}", x["key"]).replace("{table}", x["table"])
     return (
         "WITH "
-        + fill(t="d", key="doc_id", table="documents", least=1)
+        + fill(t="d", key="doc_id", table="documents")
         + ", "
-        + fill(t="b", key="item_id", table="benchmark", least=decontaminate.LEAST_WORDS)
-        + f", hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.i - b.i AS shift, b.n FROM d_seeds d JOIN b_seeds b ON d.mask = b.mask AND d.seed = b.seed WHERE b.mask < {long_ones} OR b.n < {widest}), "
+        + fill(t="b", key="item_id", table="benchmark")
+        + f", item_seeds AS (SELECT * FROM b_seeds b WHERE {fits}), "
+        "hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.i - b.i AS shift, b.n FROM d_seeds d JOIN item_seeds b ON d.mask = b.mask AND d.seed = b.seed), "
         "lined AS (SELECT h.doc_id, h.item_id, h.shift, b.i AS j, h.n, CASE WHEN d.w = b.w THEN 1 ELSE 0 END AS same FROM hits h JOIN b ON b.id = h.item_id LEFT JOIN d ON d.id = h.doc_id AND d.i = h.shift + b.i), "
         f"sums AS (SELECT doc_id, item_id, j, least({decontaminate.COMPARE}, n) AS length, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN {decontaminate.COMPARE - 1} PRECEDING AND CURRENT ROW) AS k FROM lined), "
-        f"found AS (SELECT doc_id, item_id, max(k) AS k FROM sums WHERE j >= length AND k * 100 >= length * {decontaminate.EQUAL_PERCENT} GROUP BY 1, 2) "
+        f"found AS (SELECT doc_id, item_id, max(k) AS k FROM sums WHERE j >= length AND k * 100 >= length * CASE WHEN length < {decontaminate.LEAST_WORDS} THEN 100 ELSE {decontaminate.EQUAL_PERCENT} END GROUP BY 1, 2) "
         "SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(k)::BIGINT AS n_equal FROM found GROUP BY 1"
     )
 

@@ -331,20 +331,23 @@ def test_quality_rules(spark, docs):
 
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_decontamination(spark, docs, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+    for name in ("BROADCAST_SEEDS", "BROADCAST_WORDS", "BROADCAST_IDS"):
+        monkeypatch.setattr(decontaminate, name, most)
     rng = random.Random(12)
     item = [f"w{rng.randrange(1000)}" for _ in range(30)]
     short, tiny = [f"v{rng.randrange(1000)}" for _ in range(9)], ["just", "five", "words", "are", "here"]
-    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, None), (4, " ".join(tiny)), (5, " ".join(item))], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, None), (4, " ".join(tiny)), (5, " ".join(item)), (6, "...")], "item_id long, text string")
     noise = lambda n: [f"n{rng.randrange(1000)}" for _ in range(n)]
     substituted = [("x" if k in (4, 13, 22) else w) for k, w in enumerate(item)]
     made = {
         1: noise(50) + item + noise(50), 2: item, 3: noise(9) + substituted + noise(3), 4: noise(80), 5: noise(3) + item[:7] + noise(30),
-        6: short, 7: noise(5) + short + noise(5), 8: tiny, 9: [w.upper() + "!!" for w in item], 10: item[5:28], 11: item * 40,
+        6: short, 7: noise(5) + short + noise(5), 8: noise(4) + tiny, 14: [*tiny[:4], "elsewhere"], 15: tiny[1:], 16: tiny[::-1], 9: [w.upper() + "!!" for w in item], 10: item[5:28], 11: item * 40,
     }
     frame = spark.createDataFrame([(k, " ".join(v)) for k, v in made.items()] + [(12, None), (13, "")], "doc_id long, text string").withColumn("seed", F.lit(1))
     got = {r.doc_id: r for r in decontaminate.leaked_documents(frame, benchmark).collect()}
-    assert sorted(got) == [1, 2, 3, 6, 7, 9, 10, 11] and got[1].n_items == 2 and got[6].first_item == 2
+    assert sorted(got) == [1, 2, 3, 6, 7, 8, 9, 10, 11] and got[1].n_items == 2 and got[6].first_item == 2 and got[8].n_equal == 5
+    odd = spark.createDataFrame([(None, " ".join(item)), (1, "nothing"), (1, " ".join(item)), (2, " ".join(item)), (2, " ".join(item))], "doc_id long, text string")
+    assert {(r.doc_id, r.n_items) for r in decontaminate.leaked_documents(odd, benchmark).collect()} == {(None, 2), (1, 2), (2, 2)}
     assert decontaminate.leaked_documents(docs, benchmark.limit(0)).count() == 0 == decontaminate.leaked_documents(docs.limit(0), benchmark).count()
 
 
