@@ -19,9 +19,15 @@ sets form a class. For the classes:
    list is in one component or was compared, so no link that the prefix found is lost, and a group
    of n near copies costs n links, not n * n.
 
+What isn't linked in a family is compared: n members with p probes take n * p comparisons of
+signatures, in blocks that many tasks share. p counts only classes that share a list with the
+family's pivot and hang together with none of it.
+
 Null or blank text: an empty set, linked with nothing. Null doc_id: linked with nothing, kept. Rows
-that share a doc_id are judged by their own text each. No rows: no rows. Only doc_id and text are
-read.
+that share a doc_id are judged by their own text each. Long texts: whole sets, those of a block one
+portion at a time. Ties: the smallest id stands for a class or component, and of pivots that are
+equally common or collide equally often the smaller id is taken. No rows: no rows. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -43,8 +49,10 @@ if TYPE_CHECKING:
 
 WIDTH, SIMILAR = 5, 80
 K, T = 48, 25
-#: Shingles, and signatures, on one side of a block of comparisons.
-BLOCK_SHINGLES, BLOCK_SIGNATURES = 400_000, 4_000
+#: Shingles, and signatures, on one side of a block of comparisons: at least, at most, and times the
+#: root of their number in a family, so that a family's work is dealt out to many tasks, and a row of
+#: a large one isn't sent too often.
+BLOCK_SHINGLES, BLOCK_SIGNATURES = (40_000, 400_000, 8), (250, 4_000, 1)
 #: Smaller sets reach a similarity of SIMILAR % with equal sets only.
 LEAST = -(-SIMILAR // (100 - SIMILAR))
 
@@ -171,7 +179,7 @@ def _star_links(docs: DataFrame, rows: DataFrame, collisions: DataFrame, width:
     matches = F.size(F.filter(F.zip_with("rep_sig", "pivot_sig", lambda x, y: x == y), lambda x: x))
     best = written(best.join(_signatures(rows, "rep"), "rep").join(_signatures(rows, "pivot"), "pivot").filter(matches >= T).select("rep", "n", "pivot"), "best")
     # Each pivot's text is sent once for each block of the classes that go to it.
-    blocks = best.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = best.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES[1]).cast("int").alias("blocks"))
     members = best.join(blocks, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"))
     heads = blocks.select(F.col("pivot").alias("rep"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
     dealt = met(docs, members.unionByName(heads), "rep").repartition(partitions(docs.sparkSession), "pivot", "block")
@@ -210,10 +218,14 @@ def _families(collisions: DataFrame, label: DataFrame) -> DataFrame:
     return written(core.select("family", "rep", "n", "own", F.lit(False).alias("probe")).unionByName(halo.select("family", "rep", "n", "own", F.lit(True).alias("probe"))), "families")
 
 
-def _dealt(everyone: DataFrame, weight: Column, most: int, columns: list[str]) -> DataFrame:
+def _dealt(everyone: DataFrame, weight: Column, block: tuple[int, int, int], columns: list[str]) -> DataFrame:
     """family, i, j, side, columns: each member (side 1) in a block with each share of its family's probes (side 0)."""
-    sizes = everyone.groupBy("family").agg(F.ceil(F.sum(weight) / most).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("probe"), weight)) / most).cast("int").alias("probes")).filter("probes > 0")
-    dealt = everyone.join(sizes, "family").withColumn("h", F.xxhash64("rep"))
+    least, most, times = block
+    sums = everyone.groupBy("family").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("probe"), weight)).alias("some"))
+    size = F.least(F.lit(most), F.greatest(F.lit(least), times * F.sqrt("all")))
+    sizes = sums.select("family", F.ceil(F.col("all") / size).cast("int").alias("parts"), F.ceil(F.col("some") / size).cast("int").alias("probes")).filter("probes > 0")
+    # A family may be large, so its rows stay where they are while the sizes are few enough to be sent.
+    dealt = met(everyone, sizes, "family").withColumn("h", F.xxhash64("rep"))
     one, all_of = F.sequence(F.lit(0), F.col("probes") - 1), F.sequence(F.lit(0), F.col("parts") - 1)
     as_member = dealt.withColumn("j", F.pmod("h", "parts").cast("int")).withColumn("i", F.explode(one)).withColumn("side", F.lit(1))
     as_probe = dealt.filter("probe").withColumn("i", F.pmod("h", "probes").cast("int")).withColumn("j", F.explode(all_of)).withColumn("side", F.lit(0))
