@@ -53,6 +53,8 @@ K, T = 48, 25
 #: root of their number in a family, so that a family's work is dealt out to many tasks, and a row of
 #: a large one isn't sent too often.
 BLOCK_SHINGLES, BLOCK_SIGNATURES = (40_000, 400_000, 8), (250, 4_000, 1)
+#: Up to so many signatures, 25 MB, are broadcast.
+BROADCAST_SIGNATURES = 100_000
 #: Smaller sets reach a similarity of SIMILAR % with equal sets only.
 LEAST = -(-SIMILAR // (100 - SIMILAR))
 
@@ -177,7 +179,14 @@ def _star_links(docs: DataFrame, rows: DataFrame, collisions: DataFrame, width:
     """a, b: each class with the pivot that it collides with most, confirmed on the full sets."""
     best = collisions.filter("rep != pivot").groupBy("rep", "n").agg(F.max(F.struct("hits", -F.col("pivot"))).alias("best")).select("rep", "n", (-F.col("best.col2")).alias("pivot"))
     matches = F.size(F.filter(F.zip_with("rep_sig", "pivot_sig", lambda x, y: x == y), lambda x: x))
-    best = written(best.join(_signatures(rows, "rep"), "rep").join(_signatures(rows, "pivot"), "pivot").filter(matches >= T).select("rep", "n", "pivot"), "best")
+    named = written(best, "named")
+    # A pivot may have very many classes. The signatures of all pivots are a table, so that this join
+    # is a broadcast while they are few, and else one that Spark can split.
+    pivots = written(_signatures(rows, "pivot").join(named.select("pivot").distinct(), "pivot"), "pivots")
+    heads = F.broadcast(pivots) if pivots.count() <= BROADCAST_SIGNATURES else pivots
+    best = written(named.join(_signatures(rows, "rep"), "rep").join(heads, "pivot").filter(matches >= T).select("rep", "n", "pivot"), "best")
+    dropped(named)
+    dropped(pivots)
     # Each pivot's text is sent once for each block of the classes that go to it.
     blocks = best.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES[1]).cast("int").alias("blocks"))
     members = best.join(blocks, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"))
@@ -254,7 +263,9 @@ def _colliding(rows: DataFrame, everyone: DataFrame) -> DataFrame:
         return pa.table({"family": pa.array([family] * len(chosen), pa.int64()), "rep": pa.array(rep[chosen]), "probe": pa.array(side[chosen] == 0)})
 
     signed_rows = _dealt(everyone, F.lit(1), BLOCK_SIGNATURES, ["rep", "own"]).join(_signatures(rows, "rep"), "rep")
-    pairs = signed_rows.groupBy("family", "i", "j").applyInArrow(counted, "family long, rep long, probe boolean")
+    # A small block takes long, so tasks are as many as the session asks for, whatever their bytes.
+    dealt = signed_rows.repartition(partitions(rows.sparkSession), "family", "i", "j")
+    pairs = dealt.groupBy("family", "i", "j").applyInArrow(counted, "family long, rep long, probe boolean")
     chosen = pairs.groupBy("family", "rep").agg(F.max("probe").alias("chosen"))
     return written(everyone.join(chosen, ["family", "rep"]).select("family", "rep", "n", "own", (F.col("probe") & F.col("chosen")).alias("probe")), "colliding")
 
@@ -270,7 +281,8 @@ def _family_links(docs: DataFrame, everyone: DataFrame, width: int, similar: int
         found = _block_links([r[1:] for r in rows if r[0] == 0 and len(r[3])], [r[1:] for r in rows if r[0] == 1 and len(r[3])], similar)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return written(met(docs, _dealt(everyone, F.col("n"), BLOCK_SHINGLES, ["rep", "own"]), "rep").select(*columns, "text").groupBy("family", "i", "j").applyInArrow(compared, "a long, b long"), "links")
+    dealt = met(docs, _dealt(everyone, F.col("n"), BLOCK_SHINGLES, ["rep", "own"]), "rep").select(*columns, "text")
+    return written(dealt.repartition(partitions(docs.sparkSession), "family", "i", "j").groupBy("family", "i", "j").applyInArrow(compared, "a long, b long"), "links")
 
 
 def links(docs: DataFrame, rows: DataFrame, width: int, similar: int) -> DataFrame:
