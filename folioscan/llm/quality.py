@@ -68,14 +68,12 @@ def with_counts(docs: DataFrame) -> DataFrame:
         "_windows",
         F.when(F.col("_n") >= 3, F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))),
     )
-    out = out.withColumn("_bits", F.ceil(F.log2(F.greatest(F.col("_n"), F.lit(2)))).cast("int"))
     repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    out = out.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("bigint"))))))
-    same = lambda x, y: F.coalesce(F.call_function("shiftright", x, F.col("_bits")) == F.call_function("shiftright", y, F.col("_bits")), F.lit(False))
-    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bits")) - 1
-    out = out.withColumn("_low", low).withColumn(
+    out = out.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    out = out.withColumn(
         "_places",
-        F.transform(F.filter("_sorted", lambda x, j: same(x, F.get("_sorted", j - 1)) | same(x, F.get("_sorted", j + 1))), lambda x: x.bitwiseAND(F.col("_low"))),
+        F.transform(F.filter("_sorted", lambda x, j: same(x, F.get("_sorted", j - 1)) | same(x, F.get("_sorted", j + 1))), lambda x: x["i"]),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("_places", lambda p: F.array(p, p + 1, p + 2)))))
     counts = {
