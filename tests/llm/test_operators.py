@@ -418,6 +418,42 @@ def test_language(spark):
     assert language.identify(pages.limit(0), docs).count() == 0 and language.identify(pages, docs.limit(0)).filter("lang IS NOT NULL").count() == 0
 
 
+def test_language_is_that_of_plain_sums(spark):
+    """Posteriors against sums made page by page, each without the page itself."""
+    rng = random.Random(23)
+    words = {x: ["".join(rng.choices("abcdefghi", k=5)) for _ in range(30)] for x in ("de", "en", "fr")}
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words[x], k=40)), x) for k, x in enumerate(["de", "en", "fr"] * 20)], "doc_id long, text string, lang string")
+    made = []
+    for k in range(80):
+        x = rng.choice(sorted(words))
+        text = " ".join(rng.choices(words[x], k=2) + rng.choices(words["en"], k=2)) if k % 9 else ""
+        url = None if k % 11 == 0 else f"http://h{k % 7}.d{k % 3}.{'de' if k % 2 else 'com'}/{k}"
+        made.append((k, url, f"<html lang={x if k % 4 else 'en'}>{text}" if k % 5 else f"<p>{text}"))
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    model = language.fit(docs)
+    langs = sorted(model)
+    evidence = {r.page_id: r for r in language._evidence(pages, model).collect()}
+
+    def sums(chosen):
+        return np.sum([np.array(r.p) for r in chosen], axis=0) if chosen else np.zeros(3)
+
+    def smoothed(s, above):
+        return (s + language.SMOOTHING * above) / (s.sum() + language.SMOOTHING)
+
+    got = {r.page_id: r for r in language.identify(pages, docs).collect()}
+    assert set(got) == set(evidence)
+    for k, r in evidence.items():
+        rest = [x for j, x in evidence.items() if j != k]
+        whole = sums(rest)
+        prior = (whole + 1) / (whole.sum() + 3)
+        for level in ("suffix", "domain", "host") if r.host else ():
+            prior = smoothed(sums([x for x in rest if x[level] == r[level]]), prior)
+        odds = prior * np.maximum(np.array(r.p), 1e-12)
+        if r.declared:
+            odds *= (sums([x for x in rest if x.declared == r.declared]) + 0.1) / (whole + 1)
+        assert abs(got[k].posterior - odds.max() / odds.sum()) < 1e-9 and got[k].lang == langs[int(odds.argmax())]
+
+
 def test_language_keeps_all_labelled(spark):
     rng = random.Random(21)
     words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}

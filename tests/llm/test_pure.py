@@ -1,5 +1,6 @@
 """The parts that need no cluster, against plain versions."""
 
+import html
 import json
 import random
 import re
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from folioscan.llm import packing, pii, toxicity
+from folioscan.llm import language, packing, pii, toxicity
 from folioscan.llm.near_dedup import K, LEAST, shingle_sets, signatures
 from folioscan.llm.queries import tokenizer_path
 from folioscan.llm.tokens import Encoder, portions
@@ -202,3 +203,25 @@ def test_neighbours_and_contexts():
     assert {t for t, _, _ in found} == {"two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "yzz"}
     everywhere = {(t, pii._context(a, b)) for t, a, b in pii.all_contexts(text)}
     assert {(t, c) for t, _, c in found} <= everywhere
+
+
+OLD_HIDDEN = re.compile(r"<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I | re.A)
+OLD_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+BITS = ["<script>", "</script >", "<STYLE a>", "</style>", "<nav", "</nav>", "<!--", "-->", "<html ", "lang='de'", " lang = en ", ">", "<", "text", "&amp;", " ", "<p>"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=14))
+def test_pages_in_one_pass(bits):
+    page = "".join(bits)
+    assert language.visible(page) == html.unescape(re.sub("<[^>]*>", " ", OLD_HIDDEN.sub(" ", page)))
+    m = OLD_DECLARED.search(page)
+    assert language.declared(page) == (m[1].lower() if m else None)
+
+
+def test_long_broken_pages():
+    began = time.process_time()
+    for page in ("<script " * 100_000, "<" * 500_000, "<!--" * 100_000, "<html " * 100_000, "<html lang " * 50_000, "<nav></" * 100_000, "</script" * 100_000 + "<script>"):
+        language.visible(page)
+        language.declared(page)
+    assert time.process_time() - began < 10  # about 0.5 s
