@@ -5,13 +5,15 @@ case) that some template has. A softmax regression with a class for each licence
 "unknown" is trained by gradient steps, each a grouped sum in Spark, over the templates, their parts,
 and a sample of the corpus's own paragraphs as unknown (at most FIT_ROWS, an expected number, chosen
 by hash). The unknown class is calibrated: of CALIBRATIONS offsets, the one with the least log-loss
-on the half of the examples that training didn't see.
+on the half of the variants and of the corpus's paragraphs that training didn't see.
 
 A paragraph that is likelier some family than unknown is compared with that family's templates, and
 confirmed if CONFIRM_PERCENT % of the template's word pairs and triples, or of its own, are shared.
 
-Null texts have no paragraphs; null ids are returned as they are; repeated rows are scanned each. No
-rows: no rows. Further columns don't matter.
+Null and empty texts have no paragraphs; null ids are returned as they are; repeated rows are scanned
+each. Long texts and paragraphs are cut into rows of word pairs, which are summed. Ties go to the
+family, then to the template, that is listed first; the sample is the same on every run. No rows: no
+rows, and training goes by the templates alone. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -46,6 +48,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd", "Released under the BSD 3-Clause License."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("isc", "Released under the ISC License."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "Released under the Unlicense."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("eupl", "Licensed under the European Union Public Licence, version 1.2 or later."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
 ]
 #: Sentences that speak of licences and grant none. Fixed values.
 UNKNOWN_TEMPLATES = [
@@ -55,6 +70,14 @@ UNKNOWN_TEMPLATES = [
     "The terms of the contract were not published by the company.",
     "This work is a study of public law.",
     "You can use this file as you like.",
+    "A software license may cost more than the machine it runs on.",
+    "The public library is open to any person free of charge.",
+    "He works for a free software foundation in Boston.",
+    "Any later version of the story was lost.",
+    "The European Union published its report in public last week.",
+    "Their band was released from its contract under the old terms.",
+    "Permission was granted to use the hall for any purpose.",
+    "The software is provided by the school, and the authors are its pupils.",
 ]
 
 
@@ -100,8 +123,10 @@ def _examples(spark: SparkSession, docs: DataFrame) -> DataFrame:
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / 10 / total)))
     # Of the corpus, paragraphs without the word itself, a few of each chosen document: surely unknown.
     own = paragraphs(chosen).filter(~F.lower("line").rlike("licen[cs]e") & (F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(100)) < 50)).select(F.concat_ws(":", "doc_id", "paragraph").alias("id"), F.lit(UNKNOWN).alias("family"), "line")
-    both = made.unionByName(own.limit(FIT_ROWS))
-    return both.select("id", "family", (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(2)) == 1).alias("test"), grams_of(F.col("line")).alias("grams"))
+    both = made.unionByName(own.orderBy(F.xxhash64("id", "line"), "id", "line").limit(FIT_ROWS))
+    # Whole templates are always learnt from; of their variants and of the corpus, one half calibrates.
+    half = (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(2)) == 1) & ~F.col("id").rlike("^t[0-9]+$")
+    return both.select("id", "family", half.alias("test"), grams_of(F.col("line")).alias("grams"))
 
 
 class Classifier:

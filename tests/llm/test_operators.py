@@ -464,6 +464,44 @@ def test_language_keeps_all_labelled(spark):
     assert {r.page_id: r.text_lang for r in language.identify(pages, docs).collect()} == {0: "l00", 35: "l35", 69: "l69"}
 
 
+def plain_scan(docs, model):
+    """(doc_id, paragraph, family, template) by weights and templates, gram by gram."""
+    def grams(line):
+        w = re.findall(r"[^\W_]+", line.lower())
+        return [" ".join(w[k : k + n]) for n in (2, 3) for k in range(len(w) - n + 1)]
+
+    out = []
+    for i, text in docs:
+        for k, line in enumerate((text or "").split("\n")):
+            own = grams(line)
+            known = {g for g in own if g in model.weights}
+            if not known:
+                continue
+            s = np.array(model.bias) + sum(np.array(model.weights[g]) for g in known)
+            family = model.families[int(s.argmax())]
+            shares = [100 * sum(t in model.templates[g] for g in known) / min(len(own), n) if licences.TEMPLATES[t][0] == family else -1 for t, n in enumerate(model.sizes)]
+            if family != licences.UNKNOWN and max(shares) >= licences.CONFIRM_PERCENT:
+                out.append((i, k, family, shares.index(max(shares))))
+    return sorted(out)
+
+
+def test_licence_scan_is_the_plain_one(spark):
+    """All templates, alone and in a text, shortened and mixed, against a scan gram by gram; trained on a table without rows."""
+    model = licences.train(spark.createDataFrame([], "doc_id long, text string"))
+    rng = random.Random(33)
+    made = [(k, t) for k, (_, t) in enumerate(licences.TEMPLATES)] + [(100 + k, f"Notes\n{t.upper()}\nend") for k, (_, t) in enumerate(licences.TEMPLATES)] + [(200 + k, t) for k, t in enumerate(licences.UNKNOWN_TEMPLATES)]
+    words = " ".join(t for _, t in licences.TEMPLATES).split()
+    made += [(300 + k, " ".join(rng.choices(words, k=rng.randint(1, 60)))) for k in range(100)]
+    made += [(400 + k, " ".join(t.split()[rng.randint(0, 4) :][: rng.randint(3, 30)])) for k, (_, t) in enumerate(licences.TEMPLATES * 3)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family, r.template) for r in licences.scan(frame, model).collect())
+    assert got == plain_scan(made, model)
+    found = {(i, k): f for i, k, f, _ in got}
+    for k, (family, _) in enumerate(licences.TEMPLATES):
+        assert found[k, 0] == family == found[100 + k, 1]
+    assert not any(200 <= i < 300 for i, _ in found)
+
+
 def test_licences(spark, docs):
     texts = ["Some prose.\nReleased under the MIT License.\nMore.", "LICENSED under the Apache License, Version 2.0!", "My license expired, and the car is under repair.", None, "", "This work is licensed under the GNU General Public License, version 3.\n" * 2, "the of and"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("grams", F.lit(1))
