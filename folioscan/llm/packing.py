@@ -3,17 +3,19 @@
 Each text becomes ids and an end id. A longer document is cut into pieces of CAPACITY tokens, the
 rest of the division standing first; a piece of CAPACITY tokens is a sequence of its own.
 
-Bulk-synchronous best fit: pieces are range-sorted by falling length, which gives each a global
-position. Pieces of one length, and gaps of one size, are interchangeable, so a superstep works on
-runs of positions, not on rows: one superstep places all pieces of one length. It sweeps the gaps
-from the successor of that length, the smallest gap that holds it; where pieces want one gap, rank
-decides, the first by position taking the first by number; gaps are updated and the sweep repeats
-until all are placed, new sequences being opened where no gap holds them. There are at most
-CAPACITY lengths, so the runs depend on CAPACITY and hardly on the number of documents. Rows meet
-the resulting table by position, in one pass.
-
-Null text: the end id alone. Null or repeated doc_id: packed like any row. No rows: no sequences.
-Only doc_id and text are read.
+Bulk-synchronous best fit, on runs. Executors range-sort the pieces by falling length, which gives
+each a global position, and count them by length. Pieces of one length, and gaps of one size, are
+interchangeable, so supersteps needn't touch rows: one superstep places all pieces of one length. It
+sweeps the gaps from the successor of that length, the smallest gap that holds it; where pieces want
+one gap, rank decides, the first by position taking the first by number; gaps are updated and the
+sweep repeats until all are placed, new sequences being opened where no gap holds them. These sweeps
+are a table of at most CAPACITY counts against a list of runs, whatever the number of documents, so
+best_fit() runs them on the driver: as Spark jobs they would be thousands of barriers over a few
+kilobytes. Executors then place all rows by position, in one pass.
+
+Null text: the end id alone. Null or repeated doc_id: packed like any row. Long texts are encoded
+whole and cut. Ties: pieces of one length go by doc_id, piece and checksum. No rows: no sequences.
+Only doc_id and text are read, so further columns don't matter.
 """
 
 from __future__ import annotations

@@ -10,7 +10,11 @@ number; chosen by hash) are learnt from. The list is emitted as one ordered CASE
 
 A document is also rejected by the base rule: fewer than 50 words, or more than half of its words
 in repeated 3-word windows. Null text: no words, rejected. Null ids: judged, never learnt from.
-Repeated rows are judged each. No rows: none. No labels: the base rule alone.
+Repeated rows are judged each; of contradicting labels of an id the lower one holds. Long texts are
+judged whole: windows are kept as 64-bit hashes with their places, sorted. Ties: of equal gains the
+statistic listed first, then the lower threshold. No rows: none. No labels: the base rule alone.
+Columns of the table that have a count's name don't matter to quality_rules(), and with_counts()
+replaces them.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, token_files, toxicity
 from .common import LOWER, UPPER, table
@@ -56,6 +57,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def base2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_personal_data: the fixed patterns' spans."""
+    return op2_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def base4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4_lm_scores: exact counts and the score from them."""
+    return op4_lm_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10_quality_rules: the counts and the base rule."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_personal_data": op2_personal_data,
@@ -67,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "base2_personal_data": base2_personal_data,
+    "base4_lm_scores": base4_lm_scores,
+    "base10_quality_rules": base10_quality_rules,
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -116,4 +135,51 @@ def _leaks() -> str:
     )
 
 
-ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": _NEAR_DUPLICATES, "op9_benchmark_decontamination": _leaks()}
+#: crc32 of the ASCII string {s}, byte by byte and bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda ch: ascii(ch)::BIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+_WORDS = f"list_filter(string_split_regex({{text}}, '{_SPACES}'), lambda x: x <> '')"
+_BASE_LM = (
+    f"WITH w AS (SELECT doc_id, {_CRC.format(s='doc_id::VARCHAR')} % 5 = 1 AS held_out, list_append({_WORDS.format(text=f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")}, chr(10)) AS w FROM documents), "
+    "t AS (SELECT doc_id, held_out, unnest(w) AS w FROM w), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c) "
+    "SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (w) CROSS JOIN n GROUP BY 1, 2"
+)
+_BASE_QUALITY = (
+    f"WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents), "
+    "g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w), h AS (SELECT doc_id, i, w[i]||' '||w[i+1]||' '||w[i+2] AS g FROM g), "
+    "r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM h), p AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM r WHERE n > 1), k AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), "
+    "z AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(k.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN k USING (doc_id)) "
+    "SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM z"
+)
+#: kind, pattern, and what a match {x} must pass; fixed values of the contract.
+_DIGITS = "regexp_replace({x}, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda d, k: CASE WHEN k % 2 = 1 THEN d::INTEGER ELSE d::INTEGER * 2 - 9 * (d::INTEGER > 4)::INTEGER END)) % 10 = 0"
+_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split({x}, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(p, '0'), '') AS INTEGER), 0) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+]
+
+
+def _base_spans() -> str:
+    """Starts from the lengths of what stands between matches."""
+    spans = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, '{kind}' AS name, unnest(list_transform(m, lambda x, j: {{'x': x, 'start': list_sum(list_transform(p[:j], lambda y: length(y))) + coalesce(list_sum(list_transform(m[:j - 1], lambda y: length(y))), 0)}})) AS s "
+        f"FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM t) q"
+        for k, (kind, pattern, _) in enumerate(_KINDS)
+    )
+    passed = " OR ".join(f"(kind = {k} AND {test.format(x='s.x')})" for k, (_, _, test) in enumerate(_KINDS))
+    return (
+        f"WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS ({spans}), b AS (SELECT doc_id, kind, name, s.start AS st, s.start + length(s.x) AS en FROM a WHERE {passed}), "
+        "c AS (SELECT doc_id, " + ", ".join(f"count(*) FILTER (kind = {k}) AS n_{kind}" for k, (kind, _, _) in enumerate(_KINDS)) + ", string_agg(name||':'||st::BIGINT||':'||en::BIGINT, ',' ORDER BY kind, st) AS listed FROM b GROUP BY 1) "
+        "SELECT doc_id, " + ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, _, _ in _KINDS) + ", sha256(coalesce(listed, '')) AS base_sha256 FROM t LEFT JOIN c USING (doc_id)"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": _NEAR_DUPLICATES,
+    "op9_benchmark_decontamination": _leaks(),
+    "base2_personal_data": _base_spans(),
+    "base4_lm_scores": _BASE_LM,
+    "base10_quality_rules": _BASE_QUALITY,
+}

@@ -4,8 +4,9 @@ Documents are range-sorted by id, so each task writes a run of neighbouring docu
 about SHARD_TOKENS tokens. A file is a row of a Parquet table in the shared folder: Spark's writer
 commits each once, whatever tasks are lost or repeated. shard_bytes() gives a file as it is.
 
-Null text: no tokens but the end id. Null doc_id: ordered first. Rows that share an id: ordered by
-text. No rows: no files. Only doc_id and text are read, so further columns don't matter. Texts
+Null text: no tokens but the end id. Null doc_id: ordered first. Ties, rows that share an id: ordered
+by text. No rows: no files. Only doc_id and text are read, so further columns don't matter. A task
+holds one shard at a time and sorts with spilling, so range partitions may be of any size; texts
 longer than a shard make a shard of their own.
 """
 

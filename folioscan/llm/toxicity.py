@@ -16,8 +16,11 @@
    rows' labels best; the order of scores is the posteriors' work.
 
 Words are runs of letters, in lower case. Null and empty texts get the score of a document without
-terms. Null ids are scored and never learnt from; repeated rows are scored each. Without labels of
-both kinds, all scores are 0. labels, lang, source and doc_id aren't inputs of a score.
+terms. Long texts are scored whole, one at a time. Null ids are scored and never learnt from;
+repeated rows are scored each, and learnt from each; of contradicting labels of an id the toxic one
+holds. Ties between terms go to the first by name. No rows: no rows. Without labels of both kinds,
+all scores are 0. labels, lang, source and doc_id aren't inputs of a score; further columns don't
+matter.
 """
 
 from __future__ import annotations

@@ -403,6 +403,33 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, model).count() == docs.count()
 
 
+def test_toxicity_is_that_of_plain_sums(spark, docs, rows):
+    """Scores from terms one by one; learning from odd rows too."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 8)))
+    made = [(k, " ".join([word() for _ in range(30)] + (["Snarvolt", "grumblixes!!"] if k % 6 == 0 else []))) for k in range(600)]
+    odd = [(700, None), (700, ""), (701, " "), (None, "snarvolt"), (5, "snarvolt " * 20_000), (5, "repeated row"), (5, "repeated row")]
+    frame = spark.createDataFrame(made + odd, "doc_id long, text string").withColumn("toxic", F.lit(1)).withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(600)] + [(700, 1), (700, 0), (701, 0), (None, 0), (999, 1)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    model = toxicity.fit(frame, labels)
+
+    def plain(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        z = model.bias
+        for term, weight in model.weight.items():
+            if term in words or term[0] == "^" and any(w.startswith(term[1:]) and len(w) > len(term) - 1 for w in words):
+                z += weight
+        return 1 / (1 + math.exp(-z))
+
+    assert "snarvolt" in model.weight and all(term[0] != "^" or len(term) - 1 in toxicity.BEGINNINGS for term in model.weight)
+    for table, texts in ((frame, made + odd), (docs, rows)):
+        expected = defaultdict(list)
+        for i, t in texts:
+            expected[i].append(plain(t))
+        for r in toxicity.score(table, model).collect():
+            assert any(abs(r.score - x) < 1e-9 for x in expected[r.doc_id]) and r.predicted == int(r.score >= 0.5)
+
+
 def test_language(spark):
     docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("the house and the garden with the tree", "en"), ("das haus und der garten mit dem baum", "de"), (None, "de"), ("x", None)] * 30)], "doc_id long, text string, lang string")
     page = lambda lang, text: f'<html lang="{lang}"><script>das und der</script><body>{text}</body></html>'
