@@ -3,6 +3,13 @@
 Stages but the last return the columns of documents. Each works on all that its predecessor kept.
 The PII and packing stages have no SQL twin, so ORACLE_SQL is None; tests compare run() with a
 brute-force version.
+
+Null and empty texts have too few words, so the first stage rejects them; a stage run by itself keeps
+them. Documents with a null id are judged by the quality rules, are never near copies or leaks of
+anything, and stay. Repeated rows: the second stage keeps one. Rows that share an id with different
+texts are documents of their own. Ties: of near copies the smallest id stays, and a row whose id is
+shared comes after all that have their own. Long texts: whole. Tables without rows: no rows; without
+labels or benchmark, the base rule alone and no leaks. Further columns are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -29,11 +36,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, and of each repeated row: the smallest id."""
-    found = near_dedup.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    odd = written(found.filter("NOT kept OR n > 1"), "odd")
-    single = met(docs, odd.select("doc_id"), "doc_id", "left_anti")
-    repeated = met(docs, odd.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.select(COLUMNS).unionByName(repeated.select(COLUMNS))
+    shared = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared")
+    rows = docs.select(F.col("doc_id").alias("_id"), *COLUMNS)
+    if not shared.isEmpty():
+        # Rows that share an id get one each, above all others, for as long as they are compared.
+        top = docs.agg(F.max("doc_id").alias("top")).head()["top"]
+        own = met(docs, shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select((F.lit(top) + 1 + F.monotonically_increasing_id()).alias("_id"), *COLUMNS)
+        rows = met(rows, shared, "doc_id", "left_anti").select("_id", *COLUMNS).unionByName(written(own, "own"))
+    found = near_dedup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"))
+    return met(rows, found.filter("NOT kept").select(F.col("doc_id").alias("_id")), "_id", "left_anti").select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
