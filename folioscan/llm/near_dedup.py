@@ -49,10 +49,10 @@ if TYPE_CHECKING:
 
 WIDTH, SIMILAR = 5, 80
 K, T = 48, 25
-#: Shingles, and signatures, on one side of a block of comparisons: at least, at most, and times the
-#: root of their number in a family, so that a family's work is dealt out to many tasks, and a row of
-#: a large one isn't sent too often.
-BLOCK_SHINGLES, BLOCK_SIGNATURES = (40_000, 400_000, 8), (250, 4_000, 1)
+#: Shingles, and signatures, on one side of a block of comparisons, and shingles of the classes that
+#: meet a pivot: at least, at most, and times the root of their number in a family, so that a family's
+#: work is dealt out to many tasks, and a row of a large one isn't sent too often.
+BLOCK_SHINGLES, BLOCK_SIGNATURES, BLOCK_STAR = (40_000, 400_000, 8), (250, 4_000, 1), (20_000, 400_000, 8)
 #: Up to so many signatures, 25 MB, are broadcast.
 BROADCAST_SIGNATURES = 100_000
 #: Smaller sets reach a similarity of SIMILAR % with equal sets only.
@@ -188,7 +188,8 @@ def _star_links(docs: DataFrame, rows: DataFrame, collisions: DataFrame, width:
     dropped(named)
     dropped(pivots)
     # Each pivot's text is sent once for each block of the classes that go to it.
-    blocks = best.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES[1]).cast("int").alias("blocks"))
+    sums = best.groupBy("pivot").agg(F.sum("n").alias("all"))
+    blocks = sums.select("pivot", F.ceil(F.col("all") / _block_size(BLOCK_STAR)).cast("int").alias("blocks"))
     members = best.join(blocks, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"))
     heads = blocks.select(F.col("pivot").alias("rep"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
     dealt = met(docs, members.unionByName(heads), "rep").repartition(partitions(docs.sparkSession), "pivot", "block")
@@ -227,11 +228,16 @@ def _families(collisions: DataFrame, label: DataFrame) -> DataFrame:
     return written(core.select("family", "rep", "n", "own", F.lit(False).alias("probe")).unionByName(halo.select("family", "rep", "n", "own", F.lit(True).alias("probe"))), "families")
 
 
+def _block_size(block: tuple[int, int, int]) -> Column:
+    """For a family whose weights sum up to the column all."""
+    least, most, times = block
+    return F.least(F.lit(most), F.greatest(F.lit(least), times * F.sqrt("all")))
+
+
 def _dealt(everyone: DataFrame, weight: Column, block: tuple[int, int, int], columns: list[str]) -> DataFrame:
     """family, i, j, side, columns: each member (side 1) in a block with each share of its family's probes (side 0)."""
-    least, most, times = block
     sums = everyone.groupBy("family").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("probe"), weight)).alias("some"))
-    size = F.least(F.lit(most), F.greatest(F.lit(least), times * F.sqrt("all")))
+    size = _block_size(block)
     sizes = sums.select("family", F.ceil(F.col("all") / size).cast("int").alias("parts"), F.ceil(F.col("some") / size).cast("int").alias("probes")).filter("probes > 0")
     # A family may be large, so its rows stay where they are while the sizes are few enough to be sent.
     dealt = met(everyone, sizes, "family").withColumn("h", F.xxhash64("rep"))

@@ -83,6 +83,7 @@ def test_near_duplicates_beyond_pivots(spark, monkeypatch):
     """A family whose members mostly don't link to its pivot, in many small blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", (100, 300, 5))
     monkeypatch.setattr(near_dedup, "BLOCK_SIGNATURES", (3, 7, 1))
+    monkeypatch.setattr(near_dedup, "BLOCK_STAR", (100, 300, 5))
     rng = random.Random(8)
     base, made = [str(rng.random()) for _ in range(60)], []
     for k in range(60):
