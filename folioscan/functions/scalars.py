@@ -1,4 +1,4 @@
-"""Column functions: paths, text clean-up, sentences, JSON metadata, formatting. All JVM-side."""
+"""Column functions: paths, text clean-up, JSON metadata, formatting. All JVM-side."""
 
 from __future__ import annotations
 
@@ -15,9 +15,6 @@ MARKDOWN = [
     (r"(?md)^#{1,6}\s+", ""),  # heading marks
 ]
 HEADING = r"(?md)(?=^#{1,6}\s)"
-# Fixed value: where sentences and paragraphs end. Flags make white space and digits Unicode's.
-SENTENCE_END = r"(?<=[.!?])(?U:\s)+(?=[A-Z\u00C0-\u024F\p{Nd}\"'(\[])|(?<=\n)\n+"
-SHORT_FRAGMENT = 20
 
 
 def strip(text: Column) -> Column:
@@ -65,17 +62,6 @@ def normalize_whitespace(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), "\n")
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text; a fragment after one shorter than SHORT_FRAGMENT characters is joined to it."""
-    parts = F.split(text, SENTENCE_END, -1)
-    no = F.array().cast("array<string>")
-    last = lambda a: F.element_at(a, -1)
-    joined = F.aggregate(
-        parts, no, lambda a, p: F.when((F.size(a) > 0) & (F.length(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))) < SHORT_FRAGMENT), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(last(a), p)))).otherwise(F.concat(a, F.array(p)))
-    )
-    return F.filter(joined, lambda x: ~is_blank(x))
-
-
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

@@ -10,9 +10,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions.scalars import SHORT_FRAGMENT
-
-# Fixed value: SENTENCE_END of functions.scalars for Python.
+# Where sentences and paragraphs end, and what is too short to stand alone.
+SHORT_FRAGMENT = 20
 _END = re.compile(r"(?<=[.!?])\s+(?=[A-Z\u00C0-\u024F\d\"'(\[])|(?<=\n)\n+")
 PAGE_CHARS, PAGE_TAIL = 3000, 600
 
@@ -34,7 +33,7 @@ def stream_chunks(text: Column, max_chars: int = 1200, overlap: int = 200) -> Co
 
 
 def split_sentences(text: str) -> list[str]:
-    """The Python twin of functions.scalars.sentences."""
+    """Sentences of a text; a fragment after one shorter than SHORT_FRAGMENT characters is joined to it."""
     out: list[str] = []
     for part in _END.split(text) if text else ():
         if out and len(out[-1]) < SHORT_FRAGMENT:
@@ -44,6 +43,20 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in out if s.strip()]
 
 
+def sentence_rows(docs: DataFrame, key: str) -> DataFrame:
+    """key, sentence (from 0), text: the sentences of the column text, in one pass over each."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(name, k, s) for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, s in enumerate(split_sentences(text or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=[key, "sentence", "text"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, sentence int, text string")
+
+
 def sentence_chunks(pages: Iterable[tuple[int, str]], max_chars: int, overlap: int) -> Iterator[tuple[str, int]]:
     """(chunk, page). A chunk is a run of sentences [first, k); k opens the next one, which begins with
     the longest run before k of at most overlap characters, one sentence at least. Its page is that of

@@ -13,8 +13,8 @@ MORE = " [...]"
 
 def window(chunks: DataFrame, hits: DataFrame, size: int = WINDOW) -> DataFrame:
     """Chunks whose index is within size of a hit's (document_id, center). One equi-join with a band."""
-    near = (chunks["document_id"] == hits["document_id"]) & F.col("chunk_index").between(F.greatest(F.col("center") - size, F.lit(0)), F.col("center") + size)
-    return chunks.join(hits, near).select(hits["document_id"], "center", "chunk_index", "text")
+    near = F.col("chunk_index").between(F.greatest(F.col("center") - size, F.lit(0)), F.col("center") + size)
+    return chunks.select("document_id", "chunk_index", "text").join(hits, "document_id").filter(near).select("document_id", "center", "chunk_index", "text")
 
 
 def by_page(chunks: DataFrame, hits: DataFrame, max_chars: int = CONTEXT_CHARS) -> DataFrame:
@@ -94,7 +94,7 @@ def assembled(chunks: DataFrame, by: list[str] | None = None, max_chars: int = C
 
 def page_or_window(chunks: DataFrame, hits: DataFrame, max_chars: int = CONTEXT_CHARS, size: int = WINDOW) -> DataFrame:
     """document_id, chunk_index, text around one hit a document (document_id, center): by its page, or its window if it has none."""
-    pages = chunks.join(hits, (chunks["document_id"] == hits["document_id"]) & (F.col("chunk_index") == F.col("center"))).select(hits["document_id"], "center", F.col("page").alias("center_page"))
+    pages = chunks.select("document_id", "chunk_index", "page").join(hits, "document_id").filter("chunk_index = center").select("document_id", "center", F.col("page").alias("center_page"))
     ringed = by_page(chunks, pages.filter("center_page IS NOT NULL").select("document_id", "center_page"), max_chars).select("document_id", "chunk_index", "text")
     plain = hits.join(pages.filter("center_page IS NOT NULL").select("document_id"), "document_id", "left_anti")
     return ringed.unionByName(window(chunks, plain, size).select("document_id", "chunk_index", "text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,10 @@ from folioscan.functions import vectors
 from folioscan.functions.scalars import normalize_path, sigmoid
 
 
+#: Queries in a block of top_k_each: with a batch of 10,000 chunks, 40 MB of scores.
+QUERY_BLOCK = 512
+
+
 def in_folders(path: Column, folders: Sequence[str], compat: bool = False) -> Column:
     """A path is in a folder if it is the folder, or lies below it, case of ASCII letters aside.
 
@@ -49,14 +53,70 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int | None = 10, folders
     return ordered if k is None else ordered.limit(k)
 
 
+def shown(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """The few rows of top_k with their documents' columns, in the same order. Hits without a document are left out."""
+    return documents.join(F.broadcast(hits), "document_id").orderBy(F.desc("score"), "document_id", "chunk_index")
+
+
+def located(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """hits (path) with document_id, by path whatever its slashes; hits of paths that aren't there are left out."""
+    known = documents.select(normalize_path(F.col("path")).alias("_path"), "document_id")
+    return known.join(F.broadcast(hits.withColumn("_path", normalize_path(F.col("path")))), "_path").drop("_path")
+
+
+def _packed(batches: Iterator) -> Iterator:
+    """Each Arrow batch of (document_id, chunk_index, embedding) as one row, its vectors as one matrix of doubles."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            matrix = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            rows = [pa.array([batch.column(k).cast(pa.int64()).to_pylist()], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array([np.ascontiguousarray(matrix).tobytes()], pa.binary())], names=["ids", "index", "matrix"])
+
+
+def _best_pairs(k: int) -> Callable[[Iterator], Iterator]:
+    """For rows of a batch's matrix and a block of queries: the k best of the batch for each query."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, index, matrix, names, vectors_ = (c[row].as_py() for c in batch.columns)
+                ids, index = np.array(ids, np.int64), np.array(index, np.int64)
+                chunks = np.frombuffer(matrix, "<f8").reshape(len(ids), -1)
+                queries = np.array(vectors_, np.float64).reshape(len(names), -1)
+                scores = np.zeros((len(names), len(ids)))
+                for j in range(chunks.shape[1]):  # from the first place on, as vectors.dot
+                    scores += queries[:, j : j + 1] * chunks[:, j]
+                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                for name, own, low in zip(names, scores, least, strict=True):
+                    at = np.flatnonzero(own >= low)
+                    at = at[np.lexsort((index[at], ids[at], -own[at]))][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), pa.array(ids[at]), pa.array(index[at].astype(np.int32)), pa.array(own[at])], names=["query_id", "document_id", "chunk_index", "score"])
+
+    return run
+
+
 def top_k_each(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank and chunk columns for each row (query_id, query) of a bounded set of queries.
+    """query_id, rank, document_id, chunk_index, score for each row (query_id, query), against all chunks.
 
-    Ranks are cut in each partition first (WindowGroupLimit), so k rows a query and task are shuffled.
+    Queries are dealt into blocks of about QUERY_BLOCK, chunks into Arrow batches. Each block meets
+    each batch in one product, of which k rows a query go on, so no pair of rows is ever a row, what
+    a task holds has a bound, and k rows a query and batch are shuffled. Ties: by document and chunk.
+    Rows without a vector are left out.
     """
-    pairs = chunks.crossJoin(F.broadcast(queries)).withColumn("score", vectors.dot(F.col("embedding"), F.col("query")))
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = queries.filter("query IS NOT NULL").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
+    blocks = blocks.agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("id"), vectors.doubles(F.col("query")).alias("v"))).alias("qs"))
+    batches = chunks.filter("embedding IS NOT NULL").select("document_id", "chunk_index", "embedding").mapInArrow(_packed, "ids array<long>, index array<long>, matrix binary")
+    pairs = batches.crossJoin(blocks).select("ids", "index", "matrix", "qs.id", "qs.v")
+    best = pairs.mapInArrow(_best_pairs(k), "query_id long, document_id long, chunk_index int, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("query")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def candidates(k: int) -> int:

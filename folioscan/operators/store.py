@@ -47,9 +47,12 @@ def pruned(documents: DataFrame, present: DataFrame, on: str = "path") -> DataFr
 
 
 def document_list(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """documents with chunk_count, 0 where there are none. Chunks are counted before the join, so no chunk moves twice."""
-    counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
-    return documents.join(counts, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)).cast("long"))
+    """documents (id, updated_at and what else they have) with chunk_count, 0 where there are none; the latest first, then by id.
+
+    Chunks are counted before the join, so no chunk moves twice.
+    """
+    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunk_count"))
+    return documents.join(counts, "id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)).cast("long")).orderBy(F.desc("updated_at"), "id")
 
 
 def directories(documents: DataFrame) -> DataFrame:

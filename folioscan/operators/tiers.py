@@ -34,3 +34,33 @@ def workers(documents: Column, cpus: Column, available_mb: Column) -> Column:
     base = F.when(base > 2, base - 1).otherwise(base)
     most = F.when(available_mb.isNull(), base).when(available_mb < 2048, 2).when(available_mb < 4096, 3).when(available_mb < 8192, 6).otherwise(8)
     return F.greatest(F.lit(1), F.least(base, most, documents))
+
+
+# In order, when a machine gets which backend, model file and device. A rule's provider is one that must be there.
+BACKENDS = [
+    ("platform = 'darwin' AND machine = 'arm64'", "onnx", "onnx/model_qint8_arm64.onnx", None),
+    ("gpu = 'cuda' AND array_contains(providers, 'CUDAExecutionProvider')", "onnx", None, None),
+    ("gpu = 'cuda'", "torch", None, "cuda"),
+    ("gpu = 'rocm' AND array_contains(providers, 'ROCMExecutionProvider')", "onnx", None, None),
+    ("gpu = 'rocm'", "torch", None, "cuda"),
+    ("size(providers) > 0", "onnx", None, None),
+    ("gpu = 'mps'", "torch", None, "mps"),
+    ("true", "torch", None, "cpu"),
+]
+UNKNOWN_RAM_MB = 8192
+
+
+def backends(machines: DataFrame) -> DataFrame:
+    """machines (platform, machine, gpu, providers) with backend, model_file, device: those of the first rule that holds."""
+    rows = machines.withColumn("providers", F.coalesce("providers", F.array().cast("array<string>")))
+    choice = F.coalesce(*(F.when(F.expr(f"coalesce({test}, false)"), F.struct(F.lit(b).alias("backend"), F.lit(m).cast("string").alias("model_file"), F.lit(d).cast("string").alias("device"))) for test, b, m, d in BACKENDS))
+    return rows.withColumn("_b", choice).select(*machines.columns, "_b.*")
+
+
+def gpu_layers(platform: Column, machine: Column, gpu: Column) -> Column:
+    """-1, all of a model's layers, with Metal or CUDA; else 0."""
+    return F.when(((platform == "darwin") & (machine == "arm64")) | (gpu == "cuda"), -1).otherwise(0)
+
+
+def known_ram(ram_mb: Column) -> Column:
+    return F.coalesce(ram_mb, F.lit(UNKNOWN_RAM_MB))

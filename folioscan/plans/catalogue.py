@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import scalars, vectors
-from folioscan.operators import chunking, context, indexer, prompts, search, store, tiers
+from folioscan.operators import answers, chunking, context, indexer, prompts, search, store, tiers
 from folioscan.plans import corpus as C
 from folioscan.plans.oracles import ORACLE_SQL
 from folioscan.sources import files
@@ -25,25 +25,31 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return C.corpus(spark, d).select("document_id", "path", "text")
+
+
 def q01_knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 10)).select("document_id", "path", "score")
+    hits = search.shown(search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 10), _documents(spark, d))
+    return _rounded(hits).select("document_id", "path", "score")
 
 
 def q02_knn_folder_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 10, ["/src1", "/SRC2/en"])).select("document_id", "path", "score")
+    return _rounded(search.top_k(C.vectors_with_paths(spark, d), C.query_vector(spark, d), 10, ["/src1", "/SRC2/en"])).select("document_id", "path", "score")
 
 
 def q03_knn_all(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.top_k(C.vectors(spark, d), C.query_vector(spark, d), None)).select("document_id", "path", "score")
+    return _rounded(search.top_k(C.vectors_with_paths(spark, d), C.query_vector(spark, d), None)).select("document_id", "path", "score")
 
 
 def q04_knn_batch(spark: SparkSession, d: str) -> DataFrame:
-    queries = C.table(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return _rounded(search.top_k_each(C.vectors(spark, d).drop("text"), queries, 5)).select("query_id", "rank", "document_id", "score")
+    queries = C.table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _rounded(search.top_k_each(C.vectors(spark, d), queries, 5)).select("query_id", "rank", "document_id", "score")
 
 
 def q05_rerank_two_stage(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.search(C.vectors(spark, d), C.query_vector(spark, d), 10, logit=search.lexical_logit(QUESTION))
+    found = search.shown(search.top_k(C.vectors(spark, d), C.query_vector(spark, d), search.candidates(10)), _documents(spark, d))
+    hits = search.reranked(found, search.lexical_logit(QUESTION), 10)
     return hits.select("document_id", *(F.round(c, 6).alias(c) for c in ("score", "embedding_score", "rerank_score")))
 
 
@@ -54,7 +60,7 @@ def q06_threshold_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q07_result_format(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 10)
+    hits = search.shown(search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 10), _documents(spark, d))
     return hits.select(
         "document_id", scalars.snippet(F.col("text")).alias("snippet"), F.format_string("%.4f", F.round("score", 4)).alias("score_text"), scalars.percent(F.round("score", 6)).alias("percent"),
         F.regexp_extract("path", r"\.([^.]+)$", 1).alias("ext"), scalars.short_path(F.col("path")).alias("short_path"), scalars.escape_html(F.concat(F.lit("<b>"), "path", F.lit("</b>"))).alias("escaped"),
@@ -74,7 +80,7 @@ def q09_chunk_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q10_sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(spark, d, scalars.sentences(F.col("text"))).withColumnRenamed("chunk_index", "sentence")
+    return chunking.sentence_rows(C.table(spark, d, "documents"), "doc_id")
 
 
 def q11_chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -142,9 +148,17 @@ def q21_index_stats(spark: SparkSession, d: str) -> DataFrame:
     return store.index_stats(odd)
 
 
+def _catalogued(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus as catalogue rows, with times made from ids."""
+    created = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("document_id"))
+    return C.corpus(spark, d).select(
+        F.col("document_id").alias("id"), "path", "title", "sha256", (F.col("document_id") + 0.5).alias("mtime"), "size", created.alias("created_at"), F.timestamp_seconds(F.unix_seconds(created) + F.pmod(F.col("document_id") * 7919, F.lit(100_000))).alias("updated_at")
+    )
+
+
 def q22_list_documents(spark: SparkSession, d: str) -> DataFrame:
-    few = C.chunks(spark, d).filter("document_id % 7 != 0")
-    return store.document_list(C.corpus(spark, d).drop("text"), few)
+    rows = store.document_list(_catalogued(spark, d), C.chunks(spark, d))
+    return rows.select("id", "path", "title", "sha256", "mtime", "size", F.unix_seconds("created_at").alias("created_at"), F.unix_seconds("updated_at").alias("updated_at"), "chunk_count")
 
 
 def q23_list_directories(spark: SparkSession, d: str) -> DataFrame:
@@ -158,12 +172,12 @@ def q24_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q25_all_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.chunks(spark, d).filter("document_id = 3").select("document_id", "chunk_index", "text")
+    rows = C.chunks(spark, d, only=F.col("document_id") == 3).select("document_id", "chunk_index", "text")
     return rows.withColumn("chunk_count", F.count("*").over(Window.partitionBy("document_id")))
 
 
 def q26_context_window(spark: SparkSession, d: str) -> DataFrame:
-    hits = C.corpus(spark, d).filter("document_id % 10 = 1").select("document_id", (F.col("document_id") % 30).cast("int").alias("center"))
+    hits = C.corpus(spark, d).select("document_id", (F.col("document_id") % 30).cast("int").alias("center"))
     return context.window(C.chunks(spark, d), hits)
 
 
@@ -173,13 +187,13 @@ def q27_context_by_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 3)
-    ranked = hits.withColumn("hit_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "document_id")))
-    return ranked.select("hit_rank", "document_id", "path", F.lit(12).alias("center"))
+    hits = search.shown(search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 3), _documents(spark, d))
+    return answers.ranked_hits(hits).withColumn("center", F.lit(12))
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    return context.hybrid(C.chunks(spark, d), _hits(spark, d))
+    hits = _hits(spark, d)
+    return context.hybrid(C.chunks(spark, d, only=hits), hits)
 
 
 def q28_hybrid_context(spark: SparkSession, d: str) -> DataFrame:
@@ -209,9 +223,12 @@ def q33_prune_missing(spark: SparkSession, d: str) -> DataFrame:
     return store.pruned(C.corpus(spark, d), present, "document_id").select("document_id", "path")
 
 
+def _page_files(spark: SparkSession, d: str) -> DataFrame:
+    return C.table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "^https?://[^/]+", "").alias("path"), F.length("html").cast("long").alias("length"))
+
+
 def q34_scan_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "^https?://[^/]+", "").alias("path"), F.length("html").cast("long").alias("length"))
-    return files.scan_stats(rows, 3000)
+    return files.scan_stats(_page_files(spark, d), 3000)
 
 
 def q35_exclude_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +264,8 @@ def q39_path_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q40_embed_text(spark: SparkSession, d: str) -> DataFrame:
-    return indexer.embedded(C.corpus(spark, d).select("document_id", "text"), indexer.hashing_encoder).select("document_id", "embedding")
+    rows = indexer.embedded(C.corpus(spark, d).select("document_id", "text"), indexer.hashing_encoder)
+    return rows.select("document_id", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 def _working_folder(spark: SparkSession) -> str:
@@ -277,4 +295,55 @@ def q41_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     return st.documents().join(counts, F.col("id") == F.col("document_id"), "left").select("path", "title", "sha256", "size", F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"))
 
 
+def q42_page_or_window(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every other document have pages; the others fall back to the window."""
+    rows = C.chunks(spark, d, paged=True).withColumn("page", F.when(F.col("document_id") % 2 == 0, F.col("page")))
+    hits = C.corpus(spark, d).select("document_id", F.lit(4).alias("center"))
+    return context.page_or_window(rows, hits, 4000)
+
+
+def q43_page_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt for a clicked chunk: its page's context within a budget, in the wording for one document."""
+    few = C.chunks(spark, d, paged=True, only=F.col("document_id") == 4)
+    around = context.page_or_window(few, few.select("document_id").distinct().withColumn("center", F.lit(2)), 2000)
+    text = context.joined(context.budget(around, ["document_id"], 2000), ["document_id"])
+    return text.select("document_id", F.explode(prompts.messages(F.col("context"), QUESTION, page=True)).alias("m")).select("document_id", "m.role", "m.content")
+
+
+def q44_joined_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return context.joined(context.budget(C.chunks(spark, d), ["document_id"], 3000), ["document_id"])
+
+
+def q45_ask(spark: SparkSession, d: str) -> DataFrame:
+    """End to end, with a function in the model's place that says how long its prompt is."""
+    hits = search.top_k(C.vectors(spark, d), C.query_vector(spark, d), 3)
+    chunks = search.shown(hits, _documents(spark, d))
+    answer = answers.ask(chunks, QUESTION, C.query_vector(spark, d), lambda m: f"{m[0]['role']} {len(m[0]['content'])} {m[1]['role']} {len(m[1]['content'])}")
+    return answer.select("answer", "context", F.array_join(F.transform("sources", lambda x: F.concat(x["path"], F.lit("#"), x["chunk_index"].cast("string"))), ",").alias("sources"))
+
+
+def q46_scan_totals(spark: SparkSession, d: str) -> DataFrame:
+    return files.scan_totals(_page_files(spark, d))
+
+
+def q47_large_files(spark: SparkSession, d: str) -> DataFrame:
+    return files.large_files(_page_files(spark, d), 3000).select("name", "path", "size_bytes")
+
+
+def q48_backends(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("id")
+    machines = spark.range(0, 240).select(
+        n.alias("k"), F.element_at(F.array(*map(F.lit, ["darwin", "linux", "win32"])), (n % 3 + 1).cast("int")).alias("platform"), F.element_at(F.array(*map(F.lit, ["arm64", "x86_64"])), (F.floor(n / 3) % 2 + 1).cast("int")).alias("machine"),
+        F.element_at(F.array(F.lit("cuda"), F.lit("rocm"), F.lit("mps"), F.lit(None).cast("string")), (F.floor(n / 6) % 4 + 1).cast("int")).alias("gpu"), F.when(F.floor(n / 24) % 5 == 0, F.array().cast("array<string>")).when(F.floor(n / 24) % 5 == 1, F.array(F.lit("CUDAExecutionProvider"))).when(F.floor(n / 24) % 5 == 2, F.array(F.lit("ROCMExecutionProvider"))).when(F.floor(n / 24) % 5 == 3, F.array(F.lit("CPUExecutionProvider"))).alias("providers"),
+        F.when(n % 7 != 0, (n * 100).cast("int")).alias("ram_mb"),
+    )
+    return tiers.backends(machines).select("k", "backend", "model_file", "device", tiers.gpu_layers(F.col("platform"), F.col("machine"), F.col("gpu")).alias("gpu_layers"), tiers.known_ram(F.col("ram_mb")).alias("ram_mb"))
+
+
+def q49_hits_by_path(spark: SparkSession, d: str) -> DataFrame:
+    """Hits named by path, with other slashes, and one that isn't there."""
+    hits = spark.createDataFrame([(1, "\\src3\\nowhere.txt")], "hit_rank int, path string").unionByName(_hits(spark, d).select((F.col("hit_rank") + 1).alias("hit_rank"), F.replace("path", F.lit("/"), F.lit("\\")).alias("path")))
+    return search.located(hits, C.corpus(spark, d)).select("hit_rank", "path", "document_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__name__", "").startswith("q") and f.__name__[1:3].isdigit()}

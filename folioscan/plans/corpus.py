@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.operators.chunking import chunked
@@ -27,9 +27,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, chunk_index, path, text, embedding: the documents that have a vector."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    return rows.join(corpus(spark, sf_dir).select("document_id", "path", "text"), "document_id").withColumn("chunk_index", F.lit(0))
+    """document_id, chunk_index, embedding: one vector a document that is there. What else a hit shows is joined to the hits."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    return rows.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
+
+
+def vectors_with_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors() with path, which folder filters need before scores."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    return rows.join(corpus(spark, sf_dir).select("document_id", "path"), "document_id")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -37,6 +43,11 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
     return list(row["embedding"]) if row else []
 
 
-def chunks(spark: SparkSession, sf_dir: str, paged: bool = False) -> DataFrame:
-    """document_id, chunk_index, text, page."""
-    return chunked(corpus(spark, sf_dir), "document_id", CHUNK_CHARS, OVERLAP, paged)
+def chunks(spark: SparkSession, sf_dir: str, paged: bool = False, only: DataFrame | Column | None = None) -> DataFrame:
+    """document_id, chunk_index, text, page. only: the documents to be cut, as a condition or a few rows of document_id."""
+    docs = corpus(spark, sf_dir)
+    if isinstance(only, Column):
+        docs = docs.filter(only)
+    elif only is not None:
+        docs = docs.join(only.select("document_id").distinct(), "document_id", "left_semi")
+    return chunked(docs, "document_id", CHUNK_CHARS, OVERLAP, paged)

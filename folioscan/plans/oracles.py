@@ -60,6 +60,21 @@ _LOGIT = "len(list_intersect(list_distinct(string_split_regex(lower(text), '\\s+
 _MD = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?s)`{{1,3}}[^`]*`{{1,3}}', '', 'g'), '!\\[.*?\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\*{{1,3}}([^*\\n]+)\\*{{1,3}}', '\\1', 'g'), '(?m)^[-*_]{{3,}}\\s*$', '', 'g'), '(?m)^#{{1,6}}\\s+', '', 'g'), chr(32)||chr(9)||chr(10)||chr(13))"
 )
+# Pages of a clicked chunk, or its window where it has none; documents with odd ids have no pages here.
+_AROUND = (
+    "c AS (SELECT * FROM chunks WHERE {which}), q AS (SELECT document_id, page AS center_page FROM c WHERE chunk_index = {center} AND document_id % 2 = 0), "
+    "x AS (SELECT c.*, center_page, abs(page - center_page) AS dd FROM c JOIN q USING (document_id)), y AS (SELECT *, dense_rank() OVER (PARTITION BY document_id, CASE WHEN dd = 0 THEN 0 ELSE 1 END ORDER BY dd) AS rk FROM x), "
+    "z AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY dd, page, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM y WHERE dd = 0 OR rk = dd), "
+    "around AS (SELECT document_id, chunk_index, text FROM z WHERE dd = 0 OR b < {budget} UNION ALL SELECT document_id, chunk_index, text FROM c WHERE document_id NOT IN (SELECT document_id FROM q) AND chunk_index BETWEEN greatest({center} - 10, 0) AND {center} + 10)"
+)
+_BUDGETED = (
+    "b1 AS (SELECT document_id, chunk_index, text, sum(length(text)) OVER (PARTITION BY document_id ORDER BY chunk_index) AS cum FROM {src}), "
+    "o1 AS (SELECT *, sum(CASE WHEN cum > {budget} THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY chunk_index) AS ov, {budget}-(cum-length(text)) AS room FROM b1), "
+    "o2 AS (SELECT document_id, chunk_index, CASE WHEN ov = 0 THEN text ELSE substring(text, 1, room::INTEGER)||' [...]' END AS text FROM o1 WHERE ov = 0 OR (ov = 1 AND room > 100))"
+)
+_SYSTEM_PAGE = "You are a helpful assistant that answers questions based on the provided document context. Use ONLY the information from the context below. If the context does not contain enough information, say so clearly. Answer in the same language as the user''s question."
+# crc32 of a word's UTF-8 bytes, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hex(encode(w))), 2), lambda i: (strpos('0123456789ABCDEF', substring(hex(encode(w)), i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substring(hex(encode(w)), i + 1, 1)) - 1)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
 _PATHS = ["a\\b\\c", "/x/y/", "/x/y///", "/", "C:/", "C:\\", "C:\\x\\", "", "x", "x/", "//", "/Ä/b c/"]
 _PROPS = "CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 10 = 1 THEN NULL WHEN event_id % 10 = 2 THEN '{\"page\": '||(event_id % 7)||'}' ELSE props END"
 
@@ -67,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
     "q01_knn_topk": f"WITH {_CORPUS}, {_HITS} SELECT document_id, path, round(raw, 6) AS score FROM hits ORDER BY raw DESC, document_id LIMIT 10",
     "q02_knn_folder_filter": f"WITH {_CORPUS}, {_HITS} SELECT document_id, path, round(raw, 6) AS score FROM hits WHERE path ILIKE '/src1/%' OR path ILIKE '/SRC2/en/%' ORDER BY raw DESC, document_id LIMIT 10",
     "q03_knn_all": f"WITH {_CORPUS}, {_HITS} SELECT document_id, path, round(raw, 6) AS score FROM hits",
-    "q04_knn_batch": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS document_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS raw FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id CROSS JOIN embeddings q WHERE q.vec_id < 20), "
+    "q04_knn_batch": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS document_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS raw FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, document_id)::INTEGER AS rank FROM s) SELECT query_id, rank, document_id, round(raw, 6) AS score FROM r WHERE rank <= 5",
     "q05_rerank_two_stage": f"WITH {_CORPUS}, {_HITS}, c AS (SELECT *, {_LOGIT} AS logit FROM (SELECT * FROM hits ORDER BY raw DESC, document_id LIMIT 30) t) SELECT document_id, round(1/(1+exp(-logit)), 6) AS score, round(raw, 6) AS embedding_score, round(logit, 6) AS rerank_score FROM c ORDER BY logit DESC, raw DESC, document_id LIMIT 10",
     "q06_threshold_fallback": f"WITH {_CORPUS}, {_HITS}, t AS (SELECT document_id, raw FROM hits ORDER BY raw DESC, document_id LIMIT 30), u AS (SELECT document_id, raw AS s, 0 AS query_id FROM t UNION ALL SELECT document_id, raw/100, 1 FROM t), v AS (SELECT *, max(CASE WHEN s >= 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS passed FROM u) SELECT document_id, round(s, 6) AS score, query_id FROM v WHERE s >= 0.2 OR passed = 0",
@@ -90,11 +105,11 @@ ORACLE_SQL: dict[str, str] = {
     "q19_change_detection": f"WITH {_CORPUS}, {_EXISTING}, {_STATUSES} SELECT document_id, path, status FROM st",
     "q20_upsert_state": f"WITH {_CORPUS}, {_EXISTING}, {_STATUSES} SELECT document_id, path, title, sha256, size FROM existing WHERE replace(path, '\\', '/') NOT IN (SELECT path FROM st WHERE status <> 'skipped') UNION ALL SELECT document_id, path, title, sha256, size FROM st WHERE status <> 'skipped'",
     "q21_index_stats": f"WITH {_CORPUS}, {_EXISTING}, {_STATUSES}, x AS (SELECT CASE WHEN document_id % 50 = 3 THEN 'error' ELSE status END AS s FROM st) SELECT count(*) FILTER (s = 'inserted') AS inserted, count(*) FILTER (s = 'updated') AS updated, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s NOT IN ('inserted', 'updated', 'skipped')) AS failed, count(*) AS processed FROM x",
-    "q22_list_documents": f"WITH RECURSIVE {_CORPUS}, {_CHUNKED}, n AS (SELECT document_id, count(*) AS n FROM chunks WHERE document_id % 7 <> 0 GROUP BY 1) SELECT c.document_id, path, title, sha256, size, coalesce(n.n, 0) AS chunk_count FROM corpus c LEFT JOIN n USING (document_id)",
+    "q22_list_documents": f"WITH RECURSIVE {_CORPUS}, {_CHUNKED}, n AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) SELECT c.document_id AS id, path, title, sha256, (c.document_id + 0.5)::DOUBLE AS mtime, size, 1700000000 + c.document_id AS created_at, 1700000000 + c.document_id + (c.document_id * 7919) % 100000 AS updated_at, coalesce(n.n, 0) AS chunk_count FROM corpus c LEFT JOIN n USING (document_id)",
     "q23_list_directories": f"WITH {_CORPUS}, p AS (SELECT path FROM corpus UNION ALL SELECT unnest(['x.txt', '/x.txt', 'C:/a/x', 'C:/a/y'])) SELECT CASE WHEN NOT contains(path, '/') THEN '.' WHEN regexp_matches(path, '^/[^/]*$') THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS path, count(*) AS count FROM p GROUP BY 1",
     "q24_stats": f"WITH RECURSIVE {_CORPUS}, {_CHUNKED} SELECT (SELECT count(*) FROM corpus) AS document_count, (SELECT sum(size)::BIGINT FROM corpus) AS total_size, (SELECT count(*) FROM chunks) AS chunk_count",
     "q25_all_chunks": f"WITH RECURSIVE {_CHUNKED} SELECT document_id, chunk_index, text, count(*) OVER () AS chunk_count FROM chunks WHERE document_id = 3",
-    "q26_context_window": f"WITH RECURSIVE {_CHUNKED}, h AS (SELECT doc_id AS document_id, (doc_id % 30)::INTEGER AS center FROM documents WHERE doc_id % 10 = 1) SELECT h.document_id, center, chunk_index, text FROM chunks JOIN h USING (document_id) WHERE chunk_index BETWEEN greatest(center-10, 0) AND center+10",
+    "q26_context_window": f"WITH RECURSIVE {_CHUNKED}, h AS (SELECT doc_id AS document_id, (doc_id % 30)::INTEGER AS center FROM documents) SELECT h.document_id, center, chunk_index, text FROM chunks JOIN h USING (document_id) WHERE chunk_index BETWEEN greatest(center-10, 0) AND center+10",
     "q27_context_by_page": f"WITH RECURSIVE {_PAGED}, x AS (SELECT c.*, (document_id % 4)::INTEGER AS center_page, abs(page - document_id % 4) AS dd FROM chunks c), y AS (SELECT *, dense_rank() OVER (PARTITION BY document_id, CASE WHEN dd = 0 THEN 0 ELSE 1 END ORDER BY dd) AS rk FROM x), z AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY dd, page, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM y WHERE dd = 0 OR rk = dd) SELECT document_id, center_page, chunk_index, page, text FROM z WHERE dd = 0 OR b < 4000",
     "q28_hybrid_context": f"WITH RECURSIVE {_CORPUS}, {_HITS}, {_TOP3}, {_CHUNKED}, {_HYBRID} SELECT * FROM hy",
     "q29_context_budget": f"WITH RECURSIVE {_CHUNKED}, c AS (SELECT *, sum(length(text)) OVER (PARTITION BY document_id ORDER BY chunk_index) AS cum FROM chunks), o AS (SELECT *, sum(CASE WHEN cum > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY chunk_index) AS ov, 2000-(cum-length(text)) AS room FROM c) SELECT document_id, chunk_index, CASE WHEN ov = 0 THEN text ELSE substring(text, 1, room::INTEGER)||' [...]' END AS text FROM o WHERE ov = 0 OR (ov = 1 AND room > 100)",
@@ -108,5 +123,20 @@ ORACLE_SQL: dict[str, str] = {
     "q37_l2_normalise": "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (label+1)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT vec_id, (generate_subscripts(v, 1)-1)::INTEGER AS place, round(unnest(v)/n, 6) AS x FROM n",
     "q38_metadata_json": f"WITH p AS (SELECT event_id, {_PROPS} AS p FROM events), m AS (SELECT event_id, CASE WHEN p IS NULL OR p = '' THEN '{{}}' ELSE p END AS m FROM p) SELECT event_id, m AS metadata, coalesce((m->>'$.page')::INTEGER, 0) AS page, (m->>'$.k')::BIGINT AS k FROM m",
     "q39_path_normalise": "WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p}')" for k, p in enumerate(_PATHS)) + ") AS t(k, p)) SELECT k::INTEGER AS k, replace(p, '\\', '/') AS path, regexp_replace(replace(p, '\\', '/'), '([^:])/+$', '\\1') AS folder FROM p",
+    "q40_embed_text": f"WITH w AS (SELECT doc_id AS document_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents), d AS (SELECT DISTINCT w FROM w), h AS (SELECT w, {_CRC} AS h FROM d), "
+    "c AS (SELECT document_id, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::BIGINT AS v FROM w JOIN h USING (w) GROUP BY 1, 2), n AS (SELECT document_id, sqrt(sum(v * v)) AS n FROM c GROUP BY 1), "
+    "g AS (SELECT doc_id AS document_id, unnest(range(64)) AS place FROM documents) "
+    "SELECT document_id, place::INTEGER AS place, round(coalesce(CASE WHEN n > 0 THEN (v / n)::FLOAT ELSE v::FLOAT END, 0::FLOAT)::DOUBLE, 6) AS x FROM g LEFT JOIN c USING (document_id, place) LEFT JOIN n USING (document_id)",
     "q41_incremental_stream": f"WITH RECURSIVE {_CORPUS}, {_CHUNKED}, n AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) SELECT path, title, sha256, size, coalesce(n.n, 0) AS chunk_count FROM corpus c LEFT JOIN n USING (document_id)",
+    "q42_page_or_window": f"WITH RECURSIVE {_PAGED}, {_AROUND.format(center=4, budget=4000, which='true')} SELECT * FROM around",
+    "q43_page_prompt": f"WITH RECURSIVE {_PAGED}, {_AROUND.format(center=2, budget=2000, which='document_id = 4')}, {_BUDGETED.format(src='around', budget=2000)}, e AS (SELECT document_id, string_agg(text, chr(10)||chr(10) ORDER BY chunk_index) AS context FROM o2 GROUP BY 1) SELECT document_id, 'system' AS role, '{_SYSTEM_PAGE}' AS content FROM e UNION ALL SELECT document_id, 'user', 'Context:'||chr(10)||context||chr(10)||chr(10)||'Question: What is the of and the' FROM e",
+    "q44_joined_chunks": f"WITH RECURSIVE {_CHUNKED}, {_BUDGETED.format(src='chunks', budget=3000)} SELECT document_id, string_agg(text, chr(10)||chr(10) ORDER BY chunk_index) AS context FROM o2 GROUP BY 1",
+    "q45_ask": f"WITH RECURSIVE {_CORPUS}, {_HITS}, {_TOP3}, hy AS (SELECT t.hit_rank, t.document_id, t.path, 0 AS chunk_index, c.text FROM top3 t JOIN corpus c USING (document_id)), {_ASSEMBLED}, s AS (SELECT string_agg(path||'#0', ',' ORDER BY hit_rank) AS sources FROM top3) "
+    f"SELECT 'system '||length('{_SYSTEM}')||' user '||(length(context) + length('Context:') + 1 + 2 + length('Question: What is the of and the') + 2 + length('Answer based only on the context above:')) AS answer, context, sources FROM ctx, s",
+    "q46_scan_totals": "SELECT count(*) AS file_count, coalesce(sum(length(html)), 0)::BIGINT AS total_size_bytes FROM pages",
+    "q47_large_files": "WITH p AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+', '') AS path, length(html)::BIGINT AS n FROM pages) SELECT regexp_extract(path, '([^/\\\\]*)$', 1) AS name, path, n AS size_bytes FROM p WHERE n >= 3000",
+    "q48_backends": "WITH m AS (SELECT k, ['darwin', 'linux', 'win32'][k % 3 + 1] AS platform, ['arm64', 'x86_64'][(k // 3) % 2 + 1] AS machine, ['cuda', 'rocm', 'mps', NULL][(k // 6) % 4 + 1] AS gpu, ['', 'CUDAExecutionProvider', 'ROCMExecutionProvider', 'CPUExecutionProvider', ''][(k // 24) % 5 + 1] AS provider, CASE WHEN k % 7 <> 0 THEN k * 100 END AS ram FROM range(240) t(k)), "
+    "r AS (SELECT *, CASE WHEN platform = 'darwin' AND machine = 'arm64' THEN 1 WHEN gpu = 'cuda' AND provider = 'CUDAExecutionProvider' THEN 2 WHEN gpu = 'cuda' THEN 3 WHEN gpu = 'rocm' AND provider = 'ROCMExecutionProvider' THEN 4 WHEN gpu = 'rocm' THEN 5 WHEN provider <> '' THEN 6 WHEN gpu = 'mps' THEN 7 ELSE 8 END AS rule FROM m) "
+    "SELECT k, CASE WHEN rule IN (1, 2, 4, 6) THEN 'onnx' ELSE 'torch' END AS backend, CASE WHEN rule = 1 THEN 'onnx/model_qint8_arm64.onnx' END AS model_file, CASE WHEN rule IN (3, 5) THEN 'cuda' WHEN rule = 7 THEN 'mps' WHEN rule = 8 THEN 'cpu' END AS device, CASE WHEN (platform = 'darwin' AND machine = 'arm64') OR gpu = 'cuda' THEN -1 ELSE 0 END::INTEGER AS gpu_layers, coalesce(ram, 8192)::INTEGER AS ram_mb FROM r",
+    "q49_hits_by_path": f"WITH {_CORPUS}, {_HITS}, {_TOP3} SELECT (hit_rank + 1)::INTEGER AS hit_rank, replace(path, '/', '\\') AS path, document_id FROM top3",
 }

@@ -19,6 +19,7 @@ from folioscan.operators.chunking import sentence_chunks, text_pages
 EXTENSIONS = (".pdf", ".txt", ".md", ".docx")
 LISTED = "path string, modificationTime timestamp, length long"
 PARAGRAPHS_PER_PAGE = 10
+LARGE_FILE = 100 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 Page = tuple[int, str]
@@ -207,6 +208,16 @@ def page_layout(blocks: DataFrame, tables: DataFrame, by: list[str]) -> DataFram
     return both.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "kind", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def scan_stats(files: DataFrame, large: int = 100 * 1024 * 1024) -> DataFrame:
+def scan_totals(files: DataFrame) -> DataFrame:
+    """One row: file_count, total_size_bytes. Columns: path, length."""
+    return files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_size_bytes"))
+
+
+def large_files(files: DataFrame, large: int = LARGE_FILE) -> DataFrame:
+    """name, path, size_bytes of the files that are large."""
+    return files.filter(F.col("length") >= large).select(F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), "path", F.col("length").alias("size_bytes"))
+
+
+def scan_stats(files: DataFrame, large: int = LARGE_FILE) -> DataFrame:
     """ext, file_count, total_size, large_count: what an input holds. Columns: path, length."""
     return files.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_size"), F.count_if(F.col("length") >= large).alias("large_count"))

@@ -2,8 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscan.functions import scalars
-from folioscan.operators.chunking import chunked, fixed_chunks, paragraph_pages, sentence_chunks, split_sentences, stream_chunks, text_pages
+from folioscan.operators.chunking import chunked, fixed_chunks, paragraph_pages, sentence_chunks, sentence_rows, split_sentences, stream_chunks, text_pages
 
 
 def plainly(pages, most, overlap):
@@ -60,8 +59,9 @@ def test_strides(spark):
 
 def test_sentences_agree(spark):
     texts = ["One. Two is a longer one here. Three!\n\nFour is after a break.", "", "   ", "Ä. Über alles. (Next) one.", "a\u00a0b.  C d", "x.\r\nY", "No end"]
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", scalars.sentences(F.col("t")).alias("s")).collect()
-    assert {r.k: list(r.s) for r in rows} == {k: split_sentences(t) for k, t in enumerate(texts)}
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "k int, text string")
+    found = [(r.k, r.sentence, r.text) for r in sentence_rows(rows, "k").collect()]
+    assert sorted(found) == [(k, j, s) for k, t in enumerate(texts) for j, s in enumerate(split_sentences(t))]
 
 
 def test_chunked_nulls_and_empty(spark):

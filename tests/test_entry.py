@@ -1,5 +1,6 @@
 """The entry module with and without the training-data subpackage."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -20,10 +21,23 @@ def test_entry(spark):
 
 def test_without_subpackage():
     found = names("sys.modules['folioscan.llm'] = None; sys.modules['corpus_pipeline'] = None; ")
-    assert len(found) == 41 and not any(n.startswith("op") for n in found)
+    assert len(found) == 49 and not any(n.startswith("op") for n in found)
     assert set(found) <= set(names(""))
 
 
+def test_errors_inside_are_raised(tmp_path):
+    """Only the absence of the subpackage is passed over."""
+    shutil.copytree(ROOT / "folioscan", tmp_path / "folioscan", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
+    shutil.rmtree(tmp_path / "folioscan" / "llm", ignore_errors=True)
+    assert run().stdout.split() == ["49"]
+    (tmp_path / "folioscan" / "llm").mkdir()
+    (tmp_path / "folioscan" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "folioscan" / "llm" / "queries.py").write_text("import a_module_that_is_missing\n")
+    assert "a_module_that_is_missing" in run().stderr
+
+
 def test_nothing_else_imports_it():
     rest = [p for p in (ROOT / "folioscan").rglob("*.py") if "llm" not in p.relative_to(ROOT).parts]
     assert rest and not any("llm" in p.read_text() for p in rest)
