@@ -1,8 +1,9 @@
-"""Command line: index, search, prune, stats. python -m folioscan.cli --root DIR COMMAND ..."""
+"""Command line: index, scan, search, list, prune, stats, directories. python -m folioscan.cli --root DIR COMMAND ..."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 
 from pyspark.sql import SparkSession
@@ -12,7 +13,7 @@ from folioscan.functions.scalars import snippet
 from folioscan.operators import indexer, search, store
 from folioscan.operators.store import Store
 from folioscan.schema import DEFAULT_CHUNK_CHARS, DEFAULT_OVERLAP, IndexConfig
-from folioscan.sources.files import EXTENSIONS, list_documents
+from folioscan.sources.files import EXTENSIONS, large_files, list_documents, scan_stats, scan_totals
 
 
 class PathError(ValueError):
@@ -52,10 +53,15 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     one.add_argument("inputs", nargs="+")
     one.add_argument("--chunk-chars", type=int, default=DEFAULT_CHUNK_CHARS)
     one.add_argument("--overlap", type=int, default=DEFAULT_OVERLAP)
+    one.add_argument("--within", help="index folders below this one only, by their real paths")
+    one = commands.add_parser("scan", help="count files without indexing them")
+    one.add_argument("inputs", nargs="+")
     one = commands.add_parser("search")
     one.add_argument("query")
     one.add_argument("--top-k", type=int, default=10)
     one.add_argument("--folder", action="append")
+    one.add_argument("--json", action="store_true")
+    commands.add_parser("list")
     commands.add_parser("prune")
     commands.add_parser("stats")
     commands.add_parser("directories")
@@ -64,15 +70,30 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     st = Store(spark, args.root)
     if args.command == "index":
         config = IndexConfig(args.root, args.chunk_chars, args.overlap)
-        row = indexer.stats(indexer.index(st, list_documents(spark, args.inputs), config)).first()
+        inputs = allowed_folders(args.inputs, args.within) if args.within else args.inputs
+        row = indexer.stats(indexer.index(st, list_documents(spark, inputs), config)).first()
         print(" ".join(f"{k}={row[k]}" for k in row.asDict()))
     elif args.command == "search":
-        if not args.query.strip():
+        query = args.query.strip()
+        if not query:
             parser.error("empty query")
-        vector = indexer.hashing_encoder()([args.query])[0]
-        hits = search.top_k(chunk_rows(st), vector, max(1, min(args.top_k, 50)), args.folder)
+        vector = indexer.hashing_encoder()([query])[0]
+        folders = [plain for f in args.folder or () if (plain := f.strip().removeprefix("file://"))] or None
+        hits = search.top_k(chunk_rows(st), vector, max(1, min(args.top_k, 50)), folders)
+        if args.json:
+            found = hits.select("path", "title", "chunk_index", "score", "text", F.from_json("metadata", "title STRING, page INT").alias("metadata"))
+            print(json.dumps({"results": [json.loads(r) for r in found.toJSON().collect()]}, ensure_ascii=False))
+            return 0
         rows = hits.select(F.format_string("%.4f", "score").alias("score"), "path", "chunk_index", snippet(F.col("text")).alias("snippet")).collect()
         print("\n".join("\t".join(map(str, r)) for r in rows) or "No matches found.")
+    elif args.command == "scan":
+        found = list_documents(spark, args.inputs).drop("content").persist()
+        by_type = {r["ext"]: r["file_count"] for r in scan_stats(found).collect()}
+        print(json.dumps({**scan_totals(found).first().asDict(), "large_files": [r.asDict() for r in large_files(found).collect()], "by_type": by_type}, ensure_ascii=False))
+        found.unpersist()
+    elif args.command == "list":
+        for r in store.document_list(st.documents(), st.chunks()).toJSON().toLocalIterator():
+            print(r)
     elif args.command == "prune":
         folders = [r["path"] for r in store.directories(st.documents()).collect()]
         print(f"Removed {st.prune(list_documents(spark, folders, EXTENSIONS).select('path'))} orphaned documents.")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscan.functions.scalars import normalize_path
 from folioscan.operators.store import Store, index_stats
 from folioscan.schema import IndexConfig
-from folioscan.sources.files import parsed, sha256_of
+from folioscan.sources.files import parsed, plain_path, sha256_of
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
@@ -56,6 +57,7 @@ def index(store: Store, files: DataFrame, config: IndexConfig, encoder: Callable
     what the store has of them stays; files that can't be read are failed.
     """
     known = store.documents().select(normalize_path(F.col("path")).alias("_p"), "sha256")
+    files = files.withColumn("path", plain_path(F.col("path")))
     hashed = files.dropDuplicates(["path"]).withColumn("_p", normalize_path(F.col("path"))).withColumn("sha256", sha256_of(F.col("content")))
     changed = hashed.join(known, ["_p", "sha256"], "left_anti")
     rows = parsed(changed.select("path", "modificationTime", "content"), config.chunk_chars, config.overlap).persist()
@@ -65,12 +67,12 @@ def index(store: Store, files: DataFrame, config: IndexConfig, encoder: Callable
             "path", F.col("c.index").alias("chunk_index"), F.col("c.text").alias("text"), F.to_json(F.struct("title", F.col("c.page").alias("page"))).alias("metadata"), F.col("c.page").alias("page")
         )
         dimension = config.dimension
-        statuses = store.upsert(new.select("path", "title", "sha256", "mtime", "size"), embedded(chunks, encoder or (lambda: hashing_encoder(dimension))))
+        statuses = store.upsert(new.select("path", "title", "sha256", "mtime", "size"), embedded(chunks, encoder or (lambda: hashing_encoder(dimension))), dimension)
         other = rows.filter("status != 'ok'").select("path", F.when(F.col("status") == "empty", "skipped").otherwise("failed").alias("status"))
         same = hashed.join(known, ["_p", "sha256"], "left_semi").select("path", F.lit("skipped").alias("status"))
         done = statuses.unionByName(other).unionByName(same)
-        # The statuses refer to what the store had before the commit, so they are settled here.
-        log = f"{store.root}/_statuses/{store.version()}"
+        # Settled here, as what a path's status was compared with is replaced by later commits.
+        log = f"{store.root}/_statuses/{store.version()}-{uuid.uuid4().hex[:8]}"
         done.write.mode("overwrite").parquet(log)
         return store.spark.read.schema("path string, status string").parquet(log)
     finally:

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan.functions.scalars import normalize_path, parent
 from folioscan.schema import CHUNKS, DOCUMENTS
 
 
 def statuses(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """incoming with status: inserted, updated or skipped (same path and same sha256). A path given twice counts once, then is skipped."""
+    """incoming with status: inserted, updated or skipped (same path and same sha256), whatever a path's slashes.
+
+    Rows of one path are taken in order of mtime (where there is one) and sha256, each after the one
+    before it, so a path given twice with the same hash is skipped the second time.
+    """
     known = existing.select(normalize_path(F.col("path")).alias("_path"), F.col("sha256").alias("_sha256"))
     rows = incoming.withColumn("_path", normalize_path(F.col("path")))
-    status = F.when(F.col("_sha256").isNull(), "inserted").when(F.col("_sha256") == F.col("sha256"), "skipped").otherwise("updated")
+    order = Window.partitionBy("_path").orderBy(*(c for c in ("mtime", "sha256") if c in incoming.columns))
+    before = F.coalesce(F.lag("sha256").over(order), F.col("_sha256"))
+    status = F.when(before.isNull(), "inserted").when(before == F.col("sha256"), "skipped").otherwise("updated")
     return rows.join(known, "_path", "left").withColumn("status", status).drop("_path", "_sha256")
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """The last row of each path, whatever its slashes: the latest mtime, then the highest sha256."""
+    order = Window.partitionBy(normalize_path(F.col("path"))).orderBy(*(F.desc(c) for c in ("mtime", "sha256", "path") if c in rows.columns))
+    return rows.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+
+
 def index_stats(rows: DataFrame) -> DataFrame:
     """One row of counts by status; unknown ones are failed."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
@@ -28,7 +43,7 @@ def index_stats(rows: DataFrame) -> DataFrame:
 
 def upserted(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """existing, with inserted and updated rows of incoming in place of theirs; same columns."""
-    changed = statuses(existing, incoming).filter("status != 'skipped'").drop("status")
+    changed = statuses(existing, latest(incoming)).filter("status != 'skipped'").drop("status")
     away = changed.select(normalize_path(F.col("path")).alias("_path"))
     kept = existing.withColumn("_path", normalize_path(F.col("path"))).join(away, "_path", "left_anti").drop("_path")
     return kept.unionByName(changed.select(existing.columns))
@@ -66,79 +81,183 @@ def totals(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return d.crossJoin(chunks.agg(F.count("*").alias("chunk_count")))  # one row by one row
 
 
-class Store:
-    """documents and chunks as Parquet, a folder for each version; a pointer names the one in force.
+class ConflictError(RuntimeError):
+    """Another commit came first, again and again."""
 
-    A commit writes a new folder, then replaces the pointer, so readers see the old or the new state.
-    Commits are by batch of documents. The folder's file system is the session's, local or not.
+
+class Store:
+    """documents and chunks as Parquet in buckets; a commit is a small file that names each bucket's folder.
+
+    A document's bucket is that of its path, and the low digits of its id, so its chunks have it too.
+    A change rewrites the buckets that it touches and names the others' folders again. Commits are
+    numbered, and a number's file is created only if it isn't there: of two writers that start from
+    the same state one comes first, and the other reads again and repeats. Readers see the highest
+    number that is complete, old or new. Folders that none of the last KEPT commits names are
+    removed. The number of buckets is settled by the first commit. The root's file system must create
+    files exclusively, as HDFS and local ones do.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    KEPT, RETRIES = 10, 20
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self):  # noqa: ANN202
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
-        """The pointer with the highest number."""
+    def _names(self, folder: str) -> list[str]:
         fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/_commits")):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/_commits"))]
-        found = sorted(n for n in names if not n.startswith((".", "_")) and "-" in n)
-        return found[-1] if found else None
+        at = path(f"{self.root}/{folder}")
+        return sorted(n for s in (fs.listStatus(at) if fs.exists(at) else ()) if not (n := s.getPath().getName()).startswith((".", "_")))
 
-    def documents(self) -> DataFrame:
-        return self._read("documents", DOCUMENTS)
+    def _load(self, number: str) -> dict | None:
+        """A commit's content; None while it isn't complete."""
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.root}/_commits/{number}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("}\n") else None
+
+    def _state(self) -> tuple[int, dict]:
+        """The highest number taken, and the content of the highest complete commit."""
+        names = self._names("_commits")
+        for number in reversed(names):
+            found = self._load(number)
+            if found:
+                return int(names[-1]), found
+        return int(names[-1]) if names else 0, {"version": None, "buckets": self._buckets, "documents": {}, "chunks": {}}
 
-    def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+    def version(self) -> str | None:
+        return self._state()[1]["version"]
 
-    def _read(self, name: str, schema) -> DataFrame:  # noqa: ANN001
-        v = self.version()
-        return self.spark.createDataFrame([], schema) if v is None else self.spark.read.schema(schema).parquet(f"{self.root}/{v}/{name}")
+    def documents(self) -> DataFrame:
+        return self._read(self._state()[1], "documents", DOCUMENTS)
 
-    def commit(self, documents: DataFrame, chunks: DataFrame) -> str:
-        now = self.version()
-        name = f"{int(now.split('-')[0]) + 1 if now else 1:010d}-{uuid.uuid4().hex[:8]}"
-        documents.select(DOCUMENTS.names).write.parquet(f"{self.root}/{name}/documents")
-        chunks.select(CHUNKS.names).sortWithinPartitions("document_id", "chunk_index").write.parquet(f"{self.root}/{name}/chunks")
+    def chunks(self) -> DataFrame:
+        return self._read(self._state()[1], "chunks", CHUNKS)
+
+    def _read(self, state: dict, name: str, schema, only: list[int] | None = None) -> DataFrame:  # noqa: ANN001
+        folders = [f"{self.root}/{f}" for k, f in sorted(state[name].items()) if only is None or int(k) in only]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _bucket(self, of: Column, state: dict) -> Column:
+        return F.pmod(of, F.lit(state["buckets"])).cast("int")
+
+    def _id(self, state: dict) -> Column:
+        """Of path and sha256; the remainder by the number of buckets is the path's."""
+        n = F.lit(state["buckets"])
+        place = F.pmod(F.xxhash64(normalize_path(F.col("path"))), n)
+        h = F.shiftright(F.xxhash64(F.concat_ws("\0", normalize_path(F.col("path")), "sha256")), 16)
+        return h - F.pmod(h, n) + place
+
+    def _written(self, df: DataFrame, names: list[str], by: str, state: dict, folder: str) -> dict[str, str]:
+        """The folders of the buckets that df has rows for."""
+        rows = df.select(*names, self._bucket(F.col(by), state).alias("bucket"))
+        # A bucket is as many files as its rows need: adaptive execution splits and joins them.
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *[c for c in (by, "chunk_index") if c in names]).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        return {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
+
+    def _commit(self, change: Callable[[dict], tuple[DataFrame, DataFrame, list[int]] | None]) -> tuple[dict, dict] | None:
+        """The states before and after. change(state): new documents and chunks of the buckets that it names; None: nothing to do."""
         fs, path = self._fs()
-        fs.mkdirs(path(f"{self.root}/_commits"))
-        fs.create(path(f"{self.root}/_commits/{name}"), False).close()
-        return name
-
-    def upsert(self, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-        """documents (path, title, sha256, mtime, size) and their chunks (path, chunk_index, text, metadata, page, embedding). Returns statuses."""
-        old, old_chunks = self.documents(), self.chunks()
-        rows = statuses(old, documents.dropDuplicates(["path"])).withColumn("id", F.xxhash64(F.concat_ws("\0", normalize_path(F.col("path")), "sha256")))
-        changed = rows.filter("status != 'skipped'")
-        now = F.current_timestamp()
-        gone = old.join(changed.select(normalize_path(F.col("path")).alias("_p")), normalize_path(old["path"]) == F.col("_p"), "left_semi").select(F.col("id").alias("document_id"))
-        new = changed.withColumn("created_at", now).withColumn("updated_at", now).select(DOCUMENTS.names)
-        kept = old.join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti").select(DOCUMENTS.names)
-        new_chunks = chunks.join(changed.select("path", F.col("id").alias("document_id")), "path").select(CHUNKS.names)
-        self.commit(kept.unionByName(new), old_chunks.join(gone, "document_id", "left_anti").select(CHUNKS.names).unionByName(new_chunks))
-        return rows.select("path", "status")
+        for _ in range(self.RETRIES):
+            last, state = self._state()
+            made = change(state)
+            if made is None:
+                return None
+            documents, chunks, touched = made
+            number = f"{last + 1:010d}"
+            folder = f"data/{number}-{uuid.uuid4().hex[:8]}"
+            content = {"version": number, "buckets": state["buckets"]}
+            for name, df, schema, by in (("documents", documents, DOCUMENTS, "id"), ("chunks", chunks, CHUNKS, "document_id")):
+                kept = {k: f for k, f in state[name].items() if int(k) not in touched}
+                content[name] = kept | self._written(df, schema.names, by, state, f"{folder}/{name}")
+            fs.mkdirs(path(f"{self.root}/_commits"))
+            try:
+                stream = fs.create(path(f"{self.root}/_commits/{number}"), False)
+            except Exception as e:  # noqa: BLE001  the JVM's; only this kind is a conflict
+                if "AlreadyExists" not in str(e):
+                    raise
+                fs.delete(path(f"{self.root}/{folder}"), True)
+                continue
+            stream.write(bytearray(json.dumps(content).encode() + b"\n"))
+            stream.close()
+            self._clean()
+            return state, content
+        raise ConflictError(self.root)
+
+    def _clean(self) -> None:
+        """Removes old commits, and the folders that no kept commit names."""
+        fs, path = self._fs()
+        numbers = self._names("_commits")
+        if len(numbers) <= self.KEPT:
+            return
+        kept = [c for n in numbers[-self.KEPT :] if (c := self._load(n))]
+        named = {"/".join(f.split("/")[:2]) for c in kept for t in ("documents", "chunks") for f in c[t].values()}
+        for n in numbers[: -self.KEPT]:
+            fs.delete(path(f"{self.root}/_commits/{n}"), False)
+        oldest = numbers[-self.KEPT]
+        for folder in self._names("data"):
+            if folder < oldest and f"data/{folder}" not in named:
+                fs.delete(path(f"{self.root}/data/{folder}"), True)
+
+    def upsert(self, documents: DataFrame, chunks: DataFrame, dimension: int | None = None) -> DataFrame:
+        """documents (path, title, sha256, mtime, size) and their chunks (path, chunk_index, text, metadata, page, embedding). Returns path and status.
+
+        Of rows of one path the latest is taken. A chunk without an embedding, or with one of another
+        dimension, fails the commit. Documents that are updated keep their created_at.
+        """
+        wrong = F.col("embedding").isNull() if dimension is None else F.coalesce(F.size("embedding") != dimension, F.lit(True))
+        checked = chunks.withColumn("embedding", F.when(wrong, F.raise_error(F.lit("a chunk has no embedding of the index's dimension"))).otherwise(F.col("embedding")))
+        seen: dict[str, DataFrame] = {}
+
+        def change(state: dict) -> tuple[DataFrame, DataFrame, list[int]] | None:
+            rows = statuses(self._read(state, "documents", DOCUMENTS), latest(documents)).withColumn("id", self._id(state))
+            seen["rows"] = rows
+            changed = rows.filter("status != 'skipped'")
+            touched = [r["b"] for r in changed.select(self._bucket(F.col("id"), state).alias("b")).distinct().collect()]
+            if not touched:
+                return None
+            old, old_chunks = self._read(state, "documents", DOCUMENTS, touched), self._read(state, "chunks", CHUNKS, touched)
+            keys = changed.select(normalize_path(F.col("path")).alias("_p"))
+            gone = old.join(keys, normalize_path(old["path"]) == F.col("_p"), "left_semi").select(F.col("id").alias("document_id"), normalize_path(F.col("path")).alias("_p"), F.col("created_at").alias("_created"))
+            now = F.current_timestamp()
+            new = changed.withColumn("_p", normalize_path(F.col("path"))).join(gone.drop("document_id"), "_p", "left").withColumn("created_at", F.coalesce("_created", now)).withColumn("updated_at", now).select(DOCUMENTS.names)
+            kept = old.join(gone.select(F.col("document_id").alias("id")), "id", "left_anti").select(DOCUMENTS.names)
+            new_chunks = checked.join(changed.select("path", F.col("id").alias("document_id")), "path").select(CHUNKS.names)
+            return kept.unionByName(new), old_chunks.join(gone.select("document_id"), "document_id", "left_anti").select(CHUNKS.names).unionByName(new_chunks), touched
+
+        done = self._commit(change)
+        if done is None:
+            return seen["rows"].select("path", "status")
+        return statuses(self._read(done[0], "documents", DOCUMENTS), latest(documents)).select("path", "status")
+
+    def _remove(self, chosen: Callable[[DataFrame], DataFrame]) -> int:
+        """Removes the documents that are chosen, with their chunks; returns how many."""
+        n = 0
+
+        def change(state: dict) -> tuple[DataFrame, DataFrame, list[int]] | None:
+            nonlocal n
+            ids = chosen(self._read(state, "documents", DOCUMENTS)).select("id")
+            counts = {r["b"]: r["n"] for r in ids.groupBy(self._bucket(F.col("id"), state).alias("b")).agg(F.count("*").alias("n")).collect()}
+            n, touched = sum(counts.values()), list(counts)
+            if not touched:
+                return None
+            documents, chunks = self._read(state, "documents", DOCUMENTS, touched), self._read(state, "chunks", CHUNKS, touched)
+            return documents.join(ids, "id", "left_anti").select(DOCUMENTS.names), chunks.join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti").select(CHUNKS.names), touched
+
+        self._commit(change)
+        return n
 
     def delete(self, document_id: int | None = None, path: str | None = None) -> bool:
-        rows = self.documents()
-        away = rows.filter(F.col("id") == document_id) if document_id is not None else rows.filter(normalize_path(F.col("path")) == (path or "").replace("\\", "/"))
-        ids = away.select("id")
-        if ids.isEmpty():
-            return False
-        self._drop(ids)
-        return True
-
-    def _drop(self, ids: DataFrame) -> None:
-        self.commit(self.documents().join(ids, "id", "left_anti"), self.chunks().join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti"))
+        test = F.col("id") == document_id if document_id is not None else normalize_path(F.col("path")) == (path or "").replace("\\", "/")
+        return self._remove(lambda rows: rows.filter(test)) > 0
 
     def prune(self, present: DataFrame) -> int:
-        """Removes documents whose path isn't in present(path); returns how many."""
-        gone = self.documents().join(present.select("path").distinct(), "path", "left_anti").select("id")
-        n = gone.count()
-        if n:
-            self._drop(gone)
-        return n
+        """Removes documents whose path isn't in present(path), whatever its slashes; returns how many."""
+        there = present.select(normalize_path(F.col("path")).alias("_p")).distinct()
+        return self._remove(lambda rows: rows.join(there, normalize_path(rows["path"]) == F.col("_p"), "left_anti"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -35,13 +36,30 @@ def _read_files(batches: Iterator) -> Iterator:
         for name in batch.column(0).to_pylist():
             data = Path(name).read_bytes()
             changed = datetime.datetime.fromtimestamp(os.path.getmtime(name), datetime.UTC)
-            yield pa.RecordBatch.from_pylist([{"path": f"file:{name}", "modificationTime": changed, "length": len(data), "content": data}], schema=kinds)
+            yield pa.RecordBatch.from_pylist([{"path": name, "modificationTime": changed, "length": len(data), "content": data}], schema=kinds)
+
+
+def plain_path(path: Column) -> Column:
+    """Without the scheme that Spark puts before paths of the local file system."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _glob(extensions: tuple[str, ...]) -> str:
+    """Names with one of the extensions, whatever its case."""
+    return "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
+def _outermost(paths: list[str]) -> list[str]:
+    """Paths once each, without those below another."""
+    plain = list(dict.fromkeys(p.rstrip("/") or "/" for p in paths))
+    return [p for p in plain if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in plain)]
 
 
 def list_documents(spark: SparkSession, inputs: Iterable[str], extensions: tuple[str, ...] = EXTENSIONS, exclude: DataFrame | None = None, hidden: bool = False) -> DataFrame:
-    """path, modificationTime, length, content of all documents below the inputs, in order of path within each input.
+    """path, modificationTime, length, content of all documents below the inputs, each once, in no order.
 
-    Missing inputs are left out. Spark's listing skips names that start with . or _; hidden=True
+    Only files of the extensions are opened, and contents only where they are used. Missing inputs are
+    left out; names are taken literally. Spark's listing skips names that start with . or _; hidden=True
     takes them too, for folders that the driver and all executors see under one path: the driver
     lists, executors read. exclude(path): those that aren't wanted.
     """
@@ -51,14 +69,15 @@ def list_documents(spark: SparkSession, inputs: Iterable[str], extensions: tuple
         path = jvm.org.apache.hadoop.fs.Path(p)
         return path.getFileSystem(conf).exists(path)
 
-    found = [p for p in inputs if there(p)]
+    found = _outermost([p for p in inputs if there(p)])
     if hidden:
         names = [str(f) for p in found for f in ([Path(p)] if os.path.isfile(p) else sorted(Path(p).rglob("*"))) if f.is_file() and f.suffix.lower() in extensions]
         parts = [spark.createDataFrame([(n,) for n in names], "path string").mapInArrow(_read_files, f"{LISTED}, content binary")]
     else:
-        parts = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p) for p in found]
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(extensions))
+        parts = [reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in found])] if found else []
     rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{LISTED}, content binary")
-    rows = rows.filter(extension(F.col("path")).isin(*extensions))
+    rows = rows.withColumn("path", plain_path(F.col("path"))).filter(extension(F.col("path")).isin(*extensions))
     return rows.join(exclude.select("path"), "path", "left_anti") if exclude is not None else rows
 
 
@@ -97,8 +116,6 @@ def read_text(data: bytes) -> list[Page]:
 
 def read_markdown(data: bytes) -> list[Page]:
     """Sections in Python, for files; markdown_sections() is the same over columns."""
-    import re
-
     from folioscan.functions.scalars import MARKDOWN
 
     flags = {"(?s)": re.S, "(?d)": 0, "(?md)": re.M}

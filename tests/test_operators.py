@@ -1,6 +1,8 @@
 import io
+import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,99 @@ def test_index_and_stream(spark, tmp_path):
     assert stream.documents().count() == 2
 
 
+def store_rows(spark, *rows):
+    """documents and chunks of (path, text)"""
+    docs = spark.createDataFrame([(p, "t", t, 1.0, len(t)) for p, t in rows], "path string, title string, sha256 string, mtime double, size long")
+    chunks = spark.createDataFrame([(p, 0, t, "{}", 1, [1.0]) for p, t in rows], "path string, chunk_index int, text string, metadata string, page int, embedding array<float>")
+    return docs, chunks
+
+
+def test_store_buckets_and_conflicts(spark, tmp_path):
+    st = Store(spark, f"file://{tmp_path}/store", buckets=4)
+    st.upsert(*store_rows(spark, *((f"/d/{k}", f"text {k}") for k in range(20))))
+    before = st._state()[1]
+    assert st.chunks().count() == 20 and set(before["documents"]) <= set("0123")
+    assert {r.status for r in st.upsert(*store_rows(spark, ("\\d\\3", "text 3"))).collect()} == {"skipped"} and st.version() == before["version"]
+    created = st.documents().filter("path = '/d/3'").first().created_at
+    assert st.upsert(*store_rows(spark, ("\\d\\3", "new"))).first().status == "updated"
+    after, row = st._state()[1], st.documents().filter("sha256 = 'new'").first()
+    assert sum(before["documents"][k] != after["documents"][k] for k in before["documents"]) == 1  # the others' folders are named again
+    assert row.created_at == created and row.updated_at > created and st.documents().count() == st.chunks().count() == 20
+    # Another writer commits between this one's reading and its commit.
+    other, state, calls = Store(spark, f"file://{tmp_path}/store"), st._state, []
+
+    def late():
+        found = state()
+        if not calls:
+            calls.append(other.upsert(*store_rows(spark, ("/d/other", "x"))).first().status)
+        return found
+
+    st._state = late
+    assert st.upsert(*store_rows(spark, ("/d/mine", "y"))).first().status == "inserted" and calls == ["inserted"]
+    st._state = state
+    assert {"/d/other", "/d/mine"} <= {r.path for r in st.documents().collect()} and st.chunks().count() == 22
+    # A writer that ended before its commit was complete leaves a number that readers pass over.
+    open(f"{tmp_path}/store/_commits/{int(st.version()) + 1:010d}", "w").close()
+    assert st.documents().count() == 22 and st.delete(path="/d/mine") and st.documents().count() == st.chunks().count() == 21
+
+
+def test_store_keeps_the_last_commits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "KEPT", 2)
+    st = Store(spark, f"file://{tmp_path}/store", buckets=1)
+    for k in range(4):
+        st.upsert(*store_rows(spark, ("/a", f"text {k}")))
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 2 and [r.text for r in st.chunks().collect()] == ["text 3"]
+
+
+def test_store_takes_the_latest_of_a_path(spark, tmp_path):
+    st = Store(spark, f"file://{tmp_path}/store")
+    docs, chunks = store_rows(spark, ("a/b", "one"), ("a\\b", "two"))
+    docs = docs.withColumn("mtime", F.when(F.col("sha256") == "two", 2.0).otherwise(1.0))
+    assert [tuple(r) for r in st.upsert(docs, chunks).collect()] == [("a\\b", "inserted")]
+    assert [r.text for r in st.chunks().collect()] == ["two"] and st.documents().count() == 1
+    got = sorted((r.sha256, r.status) for r in store.statuses(docs.limit(0), docs.unionByName(docs)).collect())
+    assert got == [("one", "inserted"), ("one", "skipped"), ("two", "skipped"), ("two", "updated")]
+    with pytest.raises(Exception, match="no embedding"):
+        st.upsert(docs.withColumn("sha256", F.lit("four")), chunks.withColumn("embedding", F.lit(None).cast("array<float>")))
+    with pytest.raises(Exception, match="no embedding"):
+        st.upsert(docs.withColumn("sha256", F.lit("three")), chunks, dimension=2)
+
+
+def test_listing(spark, tmp_path):
+    odd = tmp_path / "a[1]{x}*"
+    odd.mkdir()
+    for name in ("one.TXT", "two.md", "three.bin", "noext"):
+        (odd / name).write_text("x")
+    names = lambda *p, **k: sorted(r.path for r in files.list_documents(spark, list(p), **k).collect())
+    expected = [f"{odd}/one.TXT", f"{odd}/two.md"]
+    assert names(str(odd)) == names(str(odd), str(odd) + "/", str(tmp_path), str(odd / "two.md")) == expected == names(str(tmp_path), hidden=True)
+    assert names(str(odd / "two.md")) == expected[1:] and names() == names("/nowhere") == []
+    gone = spark.createDataFrame([(expected[0],)], "path string")
+    assert names(str(odd), exclude=gone) == expected[1:]
+
+
+def test_batch_search(spark):
+    """Blocks of queries against plain products, with ties and rows without a vector."""
+    rng = np.random.default_rng(3)
+    rows = [(k, k % 3, [float(x) for x in rng.integers(-2, 3, 5)]) for k in range(300)] + [(900, 0, None)]
+    chunks = spark.createDataFrame(rows, "document_id long, chunk_index int, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(k, v) for k, _, v in rows if k % 7 == 0 and v], "query_id long, query array<float>")
+    expected = {}
+    for q, _, v in rows:
+        if q % 7 == 0 and v:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i, c) for i, c, w in rows if w)[:4]
+            expected[q] = [(i, c, -s) for s, i, c in best]
+    for size in (512, 5):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(search, "QUERY_BLOCK", size)
+            got = search.top_k_each(chunks, queries, 4).orderBy("query_id", "rank").collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.query_id, []).append((r.document_id, r.chunk_index, r.score))
+        assert found == expected
+    assert search.top_k_each(chunks, queries.limit(0), 4).count() == 0
+
+
 def test_ask(spark):
     from folioscan.operators.answers import NOTHING, ask
 
@@ -176,6 +271,14 @@ def test_cli(spark, tmp_path, capsys):
     assert run("index", str(folder)).startswith("inserted=2 updated=0")
     assert "a.txt" in run("search", "alpha beta", "--top-k", "100").split("\n")[0]
     (folder / "b.txt").unlink()
+    assert "b.txt" in run("search", "delta", "--folder", str(folder)) and run("search", "delta", "--folder", f"{folder}x") == "No matches found.\n"
+    assert "b.txt" in run("search", "delta", "--folder", f"file://{folder}/") and "b.txt" in run("search", " delta ", "--folder", " ")
+    found = json.loads(run("search", "alpha beta", "--json"))["results"]
+    assert [r["title"] for r in found][0] == "a" and found[0]["metadata"]["page"] == 1 and found[0]["path"] == f"{folder}/a.txt"
+    assert json.loads(run("scan", str(folder), str(folder))) == {"file_count": 1, "total_size_bytes": 17, "large_files": [], "by_type": {".txt": 1}}
+    listed = [json.loads(x) for x in run("list").splitlines()]
+    assert len(listed) == 2 and all(r["chunk_count"] == 1 and r["updated_at"] for r in listed)
+    assert run("index", str(folder), "--within", str(tmp_path)).startswith("inserted=0 updated=0 skipped=1")
     assert "Removed 1 " in run("prune") and "'document_count': 1" in run("stats")
     assert files.list_documents(spark, [str(folder)], hidden=True).count() == 2
     assert allowed_folders([f" {folder}\n", " "], str(tmp_path)) == [str(folder.resolve())]
