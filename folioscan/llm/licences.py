@@ -135,10 +135,6 @@ class Classifier:
     def __init__(self, families: list[str], weights: dict[str, list[float]], bias: list[float], templates: dict[str, list[int]], sizes: list[int]) -> None:
         self.families, self.weights, self.bias, self.templates, self.sizes = families, weights, bias, templates, sizes
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """gram, w, templates: a row for each gram of the templates, whatever the corpus."""
-        return spark.createDataFrame([(g, w, self.templates[g]) for g, w in sorted(self.weights.items())], "gram string, w array<double>, templates array<int>")
-
 
 def _shares(scores: str) -> Column:
     """Softmax of an array."""
@@ -202,15 +198,17 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     n = len(model.families)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # rows that share an id are told apart
     lines = paragraphs(numbered.select(F.struct("row", "doc_id").alias("doc_id"), "text"))
-    found = gram_rows(lines).join(F.broadcast(model.table(spark)), "gram").dropDuplicates(["doc_id", "paragraph", "gram"])
-    summed = found.groupBy("doc_id", "paragraph", "n").agg(
-        F.array(*(F.sum(F.col("w")[c]) for c in range(n))).alias("s"), F.array(*(F.count_if(F.array_contains("templates", k)) for k in range(len(model.sizes)))).alias("t")
-    )
+    # Word pairs and triples as numbers, each once a paragraph; then their weights and templates.
+    known = spark.createDataFrame([(g, k) for k, g in enumerate(sorted(model.weights))], "gram string, k int")
+    weights = spark.createDataFrame([(k, model.weights[g], model.templates[g]) for k, g in enumerate(sorted(model.weights))], "k int, w array<double>, templates array<int>")
+    own = gram_rows(lines).join(F.broadcast(known), "gram").select("doc_id", "paragraph", "n", "k").distinct()
+    summed = own.join(F.broadcast(weights), "k").groupBy("doc_id", "paragraph", "n").agg(F.array(*(F.sum(F.col("w")[c]) for c in range(n))).alias("s"), F.collect_list("templates").alias("ts"))
     judged = summed.withColumn("s", F.zip_with("s", _numbers(model.bias), lambda x, b: x + b)).withColumn("p", _shares("s")).withColumn("probability", F.array_max("p"))
     names = F.array(*map(F.lit, model.families))
     judged = judged.withColumn("family", F.element_at(names, F.array_position("p", F.col("probability")).cast("int"))).filter(F.col("family") != UNKNOWN)
     # The share of each template's grams, or of the paragraph's own, for templates of that family.
     sizes, families = F.array(*map(F.lit, model.sizes)), F.array(*(F.lit(f) for f, _ in TEMPLATES))
-    overlaps = F.transform("t", lambda t, k: F.when(F.get(families, k) == F.col("family"), 100.0 * t / F.least(F.col("n"), F.get(sizes, k))).otherwise(-1.0))
+    shared = lambda k: F.size(F.filter("ts", lambda x: F.array_contains(x, k)))
+    overlaps = F.transform(sizes, lambda size, k: F.when(F.get(families, k) == F.col("family"), 100.0 * shared(k) / F.least(F.col("n"), size)).otherwise(-1.0))
     judged = judged.withColumn("o", overlaps).withColumn("overlap", F.array_max("o")).filter(F.col("overlap") >= CONFIRM_PERCENT)
     return judged.select("doc_id.doc_id", F.col("paragraph").cast("int").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), (F.array_position("o", F.col("overlap")) - 1).cast("int").alias("template"), F.round("overlap", 3).alias("overlap"))
