@@ -203,9 +203,11 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     weights = spark.createDataFrame([(k, model.weights[g], model.templates[g]) for k, g in enumerate(sorted(model.weights))], "k int, w array<double>, templates array<int>")
     own = gram_rows(lines).join(F.broadcast(known), "gram").select("doc_id", "paragraph", "n", "k").distinct()
     summed = own.join(F.broadcast(weights), "k").groupBy("doc_id", "paragraph", "n").agg(F.array(*(F.sum(F.col("w")[c]) for c in range(n))).alias("s"), F.collect_list("templates").alias("ts"))
-    judged = summed.withColumn("s", F.zip_with("s", _numbers(model.bias), lambda x, b: x + b)).withColumn("p", _shares("s")).withColumn("probability", F.array_max("p"))
+    # The likeliest family is that of the largest sum, so shares are only made for paragraphs that stay.
+    judged = summed.withColumn("s", F.zip_with("s", _numbers(model.bias), lambda x, b: x + b)).withColumn("top", F.array_max("s"))
     names = F.array(*map(F.lit, model.families))
-    judged = judged.withColumn("family", F.element_at(names, F.array_position("p", F.col("probability")).cast("int"))).filter(F.col("family") != UNKNOWN)
+    judged = judged.withColumn("family", F.element_at(names, F.array_position("s", F.col("top")).cast("int"))).filter(F.col("family") != UNKNOWN)
+    judged = judged.withColumn("probability", 1 / F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     # The share of each template's grams, or of the paragraph's own, for templates of that family.
     sizes, families = F.array(*map(F.lit, model.sizes)), F.array(*(F.lit(f) for f, _ in TEMPLATES))
     shared = lambda k: F.size(F.filter("ts", lambda x: F.array_contains(x, k)))
