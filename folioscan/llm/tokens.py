@@ -30,6 +30,8 @@ MARKS = b".,;:!?"
 #: Words kept per worker, about 130 MB at most, and first words of texts.
 TABLE_WORDS, FIRST_WORDS = 2_000_000, 50_000
 LANES = 3
+#: With more added tokens than this, looking for each in each text isn't worth it.
+MOST_ADDED = 32
 
 
 def has_runs(text: str) -> bool:
@@ -162,8 +164,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.cuts_words = _cuts_words(self.tokenizer)
+        self.added = sorted(added)
+        self.cuts_words = _cuts_words(self.tokenizer) and len(added) <= MOST_ADDED
         self.starts_with_space = _starting_with_space(self.tokenizer)
         self.table = WordTable(table_words)
         self.first: dict[str, bytes] = {}
@@ -300,7 +302,7 @@ class Encoder:
         if not self.cuts_words:
             return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if not has_runs(t) and not (self.added and self.added.search(t))]
+        plain = [i for i, t in enumerate(texts) if not has_runs(t) and not any(a in t for a in self.added)]
         other = sorted(set(range(len(texts))) - set(plain))
         for chosen, by in ((plain, self._by_words), (other, self.whole)):
             if chosen:

@@ -37,11 +37,16 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level
     symbols, inverse = _by_frequency(ids)
     bits = max(1, int(max(len(symbols) - 1, 0)).bit_length())
     codes = inverse.astype(np.uint16 if bits <= 16 else np.uint32)
-    planes = []
+    planes, parted = [], np.empty_like(codes)
     for at in range(bits - 1, -1, -1):
-        ones = ((codes >> at) & 1).astype(bool)
+        bit = (codes >> codes.dtype.type(at)).astype(np.uint8)
+        bit &= 1
+        ones = bit.view(bool)
         planes.append(np.packbits(ones).tobytes())
-        codes = np.concatenate([codes[~ones], codes[ones]])
+        zeros = len(ones) - int(np.count_nonzero(ones))
+        np.compress(~ones, codes, out=parted[:zeros])
+        np.compress(ones, codes, out=parted[zeros:])
+        codes, parted = parted, codes
     nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
     named = [("symbols", symbols.astype("<u4").tobytes()), ("docs", np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes()), ("nulls", nulls.tobytes()), ("lengths", np.asarray(lengths, dtype="<u4").tobytes())]
     named += [(f"plane{k}", p) for k, p in enumerate(planes)]
