@@ -62,6 +62,20 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def lean() -> None:
+    """In a Python worker: gives back to the system what earlier stages left, as one worker serves many."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS rows unless the session asks for another number than Spark's own 10,000."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, small_batches, text_of, written
+from .common import dropped, lean, partitions, small_batches, text_of, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -44,11 +44,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 
         from .tokens import encoder, portions
 
+        lean()
         encode = encoder(tokenizer).encode
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
-            for texts in portions(batch.column(1).to_pylist()):
+            for texts in portions(batch.column(1).to_pylist(), 500_000):
                 rows = []
                 for ids in encode(texts):
                     ids += end

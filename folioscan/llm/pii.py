@@ -32,7 +32,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, text_of, written
+from .common import dropped, lean, small_batches, text_of, written
 
 if TYPE_CHECKING:
     import numpy as np
@@ -246,6 +246,7 @@ def _contexts_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def contexts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean()
         wanted = chosen.value if chosen is not None else None
         held: dict[str, set[int]] = {}
         common: set[str] = set()
@@ -338,6 +339,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     def clean(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean()
         for batch in batches:
             texts = []
             for text, own in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):

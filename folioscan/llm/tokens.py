@@ -27,8 +27,8 @@ if TYPE_CHECKING:
 RUN = re.compile(r"\s\s")
 #: After a letter and at the end of a word, one of these is a piece of its own.
 MARKS = b".,;:!?"
-#: Words kept per worker, about 130 MB at most, and first words of texts.
-TABLE_WORDS, FIRST_WORDS = 2_000_000, 50_000
+#: Words kept per worker, about 65 MB at most, and first words of texts.
+TABLE_WORDS, FIRST_WORDS = 1_000_000, 50_000
 LANES = 3
 #: With more added tokens than this, looking for each in each text isn't worth it.
 MOST_ADDED = 32
