@@ -14,8 +14,9 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.functions.scalars import clean_markdown, extension, markdown_sections, strip
+from folioscan.functions.scalars import MARKDOWN, clean_markdown, extension, markdown_sections, strip
 from folioscan.operators.chunking import sentence_chunks, text_pages
+from folioscan.sources import pdf
 
 EXTENSIONS = (".pdf", ".txt", ".md", ".docx")
 LISTED = "path string, modificationTime timestamp, length long"
@@ -114,19 +115,19 @@ def read_text(data: bytes) -> list[Page]:
     return text_pages(decoded(data))
 
 
+def _plain(text: str) -> str:
+    """clean_markdown() in Python."""
+    flags = {"(?s)": re.S, "(?d)": 0, "(?md)": re.M}
+    for pattern, by in MARKDOWN:
+        lead = next((f for f in flags if pattern.startswith(f)), "")
+        text = re.sub(pattern[len(lead) :], by.replace("$1", r"\1"), text, flags=flags.get(lead, 0))
+    return text
+
+
 def read_markdown(data: bytes) -> list[Page]:
     """Sections in Python, for files; markdown_sections() is the same over columns."""
-    from folioscan.functions.scalars import MARKDOWN
-
-    flags = {"(?s)": re.S, "(?d)": 0, "(?md)": re.M}
-    out = []
-    for part in re.split(r"(?=^#{1,6}\s)", decoded(data), flags=re.M):
-        for pattern, by in MARKDOWN:
-            lead = next((f for f in flags if pattern.startswith(f)), "")
-            part = re.sub(pattern[len(lead) :], by.replace("$1", r"\1"), part, flags=flags.get(lead, 0))
-        if part.strip():
-            out.append((len(out) + 1, part.strip() + "\n"))
-    return out
+    parts = (_plain(part).strip() for part in re.split(r"(?=^#{1,6}\s)", decoded(data), flags=re.M))
+    return [(k, part + "\n") for k, part in enumerate(filter(None, parts), 1)]
 
 
 def paragraphs(data: bytes) -> list[str]:
@@ -146,25 +147,33 @@ def read_docx(data: bytes) -> list[Page]:
 
 
 def read_pdf(data: bytes) -> list[Page]:
-    """By whichever public PDF library is installed; none: no pages, as for any format without a reader."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return []
-    out = []
-    for k, page in enumerate(PdfReader(io.BytesIO(data)).pages, 1):
-        try:
-            text = page.extract_text() or ""
-        except Exception:  # noqa: BLE001  one bad page doesn't lose the others
-            continue
-        if text.strip():
-            out.append((k, text.strip() + "\n"))
-    return out
+    return pdf.pages(data)
 
 
 READERS: dict[str, Callable[[bytes], list[Page]]] = {".txt": read_text, ".md": read_markdown, ".docx": read_docx, ".pdf": read_pdf}
 
 
+def text_parts(name: str, data: bytes) -> list[str]:
+    """The text of a file without pages: whole, or by page of a PDF or paragraph of a DOCX file. Other formats have none."""
+    ext = os.path.splitext(name)[1].lower()
+    if ext == ".docx":
+        return [p + "\n" for p in paragraphs(data)]
+    if ext == ".md":
+        return [_plain(decoded(data))]
+    if ext == ".txt":
+        return [decoded(data)]
+    return [t for _, t in read_pdf(data)] if ext == ".pdf" else []
+
+
+def file_title(name: str, data: bytes) -> str:
+    """The title that a PDF file gives, else the name without its extension."""
+    stem = os.path.splitext(name)[0]
+    try:
+        return pdf.metadata(data, stem)["title"] if name.lower().endswith(".pdf") else stem
+    except Exception:  # noqa: BLE001  files that can't be read keep their names
+        return stem
+
+
 def parsed(files: DataFrame, max_chars: int, overlap: int, readers: dict[str, Callable[[bytes], list[Page]]] | None = None) -> DataFrame:
     """One row a file: path, status (ok, empty, error), error, sha256, mtime, size, title, chunks (index, text, page)."""
     readers = READERS if readers is None else readers
@@ -180,7 +189,7 @@ def parsed(files: DataFrame, max_chars: int, overlap: int, readers: dict[str, Ca
             for path, mtime, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = path.replace("\\", "/").rsplit("/", 1)[-1]
                 stem, dot, ext = name.rpartition(".")
-                row = {"path": path, "status": "ok", "error": None, "sha256": hashlib.sha256(data).hexdigest(), "mtime": mtime, "size": len(data), "title": stem or name, "chunks": []}
+                row = {"path": path, "status": "ok", "error": None, "sha256": hashlib.sha256(data).hexdigest(), "mtime": mtime, "size": len(data), "title": file_title(name, data), "chunks": []}
                 try:
                     pages = readers.get(f".{ext.lower()}" if dot and stem else "", lambda _: [])(data)
                     row["chunks"] = [{"index": k, "text": t, "page": p} for k, (t, p) in enumerate(sentence_chunks(pages, max_chars, overlap))]
