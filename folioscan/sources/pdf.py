@@ -335,7 +335,7 @@ class Font:
         at = 0
         for x in pdf.list_of(pdf.dict_of(encoding).get("Differences")):
             if isinstance(x, Name):
-                hexed = re.fullmatch(r"uni([0-9A-Fa-f]{4})", x)
+                hexed = re.match(r"uni([0-9A-Fa-f]{4})$", x)
                 said = chr(int(hexed[1], 16)) if hexed else x if len(x) == 1 else " " if x == "space" else None
                 if said:
                     self.map.setdefault(at, said)
