@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, token_files, toxicity
+from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, ranking, token_files, toxicity
 from .common import LOWER, UPPER, table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_grouped_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.sale_line_ranks(table(spark, sf_dir, "sale_lines"))
+
+
 def base2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op2_personal_data: the fixed patterns' spans."""
     return op2_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op13_grouped_ranking_ties": op13_grouped_ranking_ties,
     "base2_personal_data": base2_personal_data,
     "base4_lm_scores": base4_lm_scores,
     "base10_quality_rules": base10_quality_rules,
@@ -176,9 +181,20 @@ def _base_spans() -> str:
     )
 
 
+_ORDER = "tens DESC NULLS LAST, percent NULLS LAST"
+_TIED_RANKS = (
+    f"WITH h AS (SELECT sale_id, {_CRC.format(s='sale_id::VARCHAR')} % 5 = 0 AS alone FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL) s), "
+    "l AS (SELECT CASE WHEN alone THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN alone THEN -1 ELSE coalesce(item_id % 5, -1) END AS part, CASE WHEN alone THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month, "
+    "sale_id, line_no::BIGINT AS line_no, quantity::BIGINT AS quantity, floor(quantity / 10) AS tens, floor(100 * discount + 0.5)::BIGINT AS percent, floor(100 * amount + 0.5)::BIGINT AS amount_cents FROM sale_lines LEFT JOIN h USING (sale_id)), "
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY {_ORDER}, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos, count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied, "
+    f"rank() OVER (PARTITION BY vendor_id, part, month ORDER BY {_ORDER}) AS rank, dense_rank() OVER (PARTITION BY vendor_id, part, month ORDER BY {_ORDER}) AS dense_rank FROM l) "
+    "SELECT vendor_id, part, month, pos, pos AS place, sale_id, line_no, quantity, percent, amount_cents, tied, rank, dense_rank FROM r WHERE pos <= 2"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": _NEAR_DUPLICATES,
     "op9_benchmark_decontamination": _leaks(),
+    "op13_grouped_ranking_ties": _TIED_RANKS,
     "base2_personal_data": _base_spans(),
     "base4_lm_scores": _BASE_LM,
     "base10_quality_rules": _BASE_QUALITY,
