@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, ranking, token_files, toxicity
+from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, ranking, token_counts, token_files, toxicity
 from .common import LOWER, UPPER, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_grouped_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.sale_line_ranks(table(spark, sf_dir, "sale_lines"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op12_token_counts": op12_token_counts,
     "op13_grouped_ranking_ties": op13_grouped_ranking_ties,
     "base2_personal_data": base2_personal_data,
     "base4_lm_scores": base4_lm_scores,
