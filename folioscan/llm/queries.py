@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, lm, near_dedup, packing, pii, quality, ranking, token_counts, token_files, toxicity
+from . import decontaminate, language, licences, lm, near_dedup, packing, pii, prefix_trie, quality, ranking, token_counts, token_files, toxicity
 from .common import LOWER, UPPER, table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op12_token_counts": op12_token_counts,
     "op13_grouped_ranking_ties": op13_grouped_ranking_ties,
     "base2_personal_data": base2_personal_data,
@@ -186,6 +191,20 @@ def _base_spans() -> str:
     )
 
 
+_PREFIX_TRIE = (
+    "WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL), "
+    "d AS (SELECT conv_id, turn, sha256(length(role)||':'||role||text)[:32] AS d, length(text)::BIGINT AS c FROM t), "
+    f"o AS (SELECT conv_id, list({{'d': d, 'c': c}} ORDER BY turn NULLS FIRST, d) AS t, {_CRC.format(s='conv_id::VARCHAR')} % 6 AS h FROM d GROUP BY conv_id), "
+    "r AS (SELECT o.conv_id, list_concat(coalesce(b.t[1:o.h], []), o.t[o.h + 1:]) AS p FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100), "
+    "u AS (SELECT conv_id, p, unnest(range(len(p) + 1)) AS depth FROM r), "
+    "x AS (SELECT conv_id, depth, len(p) = depth AS ends, md5(array_to_string(list_transform(p[1:depth], lambda x: x.d), ',')) AS k, md5(array_to_string(list_transform(p[1:depth - 1], lambda x: x.d), ',')) AS up, CASE WHEN depth > 0 THEN p[depth].c ELSE 0 END AS c FROM u), "
+    "n AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(c) AS c, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM x GROUP BY k, depth), "
+    "kids AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL), "
+    "m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.up = n.k AND kids.depth = n.depth), "
+    # A node's ancestors are the beginnings of its smallest member.
+    "s AS (SELECT x.k, x.depth, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.c)::BIGINT AS saved_tokens FROM m JOIN x ON x.conv_id = m.conv_id AND x.depth <= m.depth GROUP BY ALL) "
+    "SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256 FROM m JOIN s ON s.k = m.k AND s.depth = m.depth LEFT JOIN n p ON p.k = m.up AND p.depth = m.depth - 1"
+)
 _ORDER = "tens DESC NULLS LAST, percent NULLS LAST"
 _TIED_RANKS = (
     f"WITH h AS (SELECT sale_id, {_CRC.format(s='sale_id::VARCHAR')} % 5 = 0 AS alone FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL) s), "
@@ -199,6 +218,7 @@ _TIED_RANKS = (
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": _NEAR_DUPLICATES,
     "op9_benchmark_decontamination": _leaks(),
+    "op11_conversation_prefix_trie": _PREFIX_TRIE,
     "op13_grouped_ranking_ties": _TIED_RANKS,
     "base2_personal_data": _base_spans(),
     "base4_lm_scores": _BASE_LM,

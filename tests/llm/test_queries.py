@@ -16,6 +16,7 @@ FIRST = {
     "op8_token_files": "doc_id start n_tokens ids_crc32",
     "op9_benchmark_decontamination": "doc_id n_items first_item n_equal",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11_conversation_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op12_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op13_grouped_ranking_ties": "vendor_id part month pos place sale_id line_no quantity percent amount_cents tied",
     "base2_personal_data": "doc_id n_email n_ip n_card n_phone base_sha256",
