@@ -125,10 +125,10 @@ def _seed(mask: str) -> str:
 
 def _leaks() -> str:
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    masks = list(dict.fromkeys(m for n in range(decontaminate.COMPARE + 1, 0, -1) for m in decontaminate.masks_for(n)))
-    widest = max(map(len, masks))
-    # The masks of an item by its length.
-    fits = " OR ".join(f"(b.mask = {k} AND least(b.n, {decontaminate.COMPARE + 1}) IN ({', '.join(str(n) for n in range(1, decontaminate.COMPARE + 2) if m in decontaminate.masks_for(n))}))" for k, m in enumerate(masks))
+    # Fixed values of the rule: each mask with the numbers of words of the items that it is for, 14 being 14 and more.
+    for_words = {"11011001": range(8, 15), "110100101": range(8, 15), "1010011011": range(8, 15), "111": (3, *range(8, 14)), "11011": range(8, 14)} | {"1" * n: (n,) for n in (7, 6, 5, 4, 2, 1)}
+    masks, widest = list(for_words), max(map(len, for_words))
+    fits = " OR ".join(f"(b.mask = {k} AND least(b.n, 14) IN ({', '.join(map(str, lengths))}))" for k, lengths in enumerate(for_words.values()))
     ahead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, widest))
     seeds = " UNION ALL ".join(f"SELECT id, i, n, {k} AS mask, {_seed(m)} AS seed FROM {{t}}_ahead" for k, m in enumerate(masks))
     part = (
@@ -144,8 +144,8 @@ def _leaks() -> str:
         + f", item_seeds AS (SELECT * FROM b_seeds b WHERE {fits}), "
         "hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.i - b.i AS shift, b.n FROM d_seeds d JOIN item_seeds b ON d.mask = b.mask AND d.seed = b.seed), "
         "lined AS (SELECT h.doc_id, h.item_id, h.shift, b.i AS j, h.n, CASE WHEN d.w = b.w THEN 1 ELSE 0 END AS same FROM hits h JOIN b ON b.id = h.item_id LEFT JOIN d ON d.id = h.doc_id AND d.i = h.shift + b.i), "
-        f"sums AS (SELECT doc_id, item_id, j, least({decontaminate.COMPARE}, n) AS length, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN {decontaminate.COMPARE - 1} PRECEDING AND CURRENT ROW) AS k FROM lined), "
-        f"found AS (SELECT doc_id, item_id, max(k) AS k FROM sums WHERE j >= length AND k * 100 >= length * CASE WHEN length < {decontaminate.LEAST_WORDS} THEN 100 ELSE {decontaminate.EQUAL_PERCENT} END GROUP BY 1, 2) "
+        "sums AS (SELECT doc_id, item_id, j, least(13, n) AS length, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS k FROM lined), "
+        "found AS (SELECT doc_id, item_id, max(k) AS k FROM sums WHERE j >= length AND k * 100 >= length * CASE WHEN length < 8 THEN 100 ELSE 75 END GROUP BY 1, 2) "
         "SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(k)::BIGINT AS n_equal FROM found GROUP BY 1"
     )
 

@@ -352,6 +352,41 @@ def test_decontamination(spark, docs, monkeypatch, most):
     assert decontaminate.leaked_documents(docs, benchmark.limit(0)).count() == 0 == decontaminate.leaked_documents(docs.limit(0), benchmark).count()
 
 
+def aligned(words, item):
+    """The most equal words of a stretch of 13, over all alignments."""
+    import numpy as np
+
+    codes = {w: k for k, w in enumerate(dict.fromkeys([*words, *item]))}
+    a, b = np.array([codes[w] for w in words]), np.array([codes[w] for w in item])
+    best = 0
+    for shift in range(-len(b) + 1, len(a)):
+        low, high = max(0, -shift), min(len(b), len(a) - shift)
+        run = np.cumsum(np.append(np.zeros(13, int), a[low + shift : high + shift] == b[low:high]))
+        best = max(best, int((run[13:] - run[:-13]).max(initial=0)))
+    return best
+
+
+def test_decontamination_of_long_and_repetitive_texts(spark, monkeypatch):
+    """Long items, texts and items that repeat a sentence or a word, by all alignments; dealt out and broadcast."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(700)]
+    item, sentence = rng.choices(words, k=3000), rng.choices(words, k=9)
+    copies = [list(item) for _ in range(3)]
+    for c, share in zip(copies, (0.1, 0.3, 0.9), strict=True):
+        for k in range(len(c)):
+            if rng.random() < share:
+                c[k] = f"x{rng.randrange(9999)}"
+    changed = [w if k % 5 else "changed" for k, w in enumerate(sentence * 200)]
+    made = [*copies, (sentence * 300)[:2500], changed, ["same"] * 4000, ["same"] * 9, rng.choices(words, k=4000), sentence[:5] + item[100:112] + ["end"]]
+    items = [item, (sentence * 40)[:320], ["same"] * 2000]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(made)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    want = {(k, j): n for k, w in enumerate(made) for j, i in enumerate(items) if (n := aligned(w, i)) * 100 >= 13 * 75}
+    for most in (500_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_IDS", most)
+        assert {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.leaks(docs, benchmark).collect()} == want
+
+
 def test_words_far_from_an_entity(spark):
     """Candidate terms are words within WINDOW words, whatever stands between."""
     rng = random.Random(22)
