@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.scalars import normalize_path, parent
+from folioscan.operators.search import in_folders
 from folioscan.schema import CHUNKS, DOCUMENTS
 
 
@@ -85,19 +88,39 @@ class ConflictError(RuntimeError):
     """Another commit came first, again and again."""
 
 
+def _several(parts: str | list[str]) -> list[str]:
+    """A bucket's folders; older commits name one."""
+    return [parts] if isinstance(parts, str) else parts
+
+
+#: A data file's rows that are gone: bits by their number in the file, 64 to a word; only words that aren't 0.
+VECTORS = "file string, words map<bigint,bigint>, n bigint"
+
+
 class Store:
-    """documents and chunks as Parquet in buckets; a commit is a small file that names each bucket's folder.
-
-    A document's bucket is that of its path, and the low digits of its id, so its chunks have it too.
-    A change rewrites the buckets that it touches and names the others' folders again. Commits are
-    numbered, and a number's file is created only if it isn't there: of two writers that start from
-    the same state one comes first, and the other reads again and repeats. Readers see the highest
-    number that is complete, old or new. Folders that none of the last KEPT commits names are
-    removed. The number of buckets is settled by the first commit. The root's file system must create
-    files exclusively, as HDFS and local ones do.
+    """documents and chunks as Parquet in buckets; a commit is a small file that names each bucket's folders.
+
+    A bucket is a range of lower-case paths, so what lies below a folder is in few buckets, and a search
+    in folders reads those alone. The ranges and their number are settled by the first commit, from a
+    bounded sample of its paths. A document's id has the bucket in its low digits, so its chunks have it
+    too.
+
+    A change adds files to the buckets that it touches, and marks the rows that it replaces or removes in
+    deletion vectors, bitmaps for each data file that readers apply; no data file is written again for
+    it. A bucket is written anew when over GONE_SHARE of its documents are gone, or when it has over
+    PARTS parts.
+
+    Commits are numbered, and a number's file is created only if it isn't there: of two writers that
+    start from the same state one comes first, and the other reads again and repeats. Readers see the
+    highest number that is complete, old or new. Folders that none of the last KEPT commits names are
+    removed. The root's file system must create files exclusively, as HDFS and local ones do. Commits of
+    older kinds (one folder a bucket, buckets by hash, fewer columns) are read as they are.
     """
 
     KEPT, RETRIES = 10, 20
+    GONE_SHARE, PARTS = 0.2, 8
+    #: Paths of the first commit that ranges are settled by, for each bucket; words of vectors that may be broadcast.
+    SAMPLED, BROADCAST_GONE = 20, 5_000_000
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
         self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
@@ -134,48 +157,141 @@ class Store:
     def version(self) -> str | None:
         return self._state()[1]["version"]
 
-    def documents(self) -> DataFrame:
-        return self._read(self._state()[1], "documents", DOCUMENTS)
+    def documents(self, folders: Sequence[str] | None = None) -> DataFrame:
+        """All documents, or those in the folders, for which only the files that can have some are read."""
+        state = self._state()[1]
+        rows = self._read(state, "documents", DOCUMENTS, self._within(state, folders))
+        return rows if folders is None else rows.filter(in_folders(F.col("path"), folders))
 
     def chunks(self) -> DataFrame:
         return self._read(self._state()[1], "chunks", CHUNKS)
 
-    def _read(self, state: dict, name: str, schema, only: list[int] | None = None) -> DataFrame:  # noqa: ANN001
-        folders = [f"{self.root}/{f}" for k, f in sorted(state[name].items()) if only is None or int(k) in only]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+    def searchable(self, folders: Sequence[str] | None = None) -> DataFrame:
+        """Chunks with their documents' path and title, of all documents or of those in the folders."""
+        state = self._state()[1]
+        only = self._within(state, folders)
+        documents = self._read(state, "documents", DOCUMENTS, only)
+        documents = documents if folders is None else documents.filter(in_folders(F.col("path"), folders))
+        return self._read(state, "chunks", CHUNKS, only).join(documents.select(F.col("id").alias("document_id"), "path", "title"), "document_id")
+
+    def files(self, folders: Sequence[str] | None = None) -> list[str]:
+        """The data files that a search in the folders reads."""
+        state = self._state()[1]
+        only = self._within(state, folders)
+        return sorted(f for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS)) if self._parts(state, name, only) for f in self.spark.read.schema(schema).parquet(*self._parts(state, name, only)).inputFiles())
+
+    def _within(self, state: dict, folders: Sequence[str] | None) -> list[int] | None:
+        """The buckets that can have paths in the folders; None: all. Names with other than ASCII letters find all, as their lower case is Spark's to say."""
+        bounds = state.get("bounds")
+        if folders is None or not bounds or not all(f.isascii() for f in folders):
+            return None
+        found: set[int] = set()
+        for f in (f.replace("\\", "/").rstrip("/").lower() for f in folders if f.strip()):
+            # Below a folder are the paths from f/ up to f0, as 0 follows / in ASCII.
+            found |= {bisect_right(bounds, f or "/"), *range(bisect_right(bounds, f + "/"), bisect_right(bounds, f + "0") + 1)}
+        return sorted(found)
+
+    def _parts(self, state: dict, name: str, only: Sequence[int] | None = None) -> list[str]:
+        return [f"{self.root}/{f}" for k, parts in sorted(state[name].items()) if only is None or int(k) in only for f in _several(parts)]
+
+    def _placed(self, folders: list[str], schema) -> DataFrame:  # noqa: ANN001
+        """All rows of the folders, with file and row: where they stand."""
+        rows = self.spark.read.schema(schema).parquet(*folders)
+        return rows.select("*", F.regexp_extract("_metadata.file_path", "data/[^/]+/[^/]+/[^/]+/[^/]+$", 0).alias("file"), F.col("_metadata.row_index").alias("row"))
+
+    def _read(self, state: dict, name: str, schema, only: Sequence[int] | None = None) -> DataFrame:  # noqa: ANN001
+        gone = {k: g for k, g in state.get("gone", {}).get(name, {}).items() if only is None or int(k) in only}
+        marked = self._parts(state, name, [int(k) for k in gone])
+        whole = [f for f in self._parts(state, name, only) if f not in set(marked)]
+        frames = [self.spark.read.schema(schema).parquet(*whole)] if whole else []
+        if marked:
+            vectors = self.spark.read.schema(VECTORS).parquet(*(f"{self.root}/{g['folder']}" for g in gone.values())).select("file", "words")
+            vectors = F.broadcast(vectors) if sum(g["n"] for g in gone.values()) <= self.BROADCAST_GONE else vectors
+            bits = F.coalesce(F.try_element_at("words", F.shiftright("row", 6)), F.lit(0).cast("long"))
+            frames.append(self._placed(marked, schema).join(vectors, "file", "left").filter(F.getbit(bits, F.col("row") % 64) == 0).select(schema.names))
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema)
 
     def _bucket(self, of: Column, state: dict) -> Column:
         return F.pmod(of, F.lit(state["buckets"])).cast("int")
 
     def _id(self, state: dict) -> Column:
-        """Of path and sha256; the remainder by the number of buckets is the path's."""
-        n = F.lit(state["buckets"])
-        place = F.pmod(F.xxhash64(normalize_path(F.col("path"))), n)
-        h = F.shiftright(F.xxhash64(F.concat_ws("\0", normalize_path(F.col("path")), "sha256")), 16)
+        """Of path and sha256; the remainder by the number of buckets is the path's bucket."""
+        n, path = F.lit(state["buckets"]), normalize_path(F.col("path"))
+        bounds = state.get("bounds")
+        place = F.pmod(F.xxhash64(path), n) if bounds is None else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.lower(path))) if bounds else F.lit(0)
+        h = F.shiftright(F.xxhash64(F.concat_ws("\0", path, "sha256")), 16)
         return h - F.pmod(h, n) + place
 
+    def _bounds(self, documents: DataFrame, state: dict) -> list[str]:
+        """Where ranges of paths begin, from SAMPLED paths a bucket, those with the lowest hashes."""
+        path = F.lower(normalize_path(F.col("path")))
+        paths = sorted(r["p"] for r in documents.select(path.alias("p")).orderBy(F.xxhash64("p"), "p").limit(self.SAMPLED * state["buckets"]).collect())
+        return sorted({paths[k * len(paths) // state["buckets"]] for k in range(1, state["buckets"])}) if paths else []
+
     def _written(self, df: DataFrame, names: list[str], by: str, state: dict, folder: str) -> dict[str, str]:
         """The folders of the buckets that df has rows for."""
         rows = df.select(*names, self._bucket(F.col(by), state).alias("bucket"))
         # A bucket is as many files as its rows need: adaptive execution splits and joins them.
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *[c for c in (by, "chunk_index") if c in names]).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        order = ["path"] if "path" in names else [by, "chunk_index"]
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        return self._folders(folder)
+
+    def _folders(self, folder: str) -> dict[str, str]:
         return {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
 
-    def _commit(self, change: Callable[[dict], tuple[DataFrame, DataFrame, list[int]] | None]) -> tuple[dict, dict] | None:
-        """The states before and after. change(state): new documents and chunks of the buckets that it names; None: nothing to do."""
+    def _marked(self, state: dict, name: str, schema, by: str, ids: DataFrame, touched: list[int], folder: str) -> dict[str, dict]:  # noqa: ANN001
+        """Deletion vectors of the touched buckets with the rows of ids (id) added to what they had."""
+        old = [f"{self.root}/{g['folder']}" for k, g in state.get("gone", {}).get(name, {}).items() if int(k) in touched]
+        folders = self._parts(state, name, touched)
+        if not folders:
+            return {}
+        rows = self._placed(folders, schema).join(ids.select(F.col("id").alias(by)), by, "left_semi")
+        words = rows.select("file", F.shiftright("row", 6).alias("word"), F.expr("shiftleft(1L, cast(row % 64 as int))").alias("bits"))
+        if old:
+            words = words.unionByName(self.spark.read.schema(VECTORS).parquet(*old).select("file", F.explode("words").alias("word", "bits")))
+        words = words.groupBy("file", "word").agg(F.bit_or("bits").alias("bits"))
+        files = words.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum(F.bit_count("bits")).cast("long").alias("n"))
+        files.withColumn("bucket", F.regexp_extract("file", "bucket=([0-9]+)/", 1).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        n = {str(r["bucket"]): r["n"] for r in self.spark.read.parquet(f"{self.root}/{folder}").groupBy("bucket").agg(F.sum("n").alias("n")).collect()} if self._folders(folder) else {}
+        return {k: {"folder": f, "n": n[k]} for k, f in self._folders(folder).items()}
+
+    def _counts(self, rows: DataFrame, state: dict) -> dict[str, int]:
+        """Rows (id) by bucket."""
+        return {str(r["b"]): r["n"] for r in rows.groupBy(self._bucket(F.col("id"), state).alias("b")).agg(F.count("*").alias("n")).collect()}
+
+    def _commit(self, change: Callable[[dict], tuple[DataFrame | None, DataFrame | None, dict[str, int], DataFrame] | None]) -> tuple[dict, dict] | None:
+        """The states before and after. change(state): documents and chunks to add (or None), how many documents by bucket, and the ids (id) that go; None: nothing to do."""
         fs, path = self._fs()
         for _ in range(self.RETRIES):
             last, state = self._state()
             made = change(state)
             if made is None:
                 return None
-            documents, chunks, touched = made
+            documents, chunks, added, ids = made
             number = f"{last + 1:010d}"
             folder = f"data/{number}-{uuid.uuid4().hex[:8]}"
-            content = {"version": number, "buckets": state["buckets"]}
+            lost = self._counts(ids, state) if state["documents"] else {}
+            rows = {k: n + added.get(k, 0) for k, n in state.get("rows", {}).items()} | {k: n for k, n in added.items() if k not in state.get("rows", {})}
+            before = {k: g["n"] for k, g in state.get("gone", {}).get("documents", {}).items()}
+            touched = sorted({*map(int, added), *map(int, lost)})
+            crowded = [k for k in touched if len(_several(state["chunks"].get(str(k), []))) >= self.PARTS]
+            anew = sorted({*crowded, *(k for k in map(int, lost) if before.get(str(k), 0) + lost[str(k)] > self.GONE_SHARE * rows.get(str(k), 0))})
+            content = {"version": number, "buckets": state["buckets"], "bounds": state.get("bounds"), "gone": {}}
             for name, df, schema, by in (("documents", documents, DOCUMENTS, "id"), ("chunks", chunks, CHUNKS, "document_id")):
-                kept = {k: f for k, f in state[name].items() if int(k) not in touched}
-                content[name] = kept | self._written(df, schema.names, by, state, f"{folder}/{name}")
+                new = {k: _several(f) for k, f in state[name].items() if int(k) not in anew}
+                gone = {k: g for k, g in state.get("gone", {}).get(name, {}).items() if int(k) not in anew}
+                further = df
+                if anew:
+                    live = self._read(state, name, schema, anew).join(ids.select(F.col("id").alias(by)), by, "left_anti").select(schema.names)
+                    further = live if df is None else live.unionByName(df.select(schema.names))
+                if further is not None:
+                    for k, f in self._written(further, schema.names, by, state, f"{folder}/{name}").items():
+                        new[k] = [*new.get(k, []), f]
+                marked = [k for k in map(int, lost) if k not in anew]
+                if marked:
+                    gone |= self._marked(state, name, schema, by, ids.filter(self._bucket(F.col("id"), state).isin(marked)), marked, f"{folder}/gone-{name}")
+                content[name], content["gone"][name] = new, gone
+            content["rows"] = rows | {str(k): rows.get(str(k), 0) - before.get(str(k), 0) - lost.get(str(k), 0) for k in anew}
             fs.mkdirs(path(f"{self.root}/_commits"))
             try:
                 stream = fs.create(path(f"{self.root}/_commits/{number}"), False)
@@ -197,7 +313,7 @@ class Store:
         if len(numbers) <= self.KEPT:
             return
         kept = [c for n in numbers[-self.KEPT :] if (c := self._load(n))]
-        named = {"/".join(f.split("/")[:2]) for c in kept for t in ("documents", "chunks") for f in c[t].values()}
+        named = {"/".join(f.split("/")[:2]) for c in kept for t in ("documents", "chunks") for f in [*(x for parts in c[t].values() for x in _several(parts)), *(g["folder"] for g in c.get("gone", {}).get(t, {}).values())]}
         for n in numbers[: -self.KEPT]:
             fs.delete(path(f"{self.root}/_commits/{n}"), False)
         oldest = numbers[-self.KEPT]
@@ -215,21 +331,22 @@ class Store:
         checked = chunks.withColumn("embedding", F.when(wrong, F.raise_error(F.lit("a chunk has no embedding of the index's dimension"))).otherwise(F.col("embedding")))
         seen: dict[str, DataFrame] = {}
 
-        def change(state: dict) -> tuple[DataFrame, DataFrame, list[int]] | None:
+        def change(state: dict) -> tuple[DataFrame, DataFrame, dict[str, int], DataFrame] | None:
+            if state["version"] is None:
+                state["bounds"] = self._bounds(documents, state)
             rows = statuses(self._read(state, "documents", DOCUMENTS), latest(documents)).withColumn("id", self._id(state))
             seen["rows"] = rows
             changed = rows.filter("status != 'skipped'")
-            touched = [r["b"] for r in changed.select(self._bucket(F.col("id"), state).alias("b")).distinct().collect()]
-            if not touched:
+            added = self._counts(changed, state)
+            if not added:
                 return None
-            old, old_chunks = self._read(state, "documents", DOCUMENTS, touched), self._read(state, "chunks", CHUNKS, touched)
+            old = self._read(state, "documents", DOCUMENTS, [int(k) for k in added])
             keys = changed.select(normalize_path(F.col("path")).alias("_p"))
-            gone = old.join(keys, normalize_path(old["path"]) == F.col("_p"), "left_semi").select(F.col("id").alias("document_id"), normalize_path(F.col("path")).alias("_p"), F.col("created_at").alias("_created"))
+            gone = old.join(keys, normalize_path(old["path"]) == F.col("_p"), "left_semi").select("id", normalize_path(F.col("path")).alias("_p"), F.col("created_at").alias("_created"))
             now = F.current_timestamp()
-            new = changed.withColumn("_p", normalize_path(F.col("path"))).join(gone.drop("document_id"), "_p", "left").withColumn("created_at", F.coalesce("_created", now)).withColumn("updated_at", now).select(DOCUMENTS.names)
-            kept = old.join(gone.select(F.col("document_id").alias("id")), "id", "left_anti").select(DOCUMENTS.names)
+            new = changed.withColumn("_p", normalize_path(F.col("path"))).join(gone.drop("id"), "_p", "left").withColumn("created_at", F.coalesce("_created", now)).withColumn("updated_at", now).select(DOCUMENTS.names)
             new_chunks = checked.join(changed.select("path", F.col("id").alias("document_id")), "path").select(CHUNKS.names)
-            return kept.unionByName(new), old_chunks.join(gone.select("document_id"), "document_id", "left_anti").select(CHUNKS.names).unionByName(new_chunks), touched
+            return new, new_chunks, added, gone.select("id")
 
         done = self._commit(change)
         if done is None:
@@ -240,15 +357,11 @@ class Store:
         """Removes the documents that are chosen, with their chunks; returns how many."""
         n = 0
 
-        def change(state: dict) -> tuple[DataFrame, DataFrame, list[int]] | None:
+        def change(state: dict) -> tuple[None, None, dict[str, int], DataFrame] | None:
             nonlocal n
             ids = chosen(self._read(state, "documents", DOCUMENTS)).select("id")
-            counts = {r["b"]: r["n"] for r in ids.groupBy(self._bucket(F.col("id"), state).alias("b")).agg(F.count("*").alias("n")).collect()}
-            n, touched = sum(counts.values()), list(counts)
-            if not touched:
-                return None
-            documents, chunks = self._read(state, "documents", DOCUMENTS, touched), self._read(state, "chunks", CHUNKS, touched)
-            return documents.join(ids, "id", "left_anti").select(DOCUMENTS.names), chunks.join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti").select(CHUNKS.names), touched
+            n = ids.count()
+            return (None, None, {}, ids) if n else None
 
         self._commit(change)
         return n

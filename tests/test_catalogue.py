@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from folioscan.plans.catalogue import ORACLE_SQL, QUERIES
+from folioscan.plans import catalogue, index_queries
 
+QUERIES, ORACLE_SQL = catalogue.QUERIES | index_queries.QUERIES, catalogue.ORACLE_SQL | index_queries.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
