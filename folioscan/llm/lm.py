@@ -10,17 +10,18 @@ token. Documents whose crc32(id) mod 5 isn't 1 are learnt from; all are scored.
    base_score needs nothing else.
 3. Words and bigrams of the learnt documents are counted by hash bucket. A count c is quantised to
    the level q = 1 + floor(log2 c), and (n-gram, 1) ... (n-gram, q) are put into a Bloom filter. A
-   bucket has a segment of the filter of its own, so segments are made in parallel and only joined.
-4. The filter has FILTER_BITS_EACH bits an entry, whatever the corpus. Up to MAX_FILTER_BITS it is
-   broadcast. A larger one is never in one place: each block's distinct n-grams go to their buckets,
-   meet the bucket's segment where it is made, and their levels come back to the block. An n-gram's
-   level is found by probing levels 1, 2, ... until one misses; its count c' is the middle of that
-   level's range, and no bigram's count exceeds its words'. All of the model's probabilities come
+   bucket has a segment of the filter of its own; the segments are a table in the shared folder. The
+   filter has FILTER_BITS_EACH bits for each learnt token and each level of a word, whatever the corpus.
+4. Up to MAX_FILTER_BITS the filter is broadcast. A larger one is never in one place: each block's
+   distinct n-grams go to their buckets and meet the same segments there, read from the table, and
+   their levels come back to the block. Both ways probe the same bits, so scores are the same. An
+   n-gram's level is found by probing levels 1, 2, ... until one misses; its count c' is the middle of
+   that level's range, and no bigram's count exceeds its words'. All of the model's probabilities come
    from these probes: p(v) = (c'(v) + 1/2) / (N + (V + 1) / 2), and
    p(v | u) = (c'(u v) + MU p(v)) / (c'(u) + MU), the context of the first token being an end.
 
-Buckets are as many as the data need, about BUCKET_GRAMS n-grams each, so no task grows with the
-corpus. Null text: one end token. Null doc_id: learnt from. Repeated rows are counted and scored
+Buckets are as many as the data need, about BUCKET_GRAMS n-grams each and LEAST_BUCKETS at least, so
+neither a task nor a score depends on the session's partitions. Null text: one end token. Null doc_id: learnt from. Repeated rows are counted and scored
 each. A long text makes a block of its own, as long as it is. Without rows, or with none to learn
 from, N and V are 0 and both scores are log10(1) a token. Ties: none. Only doc_id and text are read,
 so further columns don't matter.
@@ -36,14 +37,14 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, released, remainder, small_batches, text_of, written
+from .common import dropped, partitions, released, remainder, small_batches, text_of, written
 
 if TYPE_CHECKING:
     import numpy as np
 
 BLOCK_TOKENS = 500_000
 FILTER_BITS_EACH, MAX_FILTER_BITS, HASHES = 8, 1 << 29, 3
-BUCKET_GRAMS = 1 << 21
+BUCKET_GRAMS, LEAST_BUCKETS = 1 << 21, 64
 MU = 30.0
 END = b"\n"  # never a word
 
@@ -252,10 +253,8 @@ def _segment(grams: np.ndarray, level: np.ndarray, segment: int, hashes: int) ->
     return np.packbits(row, bitorder="little")
 
 
-def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES) -> np.ndarray:
-    """The log-frequency Bloom filter: a row of bits for each bucket, packed by 8."""
-    import numpy as np
-
+def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES) -> DataFrame:
+    """The log-frequency Bloom filter, a table of the shared folder: bucket, bits (its segment, packed by 8)."""
     segment = max(64, bits // buckets // 8 * 8)
 
     def segments(batches: Iterator) -> Iterator:
@@ -265,31 +264,43 @@ def filter_of(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES)
             grams, level, _ = _counted(found)
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([_segment(grams, level, segment, hashes).tobytes()], pa.binary())})
 
-    out = np.zeros((buckets, segment // 8), np.uint8)
-    for r in gram_packets(blocks, buckets, False).repartition(buckets, "bucket").mapInArrow(segments, "bucket int, bits binary").toLocalIterator():
+    # A bucket is a partition, so that no task holds several.
+    return written(gram_packets(blocks, buckets, False).repartitionById(buckets, F.col("bucket")).mapInArrow(segments, "bucket int, bits binary"), "filter")
+
+
+def gathered(filter_: DataFrame, buckets: int, bits: int) -> np.ndarray:
+    """A filter of a size that may be broadcast as one array, a row a bucket; buckets without n-grams have no bits."""
+    import numpy as np
+
+    out = np.zeros((buckets, max(64, bits // buckets // 8 * 8) // 8), np.uint8)
+    for r in filter_.toLocalIterator():
         out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def block_levels(blocks: DataFrame, buckets: int, hashes: int = HASHES) -> DataFrame:
-    """block, bucket, levels (of the block's distinct n-grams in that bucket, in their order), each bucket from a segment of its own n-grams' size."""
+def block_levels(blocks: DataFrame, filter_: DataFrame, buckets: int, hashes: int = HASHES) -> DataFrame:
+    """block, bucket, levels (of the block's distinct n-grams in that bucket, in their order): each from its bucket's segment of the filter."""
 
     def probed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for bucket, found in _received(batches).items():
-            grams, level, place = _counted(found)
-            bits = _segment(grams, level, max(64, -(-FILTER_BITS_EACH * int(level.sum()) // 8) * 8), hashes)
-            levels, end = levels_of(grams, bits[None], hashes).astype(np.uint8)[place], 0
-            for name, own, _ in found:
-                start, end = end, end + len(own)
-                yield pa.RecordBatch.from_pydict({"block": [name], "bucket": pa.array([bucket], pa.int32()), "levels": pa.array([squeeze(levels[start:end].tobytes())], pa.binary())})
+        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        at, segment = None, None
+        for batch in batches:
+            for bucket, name, data in zip(*(batch.column(k) for k in (0, 1, 2)), strict=True):
+                bucket, name, data = bucket.as_py(), name.as_py(), data.as_py()
+                if name is None:  # the segment comes before the packets of its bucket
+                    at, segment = bucket, np.frombuffer(data, np.uint8)[None]
+                    continue
+                grams = np.cumsum(np.frombuffer(unpack(data), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+                levels = levels_of(grams, segment, hashes) if at == bucket else np.zeros(len(grams), np.int64)
+                yield pa.RecordBatch.from_pydict({"block": [name], "bucket": pa.array([bucket], pa.int32()), "levels": pa.array([squeeze(levels.astype(np.uint8).tobytes())], pa.binary())})
 
-    # A bucket is a partition, so that no task holds several.
-    return gram_packets(blocks, buckets, True).repartitionById(buckets, F.col("bucket")).mapInArrow(probed, "block string, bucket int, levels binary")
+    packets = gram_packets(blocks, buckets, True).select("bucket", "block", F.col("grams").alias("data"))
+    rows = filter_.select("bucket", F.lit(None).cast("string").alias("block"), F.col("bits").alias("data")).unionByName(packets)
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(probed, "block string, bucket int, levels binary")
 
 
 def _places(grams: np.ndarray, level: int, segment: int, hashes: int) -> Iterator[np.ndarray]:
@@ -332,7 +343,7 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
     held = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_pairs").alias("pairs")).head()
     words, pairs = int(held["words"] or 0), int(held["pairs"] or 0)
     word_buckets = max(partitions(spark), -(-words // BUCKET_GRAMS))
-    buckets = max(partitions(spark), -(-(words + pairs) // BUCKET_GRAMS))
+    buckets = max(LEAST_BUCKETS, -(-(words + pairs) // BUCKET_GRAMS))
     counts = written(word_counts(blocks, word_buckets), "counts")
     released(spark)
     sums = counts.agg(*(F.sum(c).alias(c) for c in ("n", "v", "levels"))).head()
@@ -340,12 +351,16 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
     exact = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("exact"))
     # Levels of words, and at most one bigram's entry a token.
     bits = max(1 << 12, FILTER_BITS_EACH * (pairs + int(sums["levels"] or 0)))
+    filter_ = filter_of(blocks, buckets, bits)
+    released(spark)
     if bits <= max_bits:
-        shared = spark.sparkContext.broadcast(filter_of(blocks, buckets, bits))
+        shared = spark.sparkContext.broadcast(gathered(filter_, buckets, bits))
+        dropped(filter_)
         joined = blocks.join(exact, "block").withColumn("levels", F.lit(None).cast("array<struct<bucket:int,levels:binary>>"))
     else:
         shared = None
-        levels = written(block_levels(blocks, buckets), "levels")
+        levels = written(block_levels(blocks, filter_, buckets), "levels")
+        dropped(filter_)
         levels = levels.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("levels"))
         joined = blocks.join(exact, "block").join(levels, "block")
     released(spark)

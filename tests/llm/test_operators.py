@@ -137,6 +137,15 @@ def test_lm(docs, rows):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in lm.score(only).collect())
 
 
+def test_lm_of_any_size(spark, sf_dir):
+    """The filter's transport, by one broadcast or by its segments, changes no score; nor do partitions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scores = lambda df, **how: {r.doc_id: r.score for r in lm.score(df, block_tokens=20_000, **how).collect()}
+    whole = scores(docs)
+    assert len(whole) == docs.count()
+    assert scores(docs, max_bits=0) == pytest.approx(whole, rel=1e-12) == scores(docs.repartition(7), max_bits=1 << 40)
+
+
 def test_lm_beyond_the_broadcast(spark):
     """With far more bigrams than a broadcast filter may hold, scores are those of the counts."""
     rng = random.Random(8)
