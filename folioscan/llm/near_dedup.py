@@ -166,8 +166,8 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 
 def _collisions(prefix: DataFrame) -> DataFrame:
     """rep, n, pivot, hits: how many lists name the pivot to the class."""
-    pivots = prefix.groupBy("kv").agg(F.count("*").alias("len"), F.max(F.struct("central", -F.col("rep"))).alias("top")).filter("len > 1")
-    return written(prefix.join(pivots, "kv").select("rep", "n", (-F.col("top.col2")).alias("pivot")).groupBy("rep", "n", "pivot").agg(F.count("*").alias("hits")), "collisions")
+    pivots = prefix.groupBy("kv").agg(F.count("*").alias("len"), F.max(F.struct("central", F.bitwise_not("rep"))).alias("top")).filter("len > 1")
+    return written(prefix.join(pivots, "kv").select("rep", "n", F.bitwise_not("top.col2").alias("pivot")).groupBy("rep", "n", "pivot").agg(F.count("*").alias("hits")), "collisions")
 
 
 def _signatures(rows: DataFrame, name: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _signatures(rows: DataFrame, name: str) -> DataFrame:
 
 def _star_links(docs: DataFrame, rows: DataFrame, collisions: DataFrame, width: int, similar: int) -> DataFrame:
     """a, b: each class with the pivot that it collides with most, confirmed on the full sets."""
-    best = collisions.filter("rep != pivot").groupBy("rep", "n").agg(F.max(F.struct("hits", -F.col("pivot"))).alias("best")).select("rep", "n", (-F.col("best.col2")).alias("pivot"))
+    best = collisions.filter("rep != pivot").groupBy("rep", "n").agg(F.max(F.struct("hits", F.bitwise_not("pivot"))).alias("best")).select("rep", "n", F.bitwise_not("best.col2").alias("pivot"))
     matches = F.size(F.filter(F.zip_with("rep_sig", "pivot_sig", lambda x, y: x == y), lambda x: x))
     named = written(best, "named")
     # A pivot may have very many classes. The signatures of all pivots are a table, so that this join

@@ -293,14 +293,16 @@ def _distinct_words(batches: Iterator) -> Iterator:
 
 
 def with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, object]:
-    """docs with own_terms, the (term, kind) pairs in each text where there are too many to broadcast, else null; and the broadcast."""
+    """docs and a last column, whatever the others' names: the (term, kind) pairs in each text where there are too many to broadcast, else null; and the broadcast."""
     spark = docs.sparkSession
+    taken = {c.lower() for c in docs.columns}
+    row, last = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("_row", "own_terms"))
     if terms.count() <= BROADCAST_TERMS:
-        return docs.withColumn("own_terms", F.lit(None).cast("map<string,string>")), spark.sparkContext.broadcast({r["term"]: r["kind"] for r in terms.collect()})
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    words = numbered.select("_row", "text").mapInArrow(_distinct_words, "_row long, term string")
-    own = words.join(terms, "term").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("own_terms"))
-    return numbered.join(own, "_row", "left").drop("_row"), None
+        return docs.withColumn(last, F.lit(None).cast("map<string,string>")), spark.sparkContext.broadcast({r["term"]: r["kind"] for r in terms.collect()})
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    words = numbered.select(row, "text").mapInArrow(_distinct_words, "_row long, term string")
+    own = words.join(terms, "term").groupBy(F.col("_row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias(last))
+    return numbered.join(own, row, "left").select(*docs.columns, last), None
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -325,7 +327,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
-    return marked.select("doc_id", "text", "own_terms").mapInArrow(found, schema)
+    return marked.mapInArrow(found, schema)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -352,4 +354,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, batch.column(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return marked.select(*docs.columns, "own_terms").mapInArrow(clean, schema)
+    return marked.mapInArrow(clean, schema)

@@ -137,6 +137,17 @@ def test_lm(docs, rows):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in lm.score(only).collect())
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_sanitising_keeps_columns(spark, monkeypatch, most):
+    """Columns come back as they are, also those with names that are used inside."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    made = [(k, f"mail a{k}.b@mail.com now", k * 2, f"r{k}") for k in range(20)] + [(99, None, None, None)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, own_terms long, _row string").withColumn("_ROW_", F.lit("z"))
+    got = pii.sanitise(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect())) == sorted([(k, "mail [EMAIL] now", 2 * k, f"r{k}", "z") for k in range(20)] + [(99, None, None, None, "z")])
+
+
 def test_lm_of_any_size(spark, sf_dir):
     """The filter's transport, by one broadcast or by its segments, changes no score; nor do partitions."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -100,3 +100,16 @@ def test_stages_one_by_one(spark, made):
     rules = quality.learn(quality.with_counts(frame), quality.sampled(spark.read.parquet(f"{folder}/labels.parquet")))
     assert rules and all(t.statistic in quality.STATISTICS for r in rules for t in r)
     assert frame.filter(F.col("doc_id") == 6).count() == 4 and len(docs) == frame.count()
+
+
+def test_ids_at_the_ends_of_the_range(spark, made):
+    """Ids that take all of the long's range, some of them shared: nothing overflows, the smallest id stays, shared ones come last. More columns are dropped."""
+    folder, _, _ = made
+    low, high = -(1 << 63), (1 << 63) - 1
+    text = " ".join(f"word{k}" for k in range(90))
+    other = " ".join(f"other{k}" for k in range(90))
+    rows = [(high, text), (low, text + " end"), (5, text + " more"), (5, other), (5, other), (high - 1, other + " end"), (None, text), (7, "alone " * 3)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_id", F.lit("x")).withColumn("_shared", F.lit("y"))
+    got = corpus_pipeline.near_duplicates(spark, frame, folder)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(low, text + " end"), (high - 1, other + " end"), (None, text), (7, "alone " * 3)])
