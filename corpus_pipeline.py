@@ -39,10 +39,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     shared = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared")
     rows = docs.select(F.col("doc_id").alias("_id"), *COLUMNS)
     if not shared.isEmpty():
-        # Rows that share an id get one each, above all others, for as long as they are compared.
-        top = docs.agg(F.max("doc_id").alias("top")).head()["top"]
-        own = met(docs, shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select((F.lit(top) + 1 + F.monotonically_increasing_id()).alias("_id"), *COLUMNS)
-        rows = met(rows, shared, "doc_id", "left_anti").select("_id", *COLUMNS).unionByName(written(own, "own"))
+        # Where rows share an id, all are numbered for as long as they are compared: in order of their ids, those that share one last.
+        own = met(docs, shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(F.lit(True).alias("_shared"), *COLUMNS)
+        rows = met(docs, shared, "doc_id", "left_anti").select(F.lit(False).alias("_shared"), *COLUMNS).unionByName(own)
+        rows = rows.repartitionByRange("_shared", "doc_id").sortWithinPartitions("_shared", "doc_id")
+        rows = written(rows.select(F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("_id"), *COLUMNS), "numbered")
     found = near_dedup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"))
     return met(rows, found.filter("NOT kept").select(F.col("doc_id").alias("_id")), "_id", "left_anti").select(COLUMNS)
 
