@@ -94,7 +94,14 @@ def assembled(chunks: DataFrame, by: list[str] | None = None, max_chars: int = C
 
 def page_or_window(chunks: DataFrame, hits: DataFrame, max_chars: int = CONTEXT_CHARS, size: int = WINDOW) -> DataFrame:
     """document_id, chunk_index, text around one hit a document (document_id, center): by its page, or its window if it has none."""
-    pages = chunks.select("document_id", "chunk_index", "page").join(hits, "document_id").filter("chunk_index = center").select("document_id", "center", F.col("page").alias("center_page"))
-    ringed = by_page(chunks, pages.filter("center_page IS NOT NULL").select("document_id", "center_page"), max_chars).select("document_id", "chunk_index", "text")
-    plain = hits.join(pages.filter("center_page IS NOT NULL").select("document_id"), "document_id", "left_anti")
-    return ringed.unionByName(window(chunks, plain, size).select("document_id", "chunk_index", "text"))
+    hit = Window.partitionBy("document_id", "center")
+    rows = chunks.join(hits, "document_id").withColumn("center_page", F.max(F.when(F.col("chunk_index") == F.col("center"), F.col("page"))).over(hit))
+    rows = rows.withColumn("paged", F.col("center_page").isNotNull()).withColumn("d", F.abs(F.col("page") - F.col("center_page")))
+    near = F.col("chunk_index").between(F.greatest(F.col("center") - size, F.lit(0)), F.col("center") + size)
+    rows = rows.filter(F.when(F.col("paged"), (F.col("page") >= 0) | (F.col("d") == 0)).otherwise(near))
+    # From here on as by_page(); rows without pages pass, and chunks are cut and read once for both.
+    ring = F.dense_rank().over(Window.partitionBy("document_id", "center", F.coalesce(F.col("d") == 0, F.lit(False))).orderBy("d"))
+    rows = rows.withColumn("ring", ring).filter("NOT paged OR d = 0 OR ring = d")
+    earlier = hit.orderBy("d", "page", "chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(earlier), F.lit(0)))
+    return rows.filter((~F.col("paged")) | (F.col("d") == 0) | (F.col("before") < max_chars)).select("document_id", "chunk_index", "text")

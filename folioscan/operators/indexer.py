@@ -47,7 +47,8 @@ def embedded(rows: DataFrame, encoder: Callable[[], Encoder], column: str = "tex
         for texts in batches:
             yield pd.Series(encode(texts.fillna("").tolist()), index=texts.index)
 
-    return rows.withColumn("embedding", embed(F.col(column)))
+    # So called, no filter on the vector is pushed below it, where the encoder would run once more.
+    return rows.withColumn("embedding", embed.asNondeterministic()(F.col(column)))
 
 
 def index(store: Store, files: DataFrame, config: IndexConfig, encoder: Callable[[], Encoder] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from folioscan.plans import catalogue as Q
 from folioscan.plans import corpus as C
 from folioscan.plans.oracles import _CORPUS, _EXISTING, _STATUSES
 from folioscan.plans.oracles import ORACLE_SQL as OTHERS
+from folioscan.sources import tables
 from folioscan.streaming import changes
 
 
@@ -74,7 +75,25 @@ def q54_knn_inverted_lists(spark: SparkSession, d: str) -> DataFrame:
     return best.select("query_id", "rank", "document_id", F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q50_stream_statuses, q51_store_delete, q52_store_prune, q53_store_folder_search, q54_knn_inverted_lists)}
+def q55_chunks_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """As q13, in SQL over files' contents: the reader and the chunker are one table function."""
+    tables.register(spark)
+    files = C.corpus(spark, d).select("document_id", "path", F.encode("text", "UTF-8").alias("content"))
+    return spark.sql("SELECT f.document_id, c.chunk_index, c.text, c.page FROM {files} f, LATERAL file_chunks(f.path, f.content, 500, 50) c WHERE c.error IS NULL", files=files)
+
+
+def q56_sections_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """As q14, in SQL: conversations as Markdown files, read by their extension."""
+    tables.register(spark)
+    turns = C.table(spark, d, "conversations")
+    return spark.sql(
+        "WITH t AS (SELECT conv_id, array_sort(collect_list(struct(turn, '# ' || role || '\n**' || text || '**\n' AS part))) AS parts FROM {turns} GROUP BY conv_id) "
+        "SELECT t.conv_id, p.page, p.text FROM t, LATERAL file_pages('conversation.md', encode(array_join(transform(parts, x -> x.part), ''), 'UTF-8')) p WHERE p.error IS NULL",
+        turns=turns,
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q50_stream_statuses, q51_store_delete, q52_store_prune, q53_store_folder_search, q54_knn_inverted_lists, q55_chunks_by_sql, q56_sections_by_sql)}
 _LATER = "SELECT {k} AS round, document_id, path, {status} AS status FROM corpus"
 ORACLE_SQL: dict[str, str] = {
     "q50_stream_statuses": f"WITH {_CORPUS}, {_EXISTING}, {_STATUSES} SELECT 0 AS round, document_id, path, status FROM st UNION ALL "
@@ -83,4 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "q52_store_prune": OTHERS["q33_prune_missing"],
     "q53_store_folder_search": OTHERS["q02_knn_folder_filter"],
     "q54_knn_inverted_lists": OTHERS["q04_knn_batch"],
+    "q55_chunks_by_sql": OTHERS["q13_chunk_paged"],
+    "q56_sections_by_sql": OTHERS["q14_md_sections"],
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscan.operators import cells, search
 from folioscan.operators.store import Store
+from folioscan.sources import tables
 from folioscan.streaming import changes
 from tests.test_operators import store_rows
 
@@ -136,6 +137,25 @@ def test_inverted_lists(spark, tmp_path, monkeypatch, probes):
     assert touched < 0.35 and read.distinct().count() == read.count()
 
 
+def test_readers_in_sql(spark):
+    """Files of all kinds, one that can't be read, null contents; sizes by default."""
+    rows = [(1, "a/b.TXT", b"One sentence here. Another one follows it."), (2, "c\\d.md", "# T\nBody é\n## U\n**x**".encode()), (3, "bad.docx", b"no zip"), (4, "x.txt", None), (5, "y.bin", b"z"), (6, None, b"z"), (7, "e.txt", b" ")]
+    tables.register(spark)
+    files = spark.createDataFrame(rows, "k int, path string, content binary")
+    pages = spark.sql("SELECT k, page, p.text, error IS NOT NULL AS bad FROM {f}, LATERAL file_pages(path, content) p", f=files)
+    assert sorted(map(tuple, pages.collect()), key=str) == sorted([(1, 1, "One sentence here. Another one follows it.", False), (2, 1, "T\nBody é\n", False), (2, 2, "U\nx\n", False), (3, None, None, True)], key=str)
+    chunks = spark.sql("SELECT k, chunk_index, page FROM {f}, LATERAL file_chunks(path, content, NULL, NULL) c WHERE error IS NULL", f=files)
+    assert sorted(map(tuple, chunks.collect())) == [(1, 0, 1), (2, 0, 1)]
+
+
+def test_encoder_and_chunker_run_once(spark, sf_dir):
+    from folioscan.plans.catalogue import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("q40_embed_text").count("ArrowEvalPython") == 1
+    assert plan("q42_page_or_window").count("MapInArrow") == 1
+
+
 def test_inverted_lists_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "document_id long, chunk_index int, embedding array<float>")
     queries = spark.createDataFrame([(1, [1.0])], "query_id long, query array<float>")
