@@ -10,12 +10,10 @@ token. Documents whose crc32(id) mod 5 isn't 1 are learnt from; all are scored.
    base_score needs nothing else.
 3. Words and bigrams of the learnt documents are counted by hash bucket. A count c is quantised to
    the level q = 1 + floor(log2 c), and (n-gram, 1) ... (n-gram, q) are put into a Bloom filter. A
-   bucket has a segment of the filter of its own; the segments are a table in the shared folder. The
-   filter has FILTER_BITS_EACH bits for each learnt token and each level of a word, whatever the corpus.
+   bucket has a segment of the filter of its own, so segments are made in parallel. The filter has FILTER_BITS_EACH bits for each learnt token and each level of a word, whatever the corpus.
 4. Up to MAX_FILTER_BITS the filter is broadcast. A larger one is never in one place: each block's
-   distinct n-grams go to their buckets and meet the same segments there, read from the table, and
-   their levels come back to the block. Both ways probe the same bits, so scores are the same. An
-   n-gram's level is found by probing levels 1, 2, ... until one misses; its count c' is the middle of
+   distinct n-grams go to their buckets, are probed against the same segments there, and their levels
+   come back to the block. Both ways probe the same bits, so scores are the same. An n-gram's level is found by probing levels 1, 2, ... until one misses; its count c' is the middle of
    that level's range, and no bigram's count exceeds its words'. All of the model's probabilities come
    from these probes: p(v) = (c'(v) + 1/2) / (N + (V + 1) / 2), and
    p(v | u) = (c'(u v) + MU p(v)) / (c'(u) + MU), the context of the first token being an end.
@@ -278,29 +276,29 @@ def gathered(filter_: DataFrame, buckets: int, bits: int) -> np.ndarray:
     return out
 
 
-def block_levels(blocks: DataFrame, filter_: DataFrame, buckets: int, hashes: int = HASHES) -> DataFrame:
-    """block, bucket, levels (of the block's distinct n-grams in that bucket, in their order): each from its bucket's segment of the filter."""
+def block_levels(blocks: DataFrame, buckets: int, bits: int, hashes: int = HASHES) -> DataFrame:
+    """block, bucket, levels (of the block's distinct n-grams in that bucket, in their order): probes of the bucket's segment of the filter.
+
+    A bucket's packets are moved once: its segment, the same bits as filter_of() has, is made of the
+    learnt ones and probed for all where they meet.
+    """
+    segment = max(64, bits // buckets // 8 * 8)
 
     def probed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        at, segment = None, None
-        for batch in batches:
-            for bucket, name, data in zip(*(batch.column(k) for k in (0, 1, 2)), strict=True):
-                bucket, name, data = bucket.as_py(), name.as_py(), data.as_py()
-                if name is None:  # the segment comes before the packets of its bucket
-                    at, segment = bucket, np.frombuffer(data, np.uint8)[None]
-                    continue
-                grams = np.cumsum(np.frombuffer(unpack(data), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
-                levels = levels_of(grams, segment, hashes) if at == bucket else np.zeros(len(grams), np.int64)
-                yield pa.RecordBatch.from_pydict({"block": [name], "bucket": pa.array([bucket], pa.int32()), "levels": pa.array([squeeze(levels.astype(np.uint8).tobytes())], pa.binary())})
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for bucket, found in _received(batches).items():
+            grams, level, place = _counted(found)
+            levels, end = levels_of(grams, _segment(grams, level, segment, hashes)[None], hashes).astype(np.uint8)[place], 0
+            for name, own, _ in found:
+                start, end = end, end + len(own)
+                yield pa.RecordBatch.from_pydict({"block": [name], "bucket": pa.array([bucket], pa.int32()), "levels": pa.array([squeeze(levels[start:end].tobytes())], pa.binary())})
 
-    packets = gram_packets(blocks, buckets, True).select("bucket", "block", F.col("grams").alias("data"))
-    rows = filter_.select("bucket", F.lit(None).cast("string").alias("block"), F.col("bits").alias("data")).unionByName(packets)
-    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(probed, "block string, bucket int, levels binary")
+    # A bucket is a partition, so that no task holds several.
+    return gram_packets(blocks, buckets, True).repartitionById(buckets, F.col("bucket")).mapInArrow(probed, "block string, bucket int, levels binary")
 
 
 def _places(grams: np.ndarray, level: int, segment: int, hashes: int) -> Iterator[np.ndarray]:
@@ -351,16 +349,15 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_bits: int = MAX
     exact = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("exact"))
     # Levels of words, and at most one bigram's entry a token.
     bits = max(1 << 12, FILTER_BITS_EACH * (pairs + int(sums["levels"] or 0)))
-    filter_ = filter_of(blocks, buckets, bits)
-    released(spark)
     if bits <= max_bits:
+        filter_ = filter_of(blocks, buckets, bits)
+        released(spark)
         shared = spark.sparkContext.broadcast(gathered(filter_, buckets, bits))
         dropped(filter_)
         joined = blocks.join(exact, "block").withColumn("levels", F.lit(None).cast("array<struct<bucket:int,levels:binary>>"))
     else:
         shared = None
-        levels = written(block_levels(blocks, filter_, buckets), "levels")
-        dropped(filter_)
+        levels = written(block_levels(blocks, buckets, bits), "levels")
         levels = levels.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("levels"))
         joined = blocks.join(exact, "block").join(levels, "block")
     released(spark)
