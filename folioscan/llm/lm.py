@@ -10,19 +10,21 @@ token. Documents whose crc32(id) mod 5 isn't 1 are learnt from; all are scored.
    base_score needs nothing else.
 3. Words and bigrams of the learnt documents are counted by hash bucket. A count c is quantised to
    the level q = 1 + floor(log2 c), and (n-gram, 1) ... (n-gram, q) are put into a Bloom filter. A
-   bucket has a segment of the filter of its own, so segments are made in parallel. The filter has FILTER_BITS_EACH bits for each learnt token and each level of a word, whatever the corpus.
+   bucket has a segment of the filter of its own, so segments are made in parallel. The filter has
+   FILTER_BITS_EACH bits for each learnt token and each level of a word, whatever the corpus.
 4. Up to MAX_FILTER_BITS the filter is broadcast. A larger one is never in one place: each block's
    distinct n-grams go to their buckets, are probed against the same segments there, and their levels
-   come back to the block. Both ways probe the same bits, so scores are the same. An n-gram's level is found by probing levels 1, 2, ... until one misses; its count c' is the middle of
-   that level's range, and no bigram's count exceeds its words'. All of the model's probabilities come
-   from these probes: p(v) = (c'(v) + 1/2) / (N + (V + 1) / 2), and
-   p(v | u) = (c'(u v) + MU p(v)) / (c'(u) + MU), the context of the first token being an end.
+   come back to the block. Both ways probe the same bits, so scores are the same. An n-gram's level is
+   found by probing levels 1, 2, ... until one misses; its count c' is the middle of that level's
+   range, and no bigram's count exceeds its words'. All of the model's probabilities come from these
+   probes: p(v) = (c'(v) + 1/2) / (N + (V + 1) / 2), and p(v | u) = (c'(u v) + MU p(v)) / (c'(u) + MU),
+   the context of the first token being an end.
 
 Buckets are as many as the data need, about BUCKET_GRAMS n-grams each and LEAST_BUCKETS at least, so
-neither a task nor a score depends on the session's partitions. Null text: one end token. Null doc_id: learnt from. Repeated rows are counted and scored
-each. A long text makes a block of its own, as long as it is. Without rows, or with none to learn
-from, N and V are 0 and both scores are log10(1) a token. Ties: none. Only doc_id and text are read,
-so further columns don't matter.
+neither a task nor a score depends on the session's partitions. Null text: one end token. Null
+doc_id: learnt from. Repeated rows are counted and scored each. A long text makes a block of its own,
+as long as it is. Without rows, or with none to learn from, N and V are 0 and both scores are
+log10(1) a token. Ties: none. Only doc_id and text are read, so further columns don't matter.
 """
 
 from __future__ import annotations
