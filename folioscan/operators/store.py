@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.scalars import normalize_path, parent
+from folioscan.operators.lexical import TERMS, summed, term_statistics
 from folioscan.operators.search import in_folders
-from folioscan.schema import CHUNKS, DOCUMENTS
+from folioscan.schema import CHUNKS, DOCUMENTS, SCHEMA_NUMBER
 
 
 def statuses(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -113,8 +114,15 @@ class Store:
     Commits are numbered, and a number's file is created only if it isn't there: of two writers that
     start from the same state one comes first, and the other reads again and repeats. Readers see the
     highest number that is complete, old or new. Folders that none of the last KEPT commits names are
-    removed. The root's file system must create files exclusively, as HDFS and local ones do. Commits of
-    older kinds (one folder a bucket, buckets by hash, fewer columns) are read as they are.
+    removed. The root's file system must create files exclusively, as HDFS and local ones do.
+
+    A commit has the number of the schema it was written by. Commits of older kinds (without a number, one
+    folder a bucket, buckets by hash, fewer columns) are read and changed as they are, columns that they
+    lack being null; one of a later schema is refused.
+
+    terms: keep statistics of the chunks' words (lexical.TERMS). A commit adds a table of differences, for
+    what it adds and removes alone; after PARTS of them they become one table. Once kept they stay kept,
+    whoever writes; a store without them gets them from all its chunks.
     """
 
     KEPT, RETRIES = 10, 20
@@ -122,8 +130,8 @@ class Store:
     #: Paths of the first commit that ranges are settled by, for each bucket; words of vectors that may be broadcast.
     SAMPLED, BROADCAST_GONE = 20, 5_000_000
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
-        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, terms: bool = False) -> None:
+        self.spark, self.root, self._buckets, self._with_terms = spark, root.rstrip("/"), buckets, terms
 
     def _fs(self):  # noqa: ANN202
         jvm = self.spark._jvm
@@ -151,6 +159,8 @@ class Store:
         for number in reversed(names):
             found = self._load(number)
             if found:
+                if found.get("schema", 1) > SCHEMA_NUMBER:
+                    raise ValueError(f"{self.root} has schema {found['schema']}, this library knows {SCHEMA_NUMBER}")
                 return int(names[-1]), found
         return int(names[-1]) if names else 0, {"version": None, "buckets": self._buckets, "documents": {}, "chunks": {}}
 
@@ -166,6 +176,17 @@ class Store:
     def chunks(self) -> DataFrame:
         return self._read(self._state()[1], "chunks", CHUNKS)
 
+    def terms(self) -> DataFrame:
+        """word, chunks, occurrences (lexical.TERMS) of all chunks: the sum of what commits kept, or counted now where none did."""
+        state = self._state()[1]
+        kept = state.get("terms")
+        if kept is None:
+            return term_statistics(self._read(state, "chunks", CHUNKS).select("text"))
+        return summed(self._differences(kept))
+
+    def _differences(self, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(TERMS).parquet(*(f"{self.root}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], TERMS)
+
     def searchable(self, folders: Sequence[str] | None = None) -> DataFrame:
         """Chunks with their documents' path and title, of all documents or of those in the folders."""
         state = self._state()[1]
@@ -276,7 +297,7 @@ class Store:
             touched = sorted({*map(int, added), *map(int, lost)})
             crowded = [k for k in touched if len(_several(state["chunks"].get(str(k), []))) >= self.PARTS]
             anew = sorted({*crowded, *(k for k in map(int, lost) if before.get(str(k), 0) + lost[str(k)] > self.GONE_SHARE * rows.get(str(k), 0))})
-            content = {"version": number, "buckets": state["buckets"], "bounds": state.get("bounds"), "gone": {}}
+            content = {"version": number, "schema": SCHEMA_NUMBER, "buckets": state["buckets"], "bounds": state.get("bounds"), "gone": {}}
             for name, df, schema, by in (("documents", documents, DOCUMENTS, "id"), ("chunks", chunks, CHUNKS, "document_id")):
                 new = {k: _several(f) for k, f in state[name].items() if int(k) not in anew}
                 gone = {k: g for k, g in state.get("gone", {}).get(name, {}).items() if int(k) not in anew}
@@ -292,6 +313,8 @@ class Store:
                     gone |= self._marked(state, name, schema, by, ids.filter(self._bucket(F.col("id"), state).isin(marked)), marked, f"{folder}/gone-{name}")
                 content[name], content["gone"][name] = new, gone
             content["rows"] = rows | {str(k): rows.get(str(k), 0) - before.get(str(k), 0) - lost.get(str(k), 0) for k in anew}
+            if self._with_terms or state.get("terms") is not None:
+                content["terms"] = self._changed_terms(state, ids, [k for k in map(int, lost) if k not in anew], anew, folder)
             fs.mkdirs(path(f"{self.root}/_commits"))
             try:
                 stream = fs.create(path(f"{self.root}/_commits/{number}"), False)
@@ -306,6 +329,30 @@ class Store:
             return state, content
         raise ConflictError(self.root)
 
+    def _changed_terms(self, state: dict, ids: DataFrame, marked: list[int], anew: list[int], folder: str) -> list[str]:
+        """The folders of the words' statistics after a commit that wrote chunks into folder, marked ids in some buckets and wrote others anew."""
+
+        def of(rows: DataFrame, sign: int) -> DataFrame:
+            return term_statistics(rows.select("text")).select("word", (F.col("chunks") * sign).alias("chunks"), (F.col("occurrences") * sign).alias("occurrences"))
+
+        kept = state.get("terms")
+        new = [f"{self.root}/{f}" for f in self._folders(f"{folder}/chunks").values()]
+        parts = [of(self.spark.read.schema(CHUNKS).parquet(*new), 1)] if new else []
+        if kept is None:  # nothing was counted yet: all that stood there, as if it had been
+            kept = []
+            parts.append(of(self._read(state, "chunks", CHUNKS), 1))
+        if marked:
+            parts.append(of(self._read(state, "chunks", CHUNKS, marked).join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi"), -1))
+        if anew:  # what stays there was written once more
+            parts.append(of(self._read(state, "chunks", CHUNKS, anew), -1))
+        if len(kept) >= self.PARTS:
+            parts.append(self._differences(kept))
+            kept = []
+        if not parts:
+            return kept
+        summed(reduce(DataFrame.unionByName, parts)).write.parquet(f"{self.root}/{folder}/terms")
+        return [*kept, f"{folder}/terms"]
+
     def _clean(self) -> None:
         """Removes old commits, and the folders that no kept commit names."""
         fs, path = self._fs()
@@ -314,6 +361,7 @@ class Store:
             return
         kept = [c for n in numbers[-self.KEPT :] if (c := self._load(n))]
         named = {"/".join(f.split("/")[:2]) for c in kept for t in ("documents", "chunks") for f in [*(x for parts in c[t].values() for x in _several(parts)), *(g["folder"] for g in c.get("gone", {}).get(t, {}).values())]}
+        named |= {"/".join(f.split("/")[:2]) for c in kept for f in c.get("terms") or ()}
         for n in numbers[: -self.KEPT]:
             fs.delete(path(f"{self.root}/_commits/{n}"), False)
         oldest = numbers[-self.KEPT]

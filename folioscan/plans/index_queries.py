@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.operators import cells, search
+from folioscan.operators import cells, lexical, search
 from folioscan.operators.store import Store
 from folioscan.plans import catalogue as Q
 from folioscan.plans import corpus as C
 from folioscan.plans.oracles import _CORPUS, _EXISTING, _STATUSES
 from folioscan.plans.oracles import ORACLE_SQL as OTHERS
-from folioscan.sources import tables
+from folioscan.sources import files, tables
 from folioscan.streaming import changes
 
 
@@ -93,7 +93,33 @@ def q56_sections_by_sql(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q50_stream_statuses, q51_store_delete, q52_store_prune, q53_store_folder_search, q54_knn_inverted_lists, q55_chunks_by_sql, q56_sections_by_sql)}
+def q57_scan_report(spark: SparkSession, d: str) -> DataFrame:
+    """q34, q46 and q47 in one pass: the total, each extension, each large file."""
+    return files.scan_report(Q._page_files(spark, d), 3000)
+
+
+def q58_rerank_by_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of q05 ordered by BM25, with the words' statistics that a store kept over a first commit, an update of a third and a deletion."""
+    st = Store(spark, f"{Q._working_folder(spark)}/store", terms=True)
+    docs = C.corpus(spark, d).withColumn("mtime", F.lit(0.0))
+    vectors = C.table(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    third = F.col("document_id") % 3 == 0
+    for k, rows in enumerate((docs.withColumn("sha256", F.when(third, "old").otherwise(F.col("sha256"))).withColumn("text", F.when(third, "of the old").otherwise(F.col("text"))), docs.filter(third))):
+        chunks = rows.join(vectors, "document_id").select("path", F.lit(0).alias("chunk_index"), "text", F.lit("{}").alias("metadata"), F.lit(None).cast("int").alias("page"), "embedding")
+        st.upsert(rows.select("path", "title", "sha256", (F.col("mtime") + k).alias("mtime"), "size"), chunks)
+    st.delete(document_id=st.documents().filter("title = 'doc_5'").head()["id"])
+    rows = st.searchable().withColumn("document_id", _id_of())
+    hits = search.search(rows, C.query_vector(spark, d), 10, logit=lexical.bm25_logit(Q.QUESTION, st.terms()))
+    return hits.select("document_id", *(F.round(c, 6).alias(c) for c in ("score", "embedding_score", "rerank_score")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q50_stream_statuses, q51_store_delete, q52_store_prune, q53_store_folder_search, q54_knn_inverted_lists, q55_chunks_by_sql, q56_sections_by_sql, q57_scan_report, q58_rerank_by_corpus)}
+_SCANNED = (
+    "WITH p AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+', '') AS path, length(html)::BIGINT AS n FROM pages), "
+    "x AS (SELECT path, n, lower(regexp_extract(path, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS ext FROM p) "
+)
+# BM25 with k1 = 1.2 and b = 0.75, one term for each of the question's words in alphabetical order.
+_BM25 = " + ".join(f"ln(1 + (n - df[{k}] + 0.5) / (df[{k}] + 0.5)) * len(list_filter(ws, lambda x: x = '{w}')) * 2.2 / (len(list_filter(ws, lambda x: x = '{w}')) + 1.2 * (0.25 + 0.75 * len(ws) / (total / n)))" for k, w in enumerate(["and", "is", "of", "the", "what"], 1))
 _LATER = "SELECT {k} AS round, document_id, path, {status} AS status FROM corpus"
 ORACLE_SQL: dict[str, str] = {
     "q50_stream_statuses": f"WITH {_CORPUS}, {_EXISTING}, {_STATUSES} SELECT 0 AS round, document_id, path, status FROM st UNION ALL "
@@ -104,4 +130,11 @@ ORACLE_SQL: dict[str, str] = {
     "q54_knn_inverted_lists": OTHERS["q04_knn_batch"],
     "q55_chunks_by_sql": OTHERS["q13_chunk_paged"],
     "q56_sections_by_sql": OTHERS["q14_md_sections"],
+    "q57_scan_report": _SCANNED + "SELECT 'total' AS kind, NULL::VARCHAR AS name, count(*) AS file_count, coalesce(sum(n), 0)::BIGINT AS total_size, count(*) FILTER (n >= 3000) AS large_count FROM x "
+    "UNION ALL SELECT 'type', ext, count(*), sum(n)::BIGINT, count(*) FILTER (n >= 3000) FROM x GROUP BY ext UNION ALL SELECT 'large', path, count(*), sum(n)::BIGINT, count(*) FROM x WHERE n >= 3000 GROUP BY path, n",
+    "q58_rerank_by_corpus": f"WITH {_CORPUS}, t AS (SELECT c.document_id, list_filter(string_split_regex(lower(c.text), '\\s+'), lambda x: x <> '') AS ws, list_inner_product(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS raw "
+    "FROM embeddings e JOIN corpus c ON e.vec_id = c.document_id WHERE c.document_id <> 5), "
+    "s AS (SELECT count(*) AS n, sum(len(ws)) AS total, [count(*) FILTER (list_contains(ws, 'and')), count(*) FILTER (list_contains(ws, 'is')), count(*) FILTER (list_contains(ws, 'of')), count(*) FILTER (list_contains(ws, 'the')), count(*) FILTER (list_contains(ws, 'what'))] AS df FROM t), "
+    f"h AS (SELECT document_id, raw, {_BM25} AS logit FROM (SELECT * FROM t ORDER BY raw DESC, document_id LIMIT 30) c, s) "
+    "SELECT document_id, round(1 / (1 + exp(-logit)), 6) AS score, round(raw, 6) AS embedding_score, round(logit, 6) AS rerank_score FROM h ORDER BY 1 / (1 + exp(-logit)) DESC, raw DESC, document_id LIMIT 10",
 }

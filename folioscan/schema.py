@@ -15,6 +15,8 @@ def _table(*columns: tuple[str, T.DataType]) -> T.StructType:
 _TEXT, _LONG, _INT, _TIME = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
 DOCUMENTS = _table(("id", _LONG), ("path", _TEXT), ("title", _TEXT), ("sha256", _TEXT), ("mtime", T.DoubleType()), ("size", _LONG), ("created_at", _TIME), ("updated_at", _TIME))
 CHUNKS = _table(("document_id", _LONG), ("chunk_index", _INT), ("text", _TEXT), ("metadata", _TEXT), ("page", _INT), ("embedding", T.ArrayType(T.FloatType())))
+#: Counts changes of these tables and of what a commit says; 1 is what had no number.
+SCHEMA_NUMBER = 2
 DEFAULT_CHUNK_CHARS, DEFAULT_OVERLAP = 500, 50
 CONTEXT_CHARS, SMALL_DOCUMENT, WINDOW, MIN_REMAINDER = 16_000, 20, 10, 100
 

@@ -247,3 +247,20 @@ def large_files(files: DataFrame, large: int = LARGE_FILE) -> DataFrame:
 def scan_stats(files: DataFrame, large: int = LARGE_FILE) -> DataFrame:
     """ext, file_count, total_size, large_count: what an input holds. Columns: path, length."""
     return files.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_size"), F.count_if(F.col("length") >= large).alias("large_count"))
+
+
+def scan_report(files: DataFrame, large: int = LARGE_FILE) -> DataFrame:
+    """kind, name, file_count, total_size, large_count, in one pass and one shuffle. Columns: path, length.
+
+    A row of kind total; one of kind type for each extension (name); one of kind large for each path
+    (name) and length of large files. All large files are listed, each as a group, so no task holds
+    them all; the other files are one group there, which is summed before it moves and left out.
+    """
+    big = F.col("length") >= large
+    rows = files.select("length", big.alias("is_large"), extension(F.col("path")).alias("ext"), F.when(big, F.col("path")).alias("at"), F.when(big, F.col("length")).alias("size"), F.lit(1).cast("long").alias("n"))
+    # A row that counts for nothing, so that there is a total of no files too.
+    rows = rows.unionByName(files.sparkSession.range(1).select(F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
+    sets = rows.groupingSets([[], ["ext"], ["at", "size"]], "ext", "at", "size")
+    out = sets.agg(F.grouping_id().alias("set"), F.sum("n").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_size"), F.count_if("is_large").alias("large_count"))
+    kind = F.when(F.col("set") == 3, "type").when(F.col("set") == 4, "large").otherwise("total")
+    return out.filter("set = 7 OR (set = 3 AND file_count > 0) OR size IS NOT NULL").select(kind.alias("kind"), F.coalesce("ext", "at").alias("name"), "file_count", "total_size", "large_count")

@@ -1,15 +1,17 @@
 """State of streams, deletion vectors, ranges of paths and inverted lists, beside what test_catalogue compares with SQL."""
 
 import json
+import math
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import cells, search
+from folioscan.operators import cells, lexical, search
 from folioscan.operators.store import Store
-from folioscan.sources import tables
+from folioscan.schema import SCHEMA_NUMBER
+from folioscan.sources import files, tables
 from folioscan.streaming import changes
 from tests.test_operators import store_rows
 
@@ -141,10 +143,10 @@ def test_readers_in_sql(spark):
     """Files of all kinds, one that can't be read, null contents; sizes by default."""
     rows = [(1, "a/b.TXT", b"One sentence here. Another one follows it."), (2, "c\\d.md", "# T\nBody é\n## U\n**x**".encode()), (3, "bad.docx", b"no zip"), (4, "x.txt", None), (5, "y.bin", b"z"), (6, None, b"z"), (7, "e.txt", b" ")]
     tables.register(spark)
-    files = spark.createDataFrame(rows, "k int, path string, content binary")
-    pages = spark.sql("SELECT k, page, p.text, error IS NOT NULL AS bad FROM {f}, LATERAL file_pages(path, content) p", f=files)
+    contents = spark.createDataFrame(rows, "k int, path string, content binary")
+    pages = spark.sql("SELECT k, page, p.text, error IS NOT NULL AS bad FROM {f}, LATERAL file_pages(path, content) p", f=contents)
     assert sorted(map(tuple, pages.collect()), key=str) == sorted([(1, 1, "One sentence here. Another one follows it.", False), (2, 1, "T\nBody é\n", False), (2, 2, "U\nx\n", False), (3, None, None, True)], key=str)
-    chunks = spark.sql("SELECT k, chunk_index, page FROM {f}, LATERAL file_chunks(path, content, NULL, NULL) c WHERE error IS NULL", f=files)
+    chunks = spark.sql("SELECT k, chunk_index, page FROM {f}, LATERAL file_chunks(path, content, NULL, NULL) c WHERE error IS NULL", f=contents)
     assert sorted(map(tuple, chunks.collect())) == [(1, 0, 1), (2, 0, 1)]
 
 
@@ -162,3 +164,89 @@ def test_inverted_lists_of_nothing(spark, tmp_path):
     assert cells.top_k_each(cells.inverted_lists(none, f"{tmp_path}/x"), queries, 3)[0].collect() == []
     one = spark.createDataFrame([(1, 0, [2.0])], "document_id long, chunk_index int, embedding array<float>")
     assert [r.score for r in cells.top_k_each(cells.inverted_lists(one, f"{tmp_path}/y"), queries, 3)[0].collect()] == [2.0]
+
+
+def counted(texts):
+    """word: (texts, occurrences) as lexical.TERMS has them, by plain counting."""
+    out = {}
+    for t in texts:
+        ws = (t or "").lower().split()
+        for w, n in [*((w, ws.count(w)) for w in set(ws)), ("", len(ws))]:
+            old = out.get(w, (0, 0))
+            out[w] = (old[0] + 1, old[1] + n)
+    return out
+
+
+def terms_of(rows):
+    return {r.word: (r.chunks, r.occurrences) for r in rows.collect()}
+
+
+def test_term_statistics(spark):
+    texts = ["a b a", "B  c\tb", "", None, "  ", "a", "a", "x " * 5000]
+    assert terms_of(lexical.term_statistics(spark.createDataFrame([(t,) for t in texts], "text string"))) == counted(texts)
+    assert terms_of(lexical.term_statistics(spark.createDataFrame([], "text string"))) == {}
+
+
+def test_store_keeps_term_statistics(spark, tmp_path, monkeypatch):
+    """Inserts, updates, deletions, buckets written anew, tables added up, a writer that doesn't ask for them: always those of the chunks there are."""
+    monkeypatch.setattr(Store, "PARTS", 2)
+    st = Store(spark, f"file://{tmp_path}/store", buckets=2, terms=True)
+    right = lambda: terms_of(st.terms()) == counted([r.text for r in st.chunks().collect()])
+    st.upsert(*store_rows(spark, *((f"/d/{k}", f"one two {k}") for k in range(12))))
+    assert right() and terms_of(st.terms())["two"] == (12, 12)
+    other = Store(spark, f"file://{tmp_path}/store")
+    other.upsert(*store_rows(spark, ("/d/1", "two two"), ("/d/2", "one two 2"), ("/e", "more")))
+    assert right() and terms_of(st.terms())["two"] == (12, 13)
+    assert other.delete(path="/d/3") and right()
+    assert st.prune(spark.createDataFrame([("/d/1",), ("/e",)], "path string")) == 10 and right()
+    assert terms_of(st.terms()) == {"two": (1, 2), "more": (1, 1), "": (2, 3)}
+    assert other.delete(path="/e") and other.delete(path="/d/1") and terms_of(st.terms()) == {}
+
+
+def test_store_counts_terms_later(spark, tmp_path):
+    """A store without statistics: counted when asked, kept from the first commit on that asks for them."""
+    plain = Store(spark, f"file://{tmp_path}/store", buckets=2)
+    plain.upsert(*store_rows(spark, ("/a", "x y"), ("/b", "y")))
+    assert plain._state()[1].get("terms") is None and terms_of(plain.terms()) == counted(["x y", "y"])
+    st = Store(spark, f"file://{tmp_path}/store", terms=True)
+    st.upsert(*store_rows(spark, ("/b", "z")))
+    assert st._state()[1]["terms"] and terms_of(st.terms()) == counted(["x y", "z"])
+
+
+def test_later_schema_is_refused(spark, tmp_path):
+    st = Store(spark, f"file://{tmp_path}/store", buckets=2)
+    st.upsert(*store_rows(spark, ("/a", "x")))
+    at = tmp_path / "store" / "_commits" / st.version()
+    (at.parent / f".{at.name}.crc").unlink()
+    content = json.loads(at.read_text())
+    assert content["schema"] == SCHEMA_NUMBER
+    at.write_text(json.dumps(content | {"schema": SCHEMA_NUMBER + 1}) + "\n")
+    with pytest.raises(ValueError, match="schema"):
+        st.documents()
+
+
+def test_bm25(spark):
+    """Against the formula in plain Python; unknown words, empty texts, no statistics."""
+    texts = ["red blue red", "blue", "", "green blue green green", None]
+    df = spark.createDataFrame([(k, 0, 0.5, t) for k, t in enumerate(texts)], "document_id long, chunk_index int, score double, text string")
+    terms = lexical.term_statistics(df)
+    got = {r.document_id: r.rerank_score for r in search.reranked(df, lexical.bm25_logit("Red GREEN red nowhere", terms), 9).collect()}
+    n, length = 5, 8 / 5
+    for k, t in enumerate(texts):
+        ws, want = (t or "").split(), 0.0
+        for w, found in (("green", 1), ("nowhere", 0), ("red", 1)):
+            want += math.log(1 + (n - found + 0.5) / (found + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / length))
+        assert got[k] == pytest.approx(want)
+    assert {r.rerank_score for r in search.reranked(df, lexical.bm25_logit("red", terms.filter("false")), 9).collect()} == {0.0}
+
+
+def test_scan_report(spark):
+    """All three kinds from one scan; repeated paths, null paths and lengths, no extension, nothing at all."""
+    rows = [("a/x.TXT", 10), ("a/y.txt", 99), ("a/y.txt", 99), ("a/y.txt", 100), ("b", 500), (None, 7), ("c.md", None)]
+    df = spark.createDataFrame(rows, "path string, length long")
+    got = {(r.kind, r.name, r.total_size): (r.file_count, r.large_count) for r in files.scan_report(df, 99).collect()}
+    types = {(("type", r.ext, r.total_size)): (r.file_count, r.large_count) for r in files.scan_stats(df, 99).collect()}
+    assert got == {("total", None, 815): (7, 4), ("large", "a/y.txt", 198): (2, 2), ("large", "a/y.txt", 100): (1, 1), ("large", "b", 500): (1, 1)} | types
+    plan = files.scan_report(df, 99)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert [(r.kind, r.file_count, r.total_size) for r in files.scan_report(df.limit(0)).collect()] == [("total", 0, 0)]
