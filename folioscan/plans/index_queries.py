@@ -13,7 +13,7 @@ from folioscan.plans import catalogue as Q
 from folioscan.plans import corpus as C
 from folioscan.plans.oracles import _CORPUS, _EXISTING, _STATUSES
 from folioscan.plans.oracles import ORACLE_SQL as OTHERS
-from folioscan.sources import files, tables
+from folioscan.sources import files, store_source, tables
 from folioscan.streaming import changes
 
 
@@ -113,7 +113,26 @@ def q58_rerank_by_corpus(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("document_id", *(F.round(c, 6).alias(c) for c in ("score", "embedding_score", "rerank_score")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q50_stream_statuses, q51_store_delete, q52_store_prune, q53_store_folder_search, q54_knn_inverted_lists, q55_chunks_by_sql, q56_sections_by_sql, q57_scan_report, q58_rerank_by_corpus)}
+def q59_store_source(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their vectors handed in by two jobs through the data source, absorbed, a seventh pruned; one folder read back by a pushed filter, with chunks counted."""
+    store_source.register(spark)
+    root = f"{Q._working_folder(spark)}/store"
+    docs = C.corpus(spark, d).withColumn("mtime", F.lit(0.0))
+    chunk = F.struct(F.lit(0).alias("chunk_index"), F.lit("").alias("text"), F.lit("{}").alias("metadata"), F.lit(None).cast("int").alias("page"), "embedding")
+    vectors = C.table(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.array(chunk).alias("chunks"))
+    rows = docs.join(vectors, "document_id", "left")
+    for half in (0, 1):
+        rows.filter(F.col("document_id") % 2 == half).select("path", "title", "sha256", "mtime", "size", "chunks").write.format("folioscan").mode("append").save(root)
+    st = Store(spark, root)
+    store_source.absorb(st)
+    st.prune(docs.filter("document_id % 7 != 0").select("path"))
+    source = spark.read.format("folioscan")
+    counts = source.option("table", "chunks").load(root).groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunk_count"))
+    found = source.option("table", "documents").load(root).filter(F.col("path").startswith("/src1/")).join(counts, "id", "left")
+    return found.select(_id_of().alias("document_id"), "path", F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q50_stream_statuses, q51_store_delete, q52_store_prune, q53_store_folder_search, q54_knn_inverted_lists, q55_chunks_by_sql, q56_sections_by_sql, q57_scan_report, q58_rerank_by_corpus, q59_store_source)}
 _SCANNED = (
     "WITH p AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+', '') AS path, length(html)::BIGINT AS n FROM pages), "
     "x AS (SELECT path, n, lower(regexp_extract(path, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS ext FROM p) "
@@ -130,6 +149,7 @@ ORACLE_SQL: dict[str, str] = {
     "q54_knn_inverted_lists": OTHERS["q04_knn_batch"],
     "q55_chunks_by_sql": OTHERS["q13_chunk_paged"],
     "q56_sections_by_sql": OTHERS["q14_md_sections"],
+    "q59_store_source": f"WITH {_CORPUS} SELECT document_id, path, count(e.vec_id) AS chunk_count FROM corpus c LEFT JOIN embeddings e ON e.vec_id = c.document_id WHERE starts_with(path, '/src1/') AND document_id % 7 <> 0 GROUP BY 1, 2",
     "q57_scan_report": _SCANNED + "SELECT 'total' AS kind, NULL::VARCHAR AS name, count(*) AS file_count, coalesce(sum(n), 0)::BIGINT AS total_size, count(*) FILTER (n >= 3000) AS large_count FROM x "
     "UNION ALL SELECT 'type', ext, count(*), sum(n)::BIGINT, count(*) FILTER (n >= 3000) FROM x GROUP BY ext UNION ALL SELECT 'large', path, count(*), sum(n)::BIGINT, count(*) FROM x WHERE n >= 3000 GROUP BY path, n",
     "q58_rerank_by_corpus": f"WITH {_CORPUS}, t AS (SELECT c.document_id, list_filter(string_split_regex(lower(c.text), '\\s+'), lambda x: x <> '') AS ws, list_inner_product(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS raw "

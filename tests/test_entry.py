@@ -21,7 +21,7 @@ def test_entry(spark):
 
 def test_without_subpackage():
     found = names("sys.modules['folioscan.llm'] = None; sys.modules['corpus_pipeline'] = None; ")
-    assert len(found) == 58 and not any(n.startswith("op") for n in found)
+    assert len(found) == 59 and not any(n.startswith("op") for n in found)
     assert set(found) <= set(names(""))
 
 
@@ -31,7 +31,7 @@ def test_errors_inside_are_raised(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
     shutil.rmtree(tmp_path / "folioscan" / "llm", ignore_errors=True)
-    assert run().stdout.split() == ["58"]
+    assert run().stdout.split() == ["59"]
     (tmp_path / "folioscan" / "llm").mkdir()
     (tmp_path / "folioscan" / "llm" / "__init__.py").write_text("")
     (tmp_path / "folioscan" / "llm" / "queries.py").write_text("import a_module_that_is_missing\n")
