@@ -4,16 +4,18 @@
    of them, an expected number, chosen by hash) terms, that is words and word beginnings of 4 to 6
    letters, are counted by document and label. Terms that toxic documents use much more often are
    dealt by rank to LEXICONS lexicons of words and as many of beginnings.
-2. Voters: each lexicon votes toxic where enough of its terms occur; a density voter votes
-   toxic or not by the share of lexicon words; pattern voters look at shouting and exclamation.
-   A voter that sees nothing abstains.
+2. Voters: each lexicon votes toxic where enough of its terms occur; two counting voters vote toxic
+   from several lexicon words, or beginnings, on, and not toxic where there is none; pattern voters
+   look at shouting and exclamation. A voter that sees nothing abstains. They vote on the labelled
+   rows and on others that aren't held out, whose labels nobody knows (at most FIT_ROWS, an expected
+   number, chosen by hash).
 3. Label model: votes are generated from a hidden label. Expectation maximisation estimates each
    voter's accuracy (its votes' probabilities given the label) and the class balance; correlations
    of voters given the label are estimated with it, and correlated voters share their weight, so
    voters that see the same thing don't count twice.
 4. A logistic regression over terms learns the posterior labels and scores every whole text. It sees
-   at most FEATURES terms, which is what is broadcast. Its offset is set so that 0.5 divides the same
-   rows' labels best; the order of scores is the posteriors' work.
+   at most FEATURES terms, which is what is broadcast. Its offset is set so that 0.5 divides the
+   labelled rows best; the order of scores is the posteriors' work.
 
 Words are runs of letters, in lower case. Null and empty texts get the score of a document without
 terms. Long texts are scored whole, one at a time. Null ids are scored and never learnt from;
@@ -42,6 +44,8 @@ if TYPE_CHECKING:
 FIT_ROWS, FEATURES, LEXICON_TERMS, LEXICONS = 30_000, 6_000, 2_000, 4
 #: A lexicon of words, and one of beginnings, votes from so many of its terms on.
 WORD_HITS, BEGINNING_HITS = 1, 1
+#: The counting voters vote toxic from so many lexicon words, and beginnings, on.
+SEVERAL_WORDS, SEVERAL_BEGINNINGS = 2, 3
 #: How sure a term must be: its toxic documents less their root are this share of all it occurs in.
 LEXICON_SHARE, FEATURE_SHARE = 0.5, 0.25
 BEGINNINGS = (4, 5, 6)
@@ -62,13 +66,13 @@ class Lexicons:
         """1 toxic, -1 not, 0 abstains, for each voter."""
         terms = terms_of(text)
         hits = Counter(self.place[t] for t in terms if t in self.place)
-        words = sum(1 for t in terms if t[0] != "^") or 1
         found = sum(n for k, n in hits.items() if k < LEXICONS)
+        started = sum(n for k, n in hits.items() if k >= LEXICONS)
         letters = sum(map(str.isalpha, text)) or 1
         upper = sum(map(str.isupper, text)) / letters
         out = [1 if hits[k] >= (WORD_HITS if k < LEXICONS else BEGINNING_HITS) else 0 for k in range(2 * LEXICONS)]
-        out.append(1 if found >= 0.004 * words and found > 1 else -1 if found <= 0.001 * words else 0)
-        out.append(-1 if not hits else 0)
+        out.append(1 if found >= SEVERAL_WORDS else 0 if found else -1)
+        out.append(1 if started >= SEVERAL_BEGINNINGS else 0 if started else -1)
         out.append(1 if text.count("!") > 0.02 * len(text) and found else 0)
         out.append(1 if upper > 0.5 and found else 0)
         return out
@@ -181,7 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
         return None
     share = min(1.0, FIT_ROWS / total)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share))
-    rows = written(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")  # bounded by FIT_ROWS
+    doc_id = F.col("doc_id").cast("long")
+    unlabelled = doc_id.isNotNull() & (remainder(doc_id) != 0) & (F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / max(1, docs.count()))))
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id", "left")  # both bounded by FIT_ROWS
+    rows = written(texts.filter(F.col("toxic").isNotNull() | unlabelled).select("doc_id", "text", "toxic"), "voted")
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -196,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
             part = terms[a : a + 50_000]
             yield pa.RecordBatch.from_pydict({"term": part, "neg": [n[0][t] for t in part], "pos": [n[1][t] for t in part]})
 
-    counts = rows.select("text", "toxic").mapInArrow(counted, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("neg + pos >= 4")
+    counts = rows.filter("toxic IS NOT NULL").select("text", "toxic").mapInArrow(counted, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("neg + pos >= 4")
     counts = written(counts, "terms")
     whole = counts.filter("term = ''").head()
     if whole is None or not whole["neg"] or not whole["pos"]:
@@ -233,7 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
     places = [flat[a:b].astype(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     weight, bias = fit_linear(places, np.clip(p, 1e-3, 1 - 1e-3), len(features))
     z = np.array([weight[k].sum() for k in places]) + bias
-    offset = cut(z, learnt.column("toxic").to_numpy().astype(np.float64))
+    toxic = learnt.column("toxic").to_pandas().to_numpy(np.float64)
+    labelled = ~np.isnan(toxic)
+    offset = cut(z[labelled], toxic[labelled])
     return Toxicity({t: float(weight[k]) for t, k in features.items()}, bias - offset, model)
 
 

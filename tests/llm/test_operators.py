@@ -437,6 +437,27 @@ def test_shouting_late_in_a_long_text():
     assert lexicons.votes("grumblix " + "LOUD WORDS " * 2000 + "quiet words " * 4000)[-1] == 0
 
 
+def test_counting_voters():
+    lexicons = toxicity.Lexicons({"grumblix": 0, "snarvolt": 1, "^grum": 4, "^grumb": 5, "^snar": 6})
+    counting = lambda text: lexicons.votes(text)[2 * toxicity.LEXICONS : 2 * toxicity.LEXICONS + 2]
+    assert [counting(t) for t in ("", "calm words", "grumblix", "grumblix grumblix", "a grumblix, a snarvolt", "grumpy")] == [[-1, -1], [-1, -1], [0, 0], [0, 0], [1, 1], [-1, 0]]
+
+
+def test_toxicity_learns_from_rows_without_labels_but_never_from_held_out_ones(spark):
+    """Unlabelled rows change the weights; held-out rows, and labels of theirs, don't."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    made = [(k, " ".join([word() for _ in range(15)] + (rng.sample(["grumblix", "snarvolt", "blethorn"], 2) if k % 5 == 0 else []))) for k in range(900)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k, _ in made if k < 400], "doc_id long, toxic int")
+    model = lambda rows, labels: toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels)
+    whole = model(made, labels)
+    other = model([(k, "snarvolt quiet" if held(k) else t) for k, t in made], labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int")))
+    assert whole.weight.keys() == other.weight.keys() and all(abs(w - other.weight[t]) < 1e-9 for t, w in whole.weight.items()) and abs(whole.bias - other.bias) < 1e-9
+    fewer = model([(k, t) for k, t in made if k < 400], labels)
+    assert fewer.weight.keys() == whole.weight.keys() and fewer.weight != whole.weight
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 8)))
