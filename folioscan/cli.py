@@ -1,8 +1,9 @@
-"""Command line: index, scan, search, list, prune, stats, directories. python -m folioscan.cli --root DIR COMMAND ..."""
+"""Command line: index, scan, search, ask, list, prune, stats, directories. python -m folioscan.cli --root DIR COMMAND ..."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 
@@ -10,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions.scalars import snippet
-from folioscan.operators import indexer, search, store
+from folioscan.operators import answers, indexer, search, store
 from folioscan.operators.store import Store
 from folioscan.schema import DEFAULT_CHUNK_CHARS, DEFAULT_OVERLAP, IndexConfig
 from folioscan.sources.files import EXTENSIONS, large_files, list_documents, scan_stats, scan_totals
@@ -45,6 +46,19 @@ def chunk_rows(st: Store):  # noqa: ANN201  a DataFrame
     return st.chunks().join(docs, "document_id")
 
 
+def folder_names(raw: list[str] | None) -> list[str] | None:
+    """Folders without file:// and blanks; None where none is left."""
+    return [plain for f in raw or () if (plain := f.strip().removeprefix("file://"))] or None
+
+
+def chat_of(name: str | None) -> answers.Chat:
+    """The function that module:function names; without a name, one that returns the prompt as JSON."""
+    if not name:
+        return lambda messages: json.dumps(messages, ensure_ascii=False)
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="folioscan")
     parser.add_argument("--root", required=True, help="folder of the index")
@@ -61,6 +75,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     one.add_argument("--top-k", type=int, default=10)
     one.add_argument("--folder", action="append")
     one.add_argument("--json", action="store_true")
+    one = commands.add_parser("ask", help="answer a question from the index")
+    one.add_argument("query")
+    one.add_argument("--top-k", type=int, default=3)
+    one.add_argument("--folder", action="append")
+    one.add_argument("--rerank", action="store_true", help="rerank by the question's words")
+    one.add_argument("--chat", help="module:function that answers a list of messages; without it the prompt is printed")
     commands.add_parser("list")
     commands.add_parser("prune")
     commands.add_parser("stats")
@@ -78,14 +98,20 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         if not query:
             parser.error("empty query")
         vector = indexer.hashing_encoder()([query])[0]
-        folders = [plain for f in args.folder or () if (plain := f.strip().removeprefix("file://"))] or None
-        hits = search.top_k(chunk_rows(st), vector, max(1, min(args.top_k, 50)), folders)
+        hits = search.top_k(chunk_rows(st), vector, max(1, min(args.top_k, 50)), folder_names(args.folder))
         if args.json:
             found = hits.select("path", "title", "chunk_index", "score", "text", F.from_json("metadata", "title STRING, page INT").alias("metadata"))
             print(json.dumps({"results": [json.loads(r) for r in found.toJSON().collect()]}, ensure_ascii=False))
             return 0
         rows = hits.select(F.format_string("%.4f", "score").alias("score"), "path", "chunk_index", snippet(F.col("text")).alias("snippet")).collect()
         print("\n".join("\t".join(map(str, r)) for r in rows) or "No matches found.")
+    elif args.command == "ask":
+        question = args.query.strip()
+        if not question:
+            parser.error("empty query")
+        logit = search.lexical_logit(question) if args.rerank else None
+        answer = answers.ask_store(st, question, chat_of(args.chat), max(1, min(args.top_k, 50)), folder_names(args.folder), logit)
+        print(answer.select("answer", "sources").toJSON().first())
     elif args.command == "scan":
         found = list_documents(spark, args.inputs).drop("content").persist()
         by_type = {r["ext"]: r["file_count"] for r in scan_stats(found).collect()}
