@@ -50,6 +50,24 @@ def test_stream_keeps_its_state(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == seen
 
 
+def test_stream_state_is_asked_by_groups(spark, tmp_path, monkeypatch):
+    """State has one value a group of paths, not one a path, and each path is still compared with its own last hash."""
+    monkeypatch.setattr(changes, "GROUPS", 8, raising=False)
+    schema = "path string, sha256 string, mtime double"
+    known = spark.createDataFrame([(f"a\\{k}", "old" if k % 2 else "h") for k in range(0, 100, 4)] + [(f"gone/{k}", "h") for k in range(50)] + [(None, "h")], "path string, sha256 string")
+    rows = spark.readStream.schema(schema).parquet(f"{tmp_path}/in*")
+    want = []
+    for n, hashes in enumerate(("h", "h", "x")):
+        made = [(f"a/{k}", hashes if k % 3 == 0 else "h", float(n)) for k in range(100)] + [(None, "h", float(n))]
+        want += [(n, p, "skipped" if p is None or n == 1 or n == 2 and h == "h" or n == 0 and int(p[2:]) % 4 == 0 else "updated" if n else "inserted") for p, h, _ in made]
+        spark.createDataFrame(made, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        query = changes.detect(rows, f"{tmp_path}/out", f"{tmp_path}/check", known)
+        query.awaitTermination()
+        assert 0 < query.lastProgress.stateOperators[0].numRowsTotal <= 8
+    got = [(int(r.mtime), r.path, r.status) for r in spark.read.schema(changes.OUT).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_deleting_writes_no_data_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Store, "GONE_SHARE", 0.5)
     st = Store(spark, f"file://{tmp_path}/store", buckets=2)
