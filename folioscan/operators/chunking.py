@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions.batches import in_batches, small_batches, values
+
 # Where sentences and paragraphs end, and what is too short to stand alone.
 SHORT_FRAGMENT = 20
 _END = re.compile(r"(?<=[.!?])\s+(?=[A-Z\u00C0-\u024F\d\"'(\[])|(?<=\n)\n+")
@@ -43,6 +45,22 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in out if s.strip()]
 
 
+def _cut(docs: DataFrame, key: str, columns: str, parts: Callable[[str], Iterable[tuple]], text: int) -> DataFrame:
+    """key and columns (int or string): the tuples that parts(text) gives for each row; the one at place text is a text. Parts leave the task in bounded pieces, as they are made."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        given = [(c, pa.int32() if kind == "int" else pa.string()) for c, kind in (x.split() for x in columns.split(", "))]
+        for batch in batches:
+            rows = ((name, *part) for name, t in values([batch]) for part in parts(t or ""))
+            yield from in_batches(rows, pa.schema([(key, batch.column(0).type), *given]), lambda row: len(row[text + 1]))
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, {columns}")
+
+
 def sentence_rows(docs: DataFrame, key: str) -> DataFrame:
     """key, sentence (from 0), text: the sentences of the column text, in one pass over each."""
 
@@ -89,22 +107,11 @@ def text_pages(text: str) -> list[tuple[int, str]]:
 def chunked(docs: DataFrame, key: str, max_chars: int, overlap: int, paged: bool = False) -> DataFrame:
     """key, chunk_index, text, page: sentence-aware chunks of the column text, or of its virtual pages."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def parts(text: str) -> Iterator[tuple[int, str, int]]:
+        for k, (chunk, page) in enumerate(sentence_chunks(text_pages(text) if paged else [(1, text)], max_chars, overlap)):
+            yield k, chunk, page
 
-        for batch in batches:
-            keys, index, texts, pages = [], [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = text_pages(text or "") if paged else [(1, text or "")]
-                for k, (chunk, page) in enumerate(sentence_chunks(parts, max_chars, overlap)):
-                    keys.append(name)
-                    index.append(k)
-                    texts.append(chunk)
-                    pages.append(page)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(pages, pa.int32())], names=[key, "chunk_index", "text", "page"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, chunk_index int, text string, page int")
+    return _cut(docs, key, "chunk_index int, text string, page int", parts, 1)
 
 
 def paged(docs: DataFrame, key: str) -> DataFrame:

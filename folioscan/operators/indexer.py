@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions.batches import small_batches
 from folioscan.functions.scalars import normalize_path
 from folioscan.operators.store import Store, index_stats
 from folioscan.schema import IndexConfig
 from folioscan.sources.files import parsed, plain_path, sha256_of
 
 Encoder = Callable[[list[str]], list[list[float]]]
+#: Texts of one call of an encoder; their vectors are lists of Python numbers until Arrow has them.
+ENCODED = 512
 
 
 def hashing_encoder(dimension: int = 64) -> Encoder:
@@ -39,13 +42,16 @@ def hashing_encoder(dimension: int = 64) -> Encoder:
 
 
 def embedded(rows: DataFrame, encoder: Callable[[], Encoder], column: str = "text") -> DataFrame:
-    """rows with embedding. encoder() is called once a task, and gets Arrow batches."""
+    """rows with embedding. encoder() is called once a task, and gets at most ENCODED texts at a time."""
+    small_batches(rows.sparkSession)
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
         for texts in batches:
-            yield pd.Series(encode(texts.fillna("").tolist()), index=texts.index)
+            for k in range(0, len(texts), ENCODED):
+                some = texts.iloc[k : k + ENCODED]
+                yield pd.Series(encode(some.fillna("").tolist()), index=some.index)
 
     # So called, no filter on the vector is pushed below it, where the encoder would run once more.
     return rows.withColumn("embedding", embed.asNondeterministic()(F.col(column)))

@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.functions.batches import in_batches, small_batches, values
 from folioscan.functions.scalars import MARKDOWN, clean_markdown, extension, markdown_sections, strip
 from folioscan.operators.chunking import sentence_chunks, text_pages
 from folioscan.sources import pdf
@@ -177,6 +178,7 @@ def file_title(name: str, data: bytes) -> str:
 def parsed(files: DataFrame, max_chars: int, overlap: int, readers: dict[str, Callable[[bytes], list[Page]]] | None = None) -> DataFrame:
     """One row a file: path, status (ok, empty, error), error, sha256, mtime, size, title, chunks (index, text, page)."""
     readers = READERS if readers is None else readers
+    small_batches(files.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -184,9 +186,9 @@ def parsed(files: DataFrame, max_chars: int, overlap: int, readers: dict[str, Ca
         import pyarrow as pa
 
         kinds = pa.schema([("path", pa.string()), ("status", pa.string()), ("error", pa.string()), ("sha256", pa.string()), ("mtime", pa.float64()), ("size", pa.int64()), ("title", pa.string()), ("chunks", pa.list_(pa.struct([("index", pa.int32()), ("text", pa.string()), ("page", pa.int32())])))])
-        for batch in batches:
-            rows = []
-            for path, mtime, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+
+        def each() -> Iterator[tuple]:
+            for path, mtime, data in values(batches):
                 name = path.replace("\\", "/").rsplit("/", 1)[-1]
                 stem, dot, ext = name.rpartition(".")
                 row = {"path": path, "status": "ok", "error": None, "sha256": hashlib.sha256(data).hexdigest(), "mtime": mtime, "size": len(data), "title": file_title(name, data), "chunks": []}
@@ -196,8 +198,9 @@ def parsed(files: DataFrame, max_chars: int, overlap: int, readers: dict[str, Ca
                     row["status"] = "ok" if row["chunks"] else "empty"
                 except Exception as e:  # noqa: BLE001  one bad file doesn't stop the others
                     row |= {"status": "error", "error": str(e)}
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                yield tuple(row[c] for c in kinds.names)
+
+        yield from in_batches(each(), kinds, lambda row: sum(len(c["text"]) for c in row[-1]))
 
     return files.select("path", F.col("modificationTime").cast("double").alias("mtime"), "content").mapInArrow(
         run, "path string, status string, error string, sha256 string, mtime double, size long, title string, chunks array<struct<index:int,text:string,page:int>>"

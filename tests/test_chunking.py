@@ -1,8 +1,10 @@
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscan.operators.chunking import chunked, fixed_chunks, paragraph_pages, sentence_chunks, sentence_rows, split_sentences, stream_chunks, text_pages
+from folioscan.operators.chunking import chunked, fixed_chunks, paged, paragraph_pages, sentence_chunks, sentence_rows, split_sentences, stream_chunks, text_pages
 
 
 def plainly(pages, most, overlap):
@@ -74,3 +76,17 @@ def test_paragraph_pages(spark):
     rows = spark.createDataFrame([(1, k, f" p{k} ") for k in range(25)] + [(1, 99, "  ")], "d int, n int, text string")
     got = {r.page: r.text for r in paragraph_pages(rows, "d", "n").collect()}
     assert sorted(got) == [1, 2, 3] and got[3] == "p20\np21\np22\np23\np24\n"
+
+
+@pytest.mark.parametrize("cut", [lambda df, key: chunked(df, key, 500, 50), lambda df, key: chunked(df, key, 500, 50, paged=True)])
+def test_batches_are_bounded(spark, monkeypatch, cut):
+    """What a task makes leaves it in pieces: no batch has more than CHARS characters and ROWS rows, but for its last row, however many texts came in one."""
+    runs = []
+    df = spark.createDataFrame([], "k long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    cut(df, "k")
+    texts = [f"This is the number {k}. " * 100 for k in range(2000)] + [None, ""]
+    made = list(runs[0](iter([pa.RecordBatch.from_pydict({"k": range(len(texts)), "text": texts})])))
+    assert "".join(t for b in made for t in b.column("text").to_pylist()).count("number") >= 200_000
+    assert max(b.num_rows for b in made) <= 1024
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in made) < (1 << 20) + 3000
