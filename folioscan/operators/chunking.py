@@ -116,16 +116,7 @@ def chunked(docs: DataFrame, key: str, max_chars: int, overlap: int, paged: bool
 
 def paged(docs: DataFrame, key: str) -> DataFrame:
     """key, page, text: virtual pages of plain text."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = [(name, p, t) for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, t in text_pages(text or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=[key, "page", "text"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, page int, text string")
+    return _cut(docs, key, "page int, text string", text_pages, 1)
 
 
 def paragraph_pages(lines: DataFrame, key: str, order: str, per_page: int = 10) -> DataFrame:
