@@ -63,16 +63,7 @@ def _cut(docs: DataFrame, key: str, columns: str, parts: Callable[[str], Iterabl
 
 def sentence_rows(docs: DataFrame, key: str) -> DataFrame:
     """key, sentence (from 0), text: the sentences of the column text, in one pass over each."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = [(name, k, s) for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, s in enumerate(split_sentences(text or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=[key, "sentence", "text"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, sentence int, text string")
+    return _cut(docs, key, "sentence int, text string", lambda text: enumerate(split_sentences(text)), 1)
 
 
 def sentence_chunks(pages: Iterable[tuple[int, str]], max_chars: int, overlap: int) -> Iterator[tuple[str, int]]:

@@ -78,7 +78,7 @@ def test_paragraph_pages(spark):
     assert sorted(got) == [1, 2, 3] and got[3] == "p20\np21\np22\np23\np24\n"
 
 
-@pytest.mark.parametrize("cut", [paged, lambda df, key: chunked(df, key, 500, 50), lambda df, key: chunked(df, key, 500, 50, paged=True)])
+@pytest.mark.parametrize("cut", [sentence_rows, paged, lambda df, key: chunked(df, key, 500, 50), lambda df, key: chunked(df, key, 500, 50, paged=True)])
 def test_batches_are_bounded(spark, monkeypatch, cut):
     """What a task makes leaves it in pieces: no batch has more than CHARS characters and ROWS rows, but for its last row, however many texts came in one."""
     runs = []
