@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from folioscan.functions.batches import small_batches
 from folioscan.operators.chunking import sentence_chunks
 from folioscan.schema import DEFAULT_CHUNK_CHARS, DEFAULT_OVERLAP
 from folioscan.sources.files import READERS
@@ -48,6 +49,7 @@ class FileChunks:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both known to the session's SQL."""
+    """Makes both known to the session's SQL. Contents reach them in small batches, as Spark makes a whole batch into Python values first."""
+    small_batches(spark)
     spark.udtf.register("file_pages", FilePages)
     spark.udtf.register("file_chunks", FileChunks)

@@ -268,3 +268,16 @@ def test_scan_report(spark):
     plan = files.scan_report(df, 99)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert [(r.kind, r.file_count, r.total_size) for r in files.scan_report(df.limit(0)).collect()] == [("total", 0, 0)]
+
+
+def test_table_functions_get_small_batches(spark):
+    """Spark makes a whole batch into Python values for a table function, so registering them asks for small batches; a number that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for asked, want in (("10000", 512), ("700", 700)):
+            spark.conf.set(key, asked)
+            tables.register(spark)
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
