@@ -8,6 +8,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -336,15 +337,19 @@ class Store:
             return term_statistics(rows.select("text")).select("word", (F.col("chunks") * sign).alias("chunks"), (F.col("occurrences") * sign).alias("occurrences"))
 
         kept = state.get("terms")
-        new = [f"{self.root}/{f}" for f in self._folders(f"{folder}/chunks").values()]
+        ids = ids.select(F.col("id").alias("document_id"))
+        written = self._folders(f"{folder}/chunks")
+        new = [f"{self.root}/{f}" for k, f in written.items() if int(k) not in anew]
         parts = [of(self.spark.read.schema(CHUNKS).parquet(*new), 1)] if new else []
+        again = [f"{self.root}/{f}" for k, f in written.items() if int(k) in anew]
+        if again:  # without what stays there, which was only written once more
+            stays = self._read(state, "documents", DOCUMENTS, anew).select(F.col("id").alias("document_id")).join(ids, "document_id", "left_anti")
+            parts.append(of(self.spark.read.schema(CHUNKS).parquet(*again).join(stays, "document_id", "left_anti"), 1))
         if kept is None:  # nothing was counted yet: all that stood there, as if it had been
             kept = []
             parts.append(of(self._read(state, "chunks", CHUNKS), 1))
-        if marked:
-            parts.append(of(self._read(state, "chunks", CHUNKS, marked).join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi"), -1))
-        if anew:  # what stays there was written once more
-            parts.append(of(self._read(state, "chunks", CHUNKS, anew), -1))
+        if marked or anew:
+            parts.append(of(self._read(state, "chunks", CHUNKS, [*marked, *anew]).join(ids, "document_id", "left_semi"), -1))
         if len(kept) >= self.PARTS:
             parts.append(self._differences(kept))
             kept = []
@@ -378,11 +383,17 @@ class Store:
         wrong = F.col("embedding").isNull() if dimension is None else F.coalesce(F.size("embedding") != dimension, F.lit(True))
         checked = chunks.withColumn("embedding", F.when(wrong, F.raise_error(F.lit("a chunk has no embedding of the index's dimension"))).otherwise(F.col("embedding")))
         seen: dict[str, DataFrame] = {}
+        held: list[DataFrame] = []
+
+        def once(rows: DataFrame) -> DataFrame:
+            """Narrow rows that a commit reads several times, so that the documents' hashes and joins are made once for all."""
+            held.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+            return held[-1]
 
         def change(state: dict) -> tuple[DataFrame, DataFrame, dict[str, int], DataFrame] | None:
             if state["version"] is None:
                 state["bounds"] = self._bounds(documents, state)
-            rows = statuses(self._read(state, "documents", DOCUMENTS), latest(documents)).withColumn("id", self._id(state))
+            rows = once(statuses(self._read(state, "documents", DOCUMENTS), latest(documents)).withColumn("id", self._id(state)))
             seen["rows"] = rows
             changed = rows.filter("status != 'skipped'")
             added = self._counts(changed, state)
@@ -390,13 +401,17 @@ class Store:
                 return None
             old = self._read(state, "documents", DOCUMENTS, [int(k) for k in added])
             keys = changed.select(normalize_path(F.col("path")).alias("_p"))
-            gone = old.join(keys, normalize_path(old["path"]) == F.col("_p"), "left_semi").select("id", normalize_path(F.col("path")).alias("_p"), F.col("created_at").alias("_created"))
+            gone = once(old.join(keys, normalize_path(old["path"]) == F.col("_p"), "left_semi").select("id", normalize_path(F.col("path")).alias("_p"), F.col("created_at").alias("_created")))
             now = F.current_timestamp()
             new = changed.withColumn("_p", normalize_path(F.col("path"))).join(gone.drop("id"), "_p", "left").withColumn("created_at", F.coalesce("_created", now)).withColumn("updated_at", now).select(DOCUMENTS.names)
             new_chunks = checked.join(changed.select("path", F.col("id").alias("document_id")), "path").select(CHUNKS.names)
             return new, new_chunks, added, gone.select("id")
 
-        done = self._commit(change)
+        try:
+            done = self._commit(change)
+        finally:
+            for rows in held:
+                rows.unpersist()
         if done is None:
             return seen["rows"].select("path", "status")
         return statuses(self._read(done[0], "documents", DOCUMENTS), latest(documents)).select("path", "status")

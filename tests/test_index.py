@@ -281,3 +281,23 @@ def test_table_functions_get_small_batches(spark):
             assert int(spark.conf.get(key)) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_commit_reads_its_documents_once(spark, tmp_path):
+    """What a commit needs to know of its documents is worked out once, not again for each table that it writes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def hashed(path, k):
+        seen.add(1)
+        return f"{path}{k}"
+
+    st = Store(spark, f"{tmp_path}/store", buckets=4, terms=True)
+    for k in range(2):
+        docs = spark.range(20).select(F.concat(F.lit("/a/"), "id").alias("path"), F.lit("t").alias("title"), F.lit(float(k)).alias("mtime"), F.lit(1).cast("long").alias("size"))
+        docs = docs.withColumn("sha256", hashed.asNondeterministic()("path", F.lit(k)))
+        chunks = docs.select("path", F.lit(0).alias("chunk_index"), F.lit(f"word{k}").alias("text"), F.lit("{}").alias("metadata"), F.lit(None).cast("int").alias("page"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+        before = seen.value
+        st.upsert(docs, chunks)
+        assert seen.value - before <= 3 * 20
+    assert {r.word: r.chunks for r in st.terms().collect()} == {"": 20, "word1": 20}
